@@ -130,16 +130,16 @@ def clean_error(e) -> Column:
     """
     e = _c(e)
     http_part = F.concat(F.substring_index(e, "')Traceback", 1), F.lit("')"))
-    after = F.element_at(F.split(http_part, r"HTTPError\('"), 2)
+    after = F.try_element_at(F.split(http_part, r"HTTPError\('"), F.lit(2))
     error_text = F.regexp_replace(after, r"['\)]+\z", "")
     status_part = F.substring_index(error_text, " for url: ", 1)
     url_part = F.substring(error_text, F.instr(error_text, " for url: ") + 10, 1 << 30)
     netloc = F.regexp_extract(F.substring_index(url_part, "&", 1),
                               r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
     http_ok = contains(e, "HTTPError(") & contains(e, "')Traceback") & contains(http_part, "HTTPError('")
-    first_err_line = F.element_at(
+    first_err_line = F.try_element_at(
         F.filter(F.split(e, "\n"),
-                 lambda ln: contains(ln, "Error:") | contains(ln, "Exception:") | contains(ln, "Timeout")), 1)
+                 lambda ln: contains(ln, "Error:") | contains(ln, "Exception:") | contains(ln, "Timeout")), F.lit(1))
     return (F.when(e.isNull() | (F.length(e) == 0), F.lit(UNKNOWN_ERROR))
             .when(http_ok & contains(error_text, " for url: "),
                   F.concat(status_part, F.lit(" - "), netloc))

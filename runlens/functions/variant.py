@@ -34,9 +34,9 @@ def nonnull(v, path: str) -> Column:
 
 def kind(v) -> Column:
     """Top-level JSON kind of a variant: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL; NULL if absent."""
-    s = F.schema_of_variant(_c(v))
+    s = F.substring(F.schema_of_variant(_c(v)), 1, 6)
     return (F.when(_c(v).isNull(), F.lit(None))
-            .when(s.startswith("OBJECT"), F.lit("OBJECT"))
+            .when(s == "OBJECT", F.lit("OBJECT"))
             .when(s.startswith("ARRAY"), F.lit("ARRAY"))
             .when(s == "STRING", F.lit("STRING"))
             .when(s == "BOOLEAN", F.lit("BOOLEAN"))
@@ -83,5 +83,5 @@ def to_double(v, path: str) -> Column:
     s = sub(v, path)
     k = kind(s)
     return (F.when(k == "NUMBER", F.try_variant_get(s, "$", "double"))
-            .when(k == "STRING", F.try_cast(F.trim(F.variant_get(s, "$", "string")), "double"))
+            .when(k == "STRING", F.trim(F.variant_get(s, "$", "string")).try_cast("double"))
             .when(k == "BOOLEAN", F.try_variant_get(s, "$", "boolean").cast("double")))

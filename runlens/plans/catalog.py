@@ -136,3 +136,142 @@ FROM facts GROUP BY ALL""", RUNS, _FACTS_SQL))
 def q_error_detail_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = E.detail_summary(E.error_facts(FX.runs(spark, sf)))
     return s.select("project", _d(), "symbol", "total_errors", "total_traces")
+
+
+# ----------------------------------------------------------------------------- stats & listings
+from runlens.operators import stats as S  # noqa: E402
+from runlens.operators import evaluation as EV  # noqa: E402
+
+
+@register("storage_stats", O.with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS total_runs, CAST(count(DISTINCT trace_id) AS BIGINT) AS total_traces,
+       CAST(count(DISTINCT project) AS BIGINT) AS total_projects,
+       CAST(min(run_date) AS VARCHAR) AS earliest_date, CAST(max(run_date) AS VARCHAR) AS latest_date
+FROM runs""", RUNS))
+def q_storage_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return S.storage_stats(FX.runs(spark, sf)).select(
+        "total_runs", "total_traces", "total_projects", _d("earliest_date"), _d("latest_date"))
+
+
+@register("storage_stats_by_project", O.with_ctes("""
+SELECT project, CAST(count(*) AS BIGINT) AS total_runs, CAST(count(DISTINCT trace_id) AS BIGINT) AS total_traces,
+       CAST(min(run_date) AS VARCHAR) AS earliest_date, CAST(max(run_date) AS VARCHAR) AS latest_date
+FROM runs GROUP BY project""", RUNS))
+def q_storage_stats_by_project(spark: SparkSession, sf: str) -> DataFrame:
+    return S.storage_stats_by_project(FX.runs(spark, sf)).select(
+        "project", "total_runs", "total_traces", _d("earliest_date"), _d("latest_date"))
+
+
+@register("project_dates", O.with_ctes("""
+SELECT DISTINCT project, CAST(run_date AS VARCHAR) AS run_date FROM runs""", RUNS))
+def q_project_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return S.project_dates(FX.runs(spark, sf)).select("project", _d())
+
+
+@register("recent_runs", O.with_ctes("""
+SELECT run_id, trace_id, project, CAST(run_date AS VARCHAR) AS run_date FROM runs
+WHERE project = 'proj0' ORDER BY run_date DESC, run_id LIMIT 100""", RUNS))
+def q_recent_runs(spark: SparkSession, sf: str) -> DataFrame:
+    # L1 is a top-k listing: the limit is the feature (newest 100 runs of a project)
+    return S.recent_runs(FX.runs(spark, sf), "proj0", limit=100).select("run_id", "trace_id", "project", _d())
+
+
+@register("runs_per_trace", O.with_ctes("""
+SELECT project, CAST(run_date AS VARCHAR) AS run_date,
+       CAST(count(*) FILTER (WHERE parent_run_id IS NULL) AS BIGINT) AS root_runs_fetched,
+       CAST(count(*) AS BIGINT) AS total_runs_fetched,
+       CAST(CASE WHEN count(*) FILTER (WHERE parent_run_id IS NULL) > 0
+                 THEN count(*) // count(*) FILTER (WHERE parent_run_id IS NULL) ELSE 0 END AS BIGINT) AS avg_runs_per_trace
+FROM runs GROUP BY project, run_date""", RUNS))
+def q_runs_per_trace(spark: SparkSession, sf: str) -> DataFrame:
+    return S.fetch_stats(FX.runs(spark, sf)).select(
+        "project", _d(), "root_runs_fetched", "total_runs_fetched", "avg_runs_per_trace")
+
+
+@register("search_root_runs", O.with_ctes("""
+SELECT run_id, strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') AS start_time FROM runs
+WHERE project = 'proj1' AND start_time >= TIMESTAMP '2024-01-03 00:00:00' AND start_time < TIMESTAMP '2024-01-06 00:00:00'
+  AND parent_run_id IS NULL""", RUNS))
+def q_search_root_runs(spark: SparkSession, sf: str) -> DataFrame:
+    r = S.search_runs(FX.runs(spark, sf), "proj1", "2024-01-03", "2024-01-05", root_only=True)
+    return r.select("run_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_time"))
+
+
+@register("trace_project", O.with_ctes("""
+SELECT trace_id, coalesce(arg_min(project, ord) FILTER (WHERE ord % 8 = 6),
+                          arg_min('sess' || CAST(u % 4 AS VARCHAR), ord)) AS resolved_project
+FROM runs GROUP BY trace_id""", RUNS))
+def q_trace_project(spark: SparkSession, sf: str) -> DataFrame:
+    return S.resolve_trace_project(FX.run_documents(spark, sf))
+
+
+# ----------------------------------------------------------------------------- feedback & evaluation
+@register("feedback_enrichment", O.with_ctes("""
+SELECT r.run_id, r.trace_id, CAST(count(f.run_id) AS BIGINT) AS n_feedback,
+       CAST(count(*) FILTER (WHERE f.verdict = 'PASS') AS BIGINT) AS n_pass
+FROM runs r LEFT JOIN feedback f USING (run_id) GROUP BY r.run_id, r.trace_id""", RUNS, FB))
+def q_feedback_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    j = EV.attach_feedback(FX.runs(spark, sf).select("run_id", "trace_id"), FX.feedback(spark, sf))
+    return j.select("run_id", "trace_id", F.size("feedback_records").cast("bigint").alias("n_feedback"),
+                    F.size(F.filter("feedback_records", lambda x: x["verdict"] == "PASS")).cast("bigint").alias("n_pass"))
+
+
+@register("qualified_traces", O.with_ctes("""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date, true AS has_ai_output,
+       bool_or(verdict IS NOT NULL) AS has_human_feedback
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
+def q_qualified_traces(spark: SparkSession, sf: str) -> DataFrame:
+    t = EV.qualified_traces(FX.run_documents(spark, sf))
+    return t.select("trace_id", "project", _d(), "has_ai_output", "has_human_feedback")
+
+
+@register("dedup_requests", O.with_ctes("""
+SELECT request_id AS dedup_key, first(trace_id ORDER BY start_time, ord) AS trace_id,
+       min(start_time) AS start_time, CAST(first(runs_processed ORDER BY start_time, ord) AS BIGINT) AS runs_processed
+FROM (SELECT trace_id, min(strftime(start_time, '%Y-%m-%dT%H:%M:%S.%fZ')) AS start_time,
+             arg_min(request_id, ord) AS request_id, min(ord) AS ord, count(*) AS runs_processed
+      FROM runs GROUP BY trace_id) t
+GROUP BY request_id""", RUNS))
+def q_dedup_requests(spark: SparkSession, sf: str) -> DataFrame:
+    t = EV.dedup_by_request(EV.file_trace_summary(FX.run_documents(spark, sf)))
+    return t.select("dedup_key", "trace_id", "start_time", F.col("runs_processed").cast("bigint"))
+
+
+def _last(f: str, cond: str | None = None) -> str:
+    c = f"{f}_p" if cond is None else cond
+    return f"arg_max({f}, ord) FILTER (WHERE {c})"
+
+
+@register("dataset_token_name", O.with_ctes(f"""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       coalesce({_last('name_v', 'name_p')}, '') AS name, coalesce({_last('symbol')}, '') AS symbol,
+       coalesce({_last('description')}, '') AS description,
+       arg_max(is_meme, ord) AS is_meme, arg_max(is_explicit, ord) AS is_explicit,
+       arg_max(has_conflict, ord) AS has_conflict, CAST(count(*) AS BIGINT) AS runs_count
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
+def q_dataset_token_name(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.build_dataset(FX.run_documents(spark, sf), "token_name").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+
+
+@register("dataset_website", O.with_ctes(f"""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       coalesce({_last('name_v', 'name_p')}, '') AS name, coalesce({_last('symbol')}, '') AS symbol,
+       '' AS network, coalesce({_last('description')}, '') AS description,
+       coalesce({_last('website_url')}, '') AS website_url, '[]' AS social_profiles, '' AS contract_address,
+       arg_max(is_meme, ord) AS is_meme, arg_max(is_explicit, ord) AS is_explicit,
+       coalesce({_last('is_available')}, true) AS is_available,
+       coalesce({_last('is_malicious')}, false) AS is_malicious,
+       arg_max(has_conflict, ord) AS has_trademark_conflict, CAST(count(*) AS BIGINT) AS runs_count
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
+def q_dataset_website(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.build_dataset(FX.run_documents(spark, sf), "website").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+
+
+@register("dataset_availability", O.with_ctes("""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       coalesce(arg_max(website_url, prio) FILTER (WHERE website_url_p), '') AS website_url,
+       coalesce(arg_min(is_available, prio) FILTER (WHERE is_available_p), false) AS is_available,
+       coalesce(arg_min(notes, prio), '') AS notes, CAST(count(*) AS BIGINT) AS runs_count
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_avail)""", RUNS, FB, O.run_fields_cte()))
+def q_dataset_availability(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.build_dataset(FX.run_documents(spark, sf), "availability").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")

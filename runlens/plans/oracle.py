@@ -110,3 +110,40 @@ def clean_error(e: str = "error") -> str:
             f"WHEN contains({e}, 'ReadTimeout') OR contains(lower({e}), 'timeout') THEN 'Request timeout' "
             f"WHEN length({e}) > 150 THEN substr({e}, 1, 147) || '...' "
             f"ELSE {e} END")
+
+
+def _notes():
+    from runlens.operators import evaluation as EV
+    return EV
+
+
+def run_fields_cte() -> str:
+    """Per-run extracted dataset fields of the fixture documents (see fixtures.run_documents)."""
+    EV = _notes()
+    return f"""
+rf AS (
+  SELECT r.*, f.verdict, f.final_decision, r.ord % 8 AS k,
+         r.ord % 8 IN (0, 4) AS name_p,
+         CASE r.ord % 8 WHEN 0 THEN 'Token' || CAST(r.u % 17 AS VARCHAR) WHEN 4 THEN 'Site' || CAST(r.u % 11 AS VARCHAR) END AS name_v,
+         r.ord % 8 = 0 AS description_p, 'desc ' || r.etype AS description,
+         r.ord % 8 = 0 AS symbol_p, 's' || CAST(r.u % 7 AS VARCHAR) AS symbol,
+         r.ord % 8 IN (0, 4) AS website_url_p,
+         'https://www.site' || CAST(r.u % 23 AS VARCHAR) || '.example.com/p' || CAST(r.ord % 3 AS VARCHAR) AS website_url,
+         r.ord % 8 = 7 AND r.v > 50 AS is_meme,
+         r.ord % 8 = 7 AND r.etype = 'purchase' AS is_explicit,
+         r.ord % 8 = 7 AND r.u % 2 = 0 AS has_conflict,
+         r.ord % 8 = 4 AS is_malicious_p, r.v > 90 AS is_malicious,
+         (r.ord % 8 IN (4, 7) OR f.final_decision IS NOT NULL) AS is_available_p,
+         CASE WHEN r.ord % 8 = 4 THEN r.etype <> 'error' WHEN r.ord % 8 = 7 THEN true
+              WHEN f.final_decision = 'PASS' THEN true ELSE false END AS is_available,
+         CASE WHEN r.ord % 8 = 4 AND r.u % 3 = 0 THEN 'checked ' || r.etype
+              WHEN r.ord % 8 = 4 AND r.etype <> 'error' THEN {_q(EV.NOTE_ANALYSIS_OK)}
+              WHEN r.ord % 8 = 4 THEN {_q(EV.NOTE_ANALYSIS_NOT)}
+              WHEN r.ord % 8 = 7 THEN {_q(EV.NOTE_ANALYSIS_OK)}
+              WHEN f.final_decision = 'PASS' THEN {_q(EV.NOTE_PASS)}
+              WHEN f.final_decision = 'FAIL' THEN {_q(EV.NOTE_FAIL)}
+              ELSE {_q(EV.NOTE_UNCLEAR)} END AS notes,
+         coalesce(f.verdict = f.final_decision AND r.confidence >= 0.7 AND NOT isnan(r.confidence), false) AS meets_strict,
+         r.ord % 8 IN (0, 4) AS meets_avail,
+         (CASE WHEN r.run_id = r.trace_id THEN 0 ELSE 1 END) * 10000000000000 + r.ord AS prio
+  FROM runs r LEFT JOIN feedback f USING (run_id))"""

@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
 }
 
