@@ -34,38 +34,33 @@ def nonnull(v, path: str) -> Column:
 
 def kind(v) -> Column:
     """Top-level JSON kind of a variant: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL; NULL if absent."""
-    s = F.substring(F.schema_of_variant(_c(v)), 1, 6)
-    return (F.when(_c(v).isNull(), F.lit(None))
-            .when(s == "OBJECT", F.lit("OBJECT"))
-            .when(s.startswith("ARRAY"), F.lit("ARRAY"))
-            .when(s == "STRING", F.lit("STRING"))
-            .when(s == "BOOLEAN", F.lit("BOOLEAN"))
-            .when(s == "VOID", F.lit("NULL"))
-            .otherwise(F.lit("NUMBER")))
+    s = F.schema_of_variant(_c(v))
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(s, r"^([A-Z]+)", 1), "^VOID$", "NULL"),
+                            "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)$", "NUMBER")
 
 
 def is_object(v) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    """``isinstance(x, dict)`` (one reference to ``v``)."""
+    return F.try_variant_get(_c(v), "$", "map<string,variant>").isNotNull()
+
+
+def is_string(v) -> Column:
+    return F.coalesce(F.schema_of_variant(_c(v)) == "STRING", F.lit(False))
 
 
 def as_string(v, path: str = "$") -> Column:
     """String value if the JSON value is a string, else NULL (``isinstance(x, str)``)."""
     s = sub(v, path) if path != "$" else _c(v)
-    return F.when(kind(s) == "STRING", F.variant_get(s, "$", "string"))
+    return F.when(is_string(s), F.variant_get(s, "$", "string"))
+
+
+# JSON texts of the falsy values: null, false, "", {}, [], numeric zero
+_FALSY_JSON = r'^(?:null|false|""|\{\}|\[\]|-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?)$'
 
 
 def truthy(v) -> Column:
-    """Python truthiness of a JSON value; absent or null -> False."""
-    k = kind(v)
-    x = _c(v)
-    return F.coalesce(
-        F.when(k == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
-        .when(k == "NUMBER", F.try_variant_get(x, "$", "double") != 0)
-        .when(k == "STRING", F.length(F.variant_get(x, "$", "string")) > 0)
-        .when(k == "OBJECT", F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0)
-        .when(k == "ARRAY", F.size(F.try_variant_get(x, "$", "array<variant>")) > 0)
-        .otherwise(F.lit(False)),
-        F.lit(False))
+    """Python truthiness of a JSON value; absent or null -> False. One reference to ``v``."""
+    return F.coalesce(~F.to_json(_c(v)).rlike(_FALSY_JSON), F.lit(False))
 
 
 def truthy_at(v, path: str) -> Column:
@@ -79,9 +74,7 @@ def obj_or_empty(v, path: str) -> Column:
 
 
 def to_double(v, path: str) -> Column:
-    """``float(x)`` for numbers and numeric strings, else NULL (ValueError/TypeError -> None)."""
-    s = sub(v, path)
-    k = kind(s)
-    return (F.when(k == "NUMBER", F.try_variant_get(s, "$", "double"))
-            .when(k == "STRING", F.trim(F.variant_get(s, "$", "string")).try_cast("double"))
-            .when(k == "BOOLEAN", F.try_variant_get(s, "$", "boolean").cast("double")))
+    """``float(x)`` for numbers, booleans and numeric strings, else NULL (ValueError/TypeError -> None)."""
+    x = sub(v, path)
+    return F.when(is_string(x), F.trim(F.variant_get(x, "$", "string")).try_cast("double")) \
+        .otherwise(F.try_variant_get(x, "$", "double"))

@@ -233,7 +233,7 @@ def dedup_by_request(traces: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- P15 .. P18
-def extract_inputs() -> dict:
+def extract_inputs(staged: bool = True) -> dict:
     """{field: (present, value)} from inputs.input_data, falling back to direct inputs when
     input_data yields nothing. ``symbol`` is crypto_symbol, else symbol."""
     def fields(src):
@@ -250,7 +250,9 @@ def extract_inputs() -> dict:
     for p, _ in a.values():
         any_a = p if any_a is None else (any_a | p)
     b = fields("_inp")
-    use_b = ~any_a & V.truthy("_inp")
+    use_b = F.col("_use_b") if staged else (~any_a & V.truthy("_inp"))
+    if not staged:
+        return {"_use_b": use_b}
     out = {}
     for f in INPUT_FIELDS:
         pa, va = a[f]
@@ -259,7 +261,7 @@ def extract_inputs() -> dict:
     return out
 
 
-def extract_outputs() -> dict:
+def extract_outputs(staged: bool = True) -> dict:
     """P16+P17: {field: (present, value)} for is_meme, is_explicit, has_conflict,
     has_trademark_conflict (always present), is_available, is_malicious (website block or cascade),
     notes (always present, string)."""
@@ -280,22 +282,27 @@ def extract_outputs() -> dict:
     out["has_conflict"] = (F.lit(True), hc)
     out["has_trademark_conflict"] = (F.lit(True), htc)
 
-    block = V.truthy(wa) | V.nonnull(to, "$.is_available")
-    block_avail = (F.when(V.nonnull(wa, "$.is_available"), V.truthy_at(wa, "$.is_available"))
-                   .when(V.nonnull(to, "$.is_available"), V.truthy_at(to, "$.is_available"))
-                   .otherwise(F.lit(True)))
-    mal = V.sub(wa, "$.malicious_check")
-    block_mal = F.when(V.is_object(mal), V.truthy_at(mal, "$.is_dangerous")).otherwise(V.truthy_at(to, "$.is_malicious"))
-
-    # P17 notes: explicit note (website_analysis, then outputs) else an inferred note
-    p1, n1 = _first_present([(F.col(wa), "error_message"), (F.col(wa), "availability_notes"), (F.col(wa), "notes")])
-    p2, n2 = _first_present([(F.col(to), "error_message"), (F.col(to), "availability_notes"), (F.col(to), "notes")])
-    explicit = F.when(p1 & V.truthy(n1), n1).when(p2 & V.truthy(n2), n2)
-    has_pi = V.truthy_at(to, "$.project_info") | V.truthy_at(to, "$.social_links") | V.truthy_at(to, "$.page_links")
-    has_an = V.truthy_at(to, "$.website_analysis") | V.truthy_at(to, "$.name_analysis")
-    dec = V.as_string(to, "$.final_decision")
+    if not staged:
+        block = V.truthy(wa) | V.nonnull(to, "$.is_available")
+        block_avail = (F.when(V.nonnull(wa, "$.is_available"), V.truthy_at(wa, "$.is_available"))
+                       .when(V.nonnull(to, "$.is_available"), V.truthy_at(to, "$.is_available"))
+                       .otherwise(F.lit(True)))
+        mal = V.sub(wa, "$.malicious_check")
+        block_mal = F.when(V.is_object(mal), V.truthy_at(mal, "$.is_dangerous")).otherwise(V.truthy_at(to, "$.is_malicious"))
+        # P17 notes: explicit note (website_analysis, then outputs) else an inferred note
+        p1, n1 = _first_present([(F.col(wa), "error_message"), (F.col(wa), "availability_notes"), (F.col(wa), "notes")])
+        p2, n2 = _first_present([(F.col(to), "error_message"), (F.col(to), "availability_notes"), (F.col(to), "notes")])
+        explicit = F.when(p1 & V.truthy(n1), n1).when(p2 & V.truthy(n2), n2)
+        has_pi = V.truthy_at(to, "$.project_info") | V.truthy_at(to, "$.social_links") | V.truthy_at(to, "$.page_links")
+        has_an = V.truthy_at(to, "$.website_analysis") | V.truthy_at(to, "$.name_analysis")
+        dec = V.as_string(to, "$.final_decision")
+        words = F.lower(F.to_json(F.col(to))).rlike("error|failed|timeout")
+        return {"_block": block, "_block_avail": block_avail, "_block_mal": block_mal, "_explicit": explicit,
+                "_has_pi": has_pi, "_has_an": has_an, "_dec": dec, "_words": words}
+    block, block_avail, block_mal = F.col("_block"), F.col("_block_avail"), F.col("_block_mal")
+    explicit, has_pi, has_an = F.col("_explicit"), F.col("_has_pi"), F.col("_has_an")
+    dec, words = F.col("_dec"), F.col("_words")
     cur_avail = F.when(block, block_avail).otherwise(F.lit(False))
-    words = F.lower(F.to_json(F.col(to))).rlike("error|failed|timeout")
     gen_note = (F.when(has_pi, F.lit(NOTE_SCRAPED))
                 .when(has_an & ~block, F.lit(NOTE_ANALYSIS_OK))
                 .when(has_an & cur_avail, F.lit(NOTE_ANALYSIS_OK))
@@ -337,6 +344,7 @@ def run_fields(runs: DataFrame, doc: str = "doc", eval_type: str | None = None)
     """Per run: presence flag ``<f>_p`` and value ``<f>`` (VARIANT or typed) of every extracted
     field, plus ``_meets`` (P10 for ``eval_type``)."""
     st = stage(runs, doc)
+    st = st.withColumns({**extract_inputs(staged=False), **extract_outputs(staged=False)})
     cols = {}
     for group in (extract_inputs(), extract_outputs(), extract_reference()):
         for f, (p, v) in group.items():

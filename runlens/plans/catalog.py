@@ -275,3 +275,40 @@ SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
 FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_avail)""", RUNS, FB, O.run_fields_cte()))
 def q_dataset_availability(spark: SparkSession, sf: str) -> DataFrame:
     return EV.build_dataset(FX.run_documents(spark, sf), "availability").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+
+
+# ----------------------------------------------------------------------------- URLs & curation
+from runlens.operators import curation as C  # noqa: E402
+
+
+@register("url_features", O.with_ctes(f"""
+SELECT pos, {O.normalize_url('website_url')} AS norm_url, {O.url_domain('website_url')} AS domain,
+       CAST({O.quality('website_url', 'is_available', 'notes')} AS INTEGER) AS score FROM url_examples""", URLS))
+def q_url_features(spark: SparkSession, sf: str) -> DataFrame:
+    return C.annotate(FX.url_examples(spark, sf)).select("pos", "norm_url", "domain", "score")
+
+
+@register("curate_best_100", O.with_ctes("""
+SELECT * FROM curated""", URLS, O.CURATION_CTE))
+def q_curate_best_100(spark: SparkSession, sf: str) -> DataFrame:
+    return C.curate(FX.url_examples(spark, sf), target_size=100)
+
+
+@register("curation_stats", O.with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS total_examples,
+       CAST(count(*) FILTER (WHERE NOT coalesce(is_available, false)) AS BIGINT) AS negative_examples,
+       CAST(count(*) FILTER (WHERE coalesce(is_available, false)) AS BIGINT) AS positive_examples,
+       CAST(count(DISTINCT domain) FILTER (WHERE coalesce(is_available, false)) AS BIGINT) AS unique_domains,
+       CASE WHEN count(*) FILTER (WHERE coalesce(is_available, false)) > 0 THEN
+            count(DISTINCT domain) FILTER (WHERE coalesce(is_available, false))
+            / count(*) FILTER (WHERE coalesce(is_available, false)) END AS diversity_ratio
+FROM curated""", URLS, O.CURATION_CTE))
+def q_curation_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return C.curation_stats(C.curate(FX.url_examples(spark, sf), target_size=100))
+
+
+@register("curate_target_300", O.with_ctes("""
+SELECT * FROM curated""", URLS, O.CURATION_CTE.replace("100 - (SELECT count(*) FROM negs)", "300 - (SELECT count(*) FROM negs)")))
+def q_curate_target_300(spark: SparkSession, sf: str) -> DataFrame:
+    # same operator with a larger target so that the positive ranking (W3, W4, L2) is exercised
+    return C.curate(FX.url_examples(spark, sf), target_size=300)

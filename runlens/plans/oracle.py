@@ -147,3 +147,44 @@ rf AS (
          r.ord % 8 IN (0, 4) AS meets_avail,
          (CASE WHEN r.run_id = r.trace_id THEN 0 ELSE 1 END) * 10000000000000 + r.ord AS prio
   FROM runs r LEFT JOIN feedback f USING (run_id))"""
+
+
+def normalize_url(u: str) -> str:
+    return (f"regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({u}, ''))), '^https?://', ''),"
+            f" '^www\\.', ''), '/$', '')")
+
+
+def url_domain(u: str) -> str:
+    full = f"(CASE WHEN starts_with({u}, 'http://') OR starts_with({u}, 'https://') THEN {u} ELSE 'https://' || {u} END)"
+    net = f"lower(regexp_extract({full}, '^https?://([^/?#]*)', 1))"
+    host = f"regexp_replace(split_part({net}, ':', 1), '^www\\.', '')"
+    return (f"(CASE WHEN {u} IS NULL THEN 'unknown' WHEN {net} = '' OR NOT contains({net}, '.') THEN 'unknown' "
+            f"WHEN {host} = '' THEN 'unknown' ELSE {host} END)")
+
+
+def quality(url: str, avail: str, notes: str) -> str:
+    n = f"lower(coalesce({notes}, ''))"
+    return (f"((CASE WHEN length(coalesce({url}, '')) > 0 THEN 10 ELSE 0 END)"
+            f" + (CASE WHEN {avail} IS NOT NULL THEN 10 ELSE 0 END)"
+            f" + (CASE WHEN length(trim(coalesce({notes}, ''))) > 10 THEN 5 ELSE 0 END)"
+            f" + (CASE WHEN contains({n}, 'success') OR contains({n}, 'completed') OR contains({n}, 'found') THEN 3 ELSE 0 END)"
+            f" + (CASE WHEN contains({n}, 'error') OR contains({n}, 'failed') OR contains({n}, 'timeout') THEN 2 ELSE 0 END))")
+
+
+CURATION_CTE = f"""
+ann AS (SELECT *, {normalize_url('website_url')} AS norm_url, {url_domain('website_url')} AS domain,
+               CAST({quality('website_url', 'is_available', 'notes')} AS INTEGER) AS score FROM url_examples),
+negs AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY pos) AS rn
+                                     FROM ann WHERE NOT coalesce(is_available, false)) WHERE rn = 1),
+pos0 AS (SELECT * FROM ann WHERE coalesce(is_available, false) AND norm_url NOT IN (SELECT norm_url FROM negs)),
+posd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY score DESC, pos) AS rn,
+                                            min(pos) OVER (PARTITION BY norm_url) AS url_pos FROM pos0) WHERE rn = 1),
+ranked AS (SELECT *, min(url_pos) OVER (PARTITION BY domain) AS domain_pos,
+                  row_number() OVER (PARTITION BY domain ORDER BY score DESC, url_pos) = 1 AS is_winner FROM posd),
+ordered AS (SELECT *, row_number() OVER (ORDER BY is_winner DESC, CASE WHEN is_winner THEN domain_pos END ASC NULLS LAST,
+                                         score DESC, url_pos) AS k FROM ranked),
+curated AS (
+  SELECT pos, website_url, is_available, notes, norm_url, domain, score, 'negative' AS kind FROM negs
+  UNION ALL
+  SELECT pos, website_url, is_available, notes, norm_url, domain, score, 'positive' AS kind FROM ordered
+  WHERE k <= greatest(0, 100 - (SELECT count(*) FROM negs)))"""
