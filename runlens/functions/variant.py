@@ -41,7 +41,7 @@ def kind(v) -> Column:
 
 def is_object(v) -> Column:
     """``isinstance(x, dict)`` (one reference to ``v``)."""
-    return F.try_variant_get(_c(v), "$", "map<string,variant>").isNotNull()
+    return F.try_variant_get(_c(v), "$", "struct<>").isNotNull()
 
 
 def is_string(v) -> Column:

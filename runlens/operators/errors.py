@@ -43,18 +43,19 @@ def flatten_children(runs: DataFrame, doc_col: str = "doc", max_depth: int = MAX
     Trees deeper than ``max_depth`` raise an error inside the job (never silently truncated).
     """
     keep = keep or [c for c in KEYS + ["run_id", "ord"] if c in runs.columns]
+    # one projected column per level: level d+1 is computed from the *column* of level d, so the
+    # work is linear in depth (CollapseProject keeps a column referenced twice un-inlined)
+    df = runs.select(*[F.col(c) for c in keep], _children(F.col(doc_col)).alias("_l1")).where(F.size("_l1") > 0)
+    for d in range(2, max_depth + 2):
+        df = df.withColumn(f"_l{d}", F.flatten(F.transform(F.col(f"_l{d - 1}"), lambda c: _children(c))))
     levels = []
-    cur = _children(F.col(doc_col))
     for d in range(1, max_depth + 1):
-        levels.append(F.transform(cur, lambda c, dd=d: F.struct(F.lit(dd).alias("depth"), c.alias("child"))))
-        cur = F.flatten(F.transform(cur, lambda c: _children(c)))
-    too_deep = F.size(cur) > 0
-    allc = F.concat(*levels)
-    out = (runs.select(*[F.col(c) for c in keep],
-                       F.when(too_deep, F.raise_error(F.lit(f"child_runs nested deeper than {max_depth}")))
-                       .otherwise(allc).alias("_desc"))
-           .where(F.size("_desc") > 0)
-           .select(*keep, F.explode("_desc").alias("_d")))
+        depth = F.lit(d)
+        levels.append(F.transform(F.col(f"_l{d}"), lambda c: F.struct(depth.alias("depth"), c.alias("child"))))
+    too_deep = F.size(F.col(f"_l{max_depth + 1}")) > 0
+    out = df.select(*keep, F.when(too_deep, F.raise_error(F.lit(f"child_runs nested deeper than {max_depth}")))
+                    .otherwise(F.concat(*levels)).alias("_desc"))
+    out = out.select(*keep, F.explode("_desc").alias("_d"))
     ch = F.col("_d.child")
     return out.select(
         *[F.col(c).alias("stored_run_id") if c == "run_id" else F.col(c) for c in keep],

@@ -312,3 +312,70 @@ SELECT * FROM curated""", URLS, O.CURATION_CTE.replace("100 - (SELECT count(*) F
 def q_curate_target_300(spark: SparkSession, sf: str) -> DataFrame:
     # same operator with a larger target so that the positive ranking (W3, W4, L2) is exercised
     return C.curate(FX.url_examples(spark, sf), target_size=300)
+
+
+# ----------------------------------------------------------------------------- nesting, upsert, quality, sinks
+from runlens.operators import quality as Q  # noqa: E402
+from runlens.sources import runtable as RT  # noqa: E402
+from runlens.sources import sinks as SK  # noqa: E402
+
+
+@register("flatten_children", O.with_ctes("""
+SELECT run_id AS stored_run_id, 1 AS depth, run_id || '-c1' AS id, name || '_retry' AS name, status FROM runs
+UNION ALL
+SELECT run_id, 2, run_id || '-c2', 'zenrows_scraper_inner', CASE WHEN u % 2 = 0 THEN 'error' ELSE 'success' END FROM runs
+""", RUNS))
+def q_flatten_children(spark: SparkSession, sf: str) -> DataFrame:
+    f = E.flatten_children(FX.nested_run_documents(spark, sf))
+    return f.select("stored_run_id", "depth", "id", "name", "status")
+
+
+@register("daily_error_report_nested", O.with_ctes(f"""
+SELECT project, CAST(run_date AS VARCHAR) AS run_date, CAST(count(*) AS BIGINT) AS total_traces,
+       CAST(sum(n_err) AS BIGINT) AS zenrows_errors, {O.rate('sum(n_err)', 'count(*)')} AS error_rate
+FROM (SELECT project, run_date, trace_id,
+             count(*) FILTER (WHERE {O.rate_error()})
+             + count(*) FILTER (WHERE {O.rate_error()} AND (n_runs = 1 OR run_id <> root_id))
+             + count(*) FILTER (WHERE u % 2 = 0 AND (n_runs = 1 OR run_id <> root_id)) AS n_err
+      FROM (SELECT *, count(*) OVER w AS n_runs,
+                   arg_max(run_id, (CASE WHEN run_id = trace_id THEN 1 ELSE 0 END, -ord)) OVER w AS root_id
+            FROM runs WINDOW w AS (PARTITION BY project, run_date, trace_id)) x
+      GROUP BY ALL) t
+GROUP BY project, run_date""", RUNS))
+def q_daily_error_report_nested(spark: SparkSession, sf: str) -> DataFrame:
+    rep = E.daily_error_report(FX.nested_run_documents(spark, sf), nested=True)
+    return rep.select("project", _d(), "total_traces", "zenrows_errors", "error_rate")
+
+
+@register("upsert_latest", O.with_ctes("""
+SELECT run_id, trace_id, project, CAST(run_date AS VARCHAR) AS run_date, status, error, ingest_seq,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM (SELECT *, min(created_at) OVER (PARTITION BY run_id) AS first_created FROM log) l
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ingest_seq DESC) = 1""".replace(
+    "strftime(created_at,", "strftime(first_created,"), RUNS, """
+log AS (
+  SELECT run_id, trace_id, project, run_date, status, error, ord AS ingest_seq, start_time AS created_at FROM runs
+  UNION ALL
+  SELECT run_id, trace_id, project, run_date, 'success', NULL, 1000000000000 + ord, start_time + INTERVAL 1 HOUR
+  FROM runs JOIN events ON CAST(events.event_id AS VARCHAR) = runs.run_id WHERE events.event_type = 'error')"""))
+def q_upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    t = RT.latest(FX.run_log(spark, sf))
+    return t.select("run_id", "trace_id", "project", _d(), "status", "error", "ingest_seq",
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
+
+
+@register("consistency_check", O.with_ctes("""
+SELECT project, CAST(count(*) AS BIGINT) AS n_runs, CAST(0 AS BIGINT) AS run_id_mismatch,
+       CAST(0 AS BIGINT) AS trace_id_mismatch, CAST(0 AS BIGINT) AS project_mismatch, CAST(0 AS BIGINT) AS run_date_mismatch
+FROM runs GROUP BY project""", RUNS))
+def q_consistency_check(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.consistency_violations(FX.run_documents(spark, sf))
+
+
+@register("error_report_csv", O.with_ctes("""
+SELECT CAST(run_date AS VARCHAR) AS date,
+       CAST(run_date AS VARCHAR) || ',' || CAST(total_traces AS VARCHAR) || ',' || CAST(zenrows_errors AS VARCHAR)
+       || ',' || printf('%.1f', error_rate) || '%' AS line
+FROM rated""", RUNS, _ALL_PROJECTS_SQL))
+def q_error_report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return SK.csv_lines(E.merge_projects(E.daily_error_report(FX.runs(spark, sf))))

@@ -151,3 +151,35 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (r.join(fb, "run_id", "left")
             .select(*[c for c in r.columns if not c.startswith("_")],
                     F.parse_json(F.to_json(doc)).alias("doc")))
+
+
+def nested_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose documents carry nested ``child_runs`` (built row by row, no grouping):
+
+      run.child_runs = [c1, "x"]     c1 = {id: '<run>-c1', name: name + '_retry', status, error}
+      c1.child_runs  = [c2, 42]      c2 = {id: '<run>-c2', name: 'zenrows_scraper_inner',
+                                           status: 'error' if user_id even else 'success'}
+    Non-object list items are there to be skipped, as the nested search does."""
+    r = runs(spark, sf_dir)
+    strip = lambda c: F.regexp_replace(F.to_json(c), "}$", "")
+    c2 = F.to_json(F.struct(F.concat("run_id", F.lit("-c2")).alias("id"), F.lit("zenrows_scraper_inner").alias("name"),
+                            F.when(F.col("_user") % 2 == 0, "error").otherwise("success").alias("status")))
+    c1 = F.concat(strip(F.struct(F.concat("run_id", F.lit("-c1")).alias("id"),
+                                 F.concat("name", F.lit("_retry")).alias("name"), "status", "error")),
+                  F.lit(',"child_runs":['), c2, F.lit(",42]}"))
+    doc = F.concat(strip(F.struct(F.col("run_id").alias("id"), "trace_id", "name", "status", "error")),
+                   F.lit(',"child_runs":['), c1, F.lit(',"x"]}'))
+    return r.select(*[c for c in r.columns if not c.startswith("_")], F.parse_json(doc).alias("doc"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingest batches of the run table: every run (seq = ord), then a re-fetch of every failed
+    run now reported as succeeded (seq = 10^12 + ord, one hour later)."""
+    r = runs(spark, sf_dir)
+    base = ["run_id", "trace_id", "parent_run_id", "project", "run_date", "name"]
+    b1 = r.select(*base, "status", "error", F.col("ord").alias("ingest_seq"), F.col("start_time").alias("created_at"))
+    b2 = r.where(F.col("_etype") == "error").select(
+        *base, F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"),
+        (F.lit(10 ** 12) + F.col("ord")).alias("ingest_seq"),
+        (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("created_at"))
+    return b1.unionByName(b2)
