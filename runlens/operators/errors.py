@@ -23,7 +23,7 @@ from runlens.functions import text as T
 from runlens.functions import variant as V
 
 KEYS = ["project", "run_date", "trace_id"]
-MAX_NESTING = 12
+MAX_NESTING = 8
 
 
 # ------------------------------------------------------------------------------------------ N1
