@@ -86,6 +86,9 @@ def read_table(spark: SparkSession, path: str, project: str | None = None, start
         df = df.where(F.col("run_date") <= F.lit(str(end or start)).cast("date"))
     if "doc" in df.columns:
         df = df.withColumn("doc", F.try_parse_json("doc"))
+    if "ord" not in df.columns and "ingest_seq" in df.columns:
+        # merge order of runs = ingest order (stands for the reference's created_at order)
+        df = df.withColumn("ord", F.col("ingest_seq"))
     return df
 
 
