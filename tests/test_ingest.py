@@ -127,3 +127,34 @@ def test_dataset_jsonl_roundtrip(spark, docs_df):
     back = SK.read_dataset(spark, out).first()
     assert back["inputs"]["website_url"] == "https://a.com" and back["outputs"]["is_available"] is True
     assert back["metadata"]["eval_type"] == "availability"
+
+
+def test_streaming_ingest_available_now(spark, landing):
+    from runlens.streaming import landing_stream as LS
+    root, day = landing
+    base = tempfile.mkdtemp(prefix="runlens-stream-")
+    q = LS.start(spark, root, os.path.join(base, "log"), os.path.join(base, "ckpt"), trigger_once=True)
+    q.awaitTermination(300)
+    cur = RT.latest(RT.read_log(spark, os.path.join(base, "log")))
+    assert cur.count() == 2
+
+
+def test_jobs_end_to_end(spark, landing):
+    from runlens.plans import jobs
+    root, day = landing
+    base = tempfile.mkdtemp(prefix="runlens-jobs-")
+    log = os.path.join(base, "log")
+    counts = jobs.ingest(spark, root, log, batch=1, ingest_ts="2025-08-30 00:00:00")
+    assert counts == {"stored": 2, "skipped": 0, "rejected": 1}
+    table = os.path.join(base, "v1")
+    RT.compact(RT.latest(RT.read_log(spark, log)), table)
+    assert jobs.error_report(spark, table, day, "projA") == \
+        "Date,Total Traces,Zenrows Errors,Error Rate\n2025-08-29,2,1,50.0%\n"
+    assert jobs.error_report(spark, table, day) == \
+        "Date,Total Traces,Zenrows Errors,Error Rate\n2025-08-29,2,1,50.0%\n"
+    text = jobs.error_detail_report(spark, table, day)
+    assert "Error: e" in text
+    ds = jobs.create_dataset(spark, table, "projA", "token_name", day)
+    assert ds.count() == 0
+    with pytest.raises(ValueError):
+        jobs.create_dataset(spark, table, "projA", "token_name", day, best_100=True)
