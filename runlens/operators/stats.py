@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from runlens.functions import variant as V
 
+# Fixed value (must equal the run documents' key): metadata key naming a run's project.
+PROJECT_METADATA_KEY = "LANGSMITH_PROJECT"
+
 
 def scan(runs: DataFrame, project: str | None = None, start=None, end=None) -> DataFrame:
     """S3: runs of a project in an inclusive date range. On a table partitioned by (project, run_date)
@@ -112,12 +115,13 @@ def fetch_stats(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def resolve_trace_project(runs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """Per trace, the first run's (by ord) extra.metadata.LANGSMITH_PROJECT if any run has the
+    """Per trace, the first run's (by ord) extra.metadata.<PROJECT_METADATA_KEY> if any run has the
     key, else the first run's session_id, else 'unknown'."""
     doc = F.col(doc_col)
     meta = V.obj_or_empty(V.obj_or_empty(doc, "$.extra"), "$.metadata")
-    has = V.present(meta, "$.LANGSMITH_PROJECT")
-    pval = F.coalesce(V.as_string(meta, "$.LANGSMITH_PROJECT"), F.to_json(V.sub(meta, "$.LANGSMITH_PROJECT")))
+    path = "$." + PROJECT_METADATA_KEY
+    has = V.present(meta, path)
+    pval = F.coalesce(V.as_string(meta, path), F.to_json(V.sub(meta, path)))
     sess_present = V.present(doc, "$.session_id")
     sess = F.when(sess_present, V.as_string(doc, "$.session_id")).otherwise(F.lit("unknown"))
     g = runs.groupBy("trace_id").agg(

@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.operators.stats import PROJECT_METADATA_KEY
+
 # --------------------------------------------------------------------------------------------
 # Fixed values of the derived fixture (shared with the SQL oracle).
 RUN_NAMES = [
@@ -111,7 +113,7 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     {is_available: not error, malicious_check.is_dangerous: v > 90, notes if u%3=0}
       k = 7         outputs.name_analysis.{meme_check.is_meme: v > 50, explicit_check.is_explicit:
                     purchase, trademark_check.has_conflict: u even}
-      k = 6         extra.metadata.LANGSMITH_PROJECT = project; all runs session_id 'sess<u%4>'
+      k = 6         extra.metadata.<project key> = project; all runs session_id 'sess<u%4>'
       labelled runs outputs.final_decision + feedback_stats.final_verdict.comments ['Human verdict: X']
     """
     r = runs(spark, sf_dir)
@@ -152,7 +154,7 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         feedback_stats.alias("feedback_stats"),
         F.concat(F.lit("sess"), (u % 4).cast("string")).alias("session_id"),
         F.struct(F.struct(F.when(k == 0, 0).otherwise(1).alias("ls_run_depth"),
-                          F.when(k == 6, F.col("project")).alias("LANGSMITH_PROJECT")).alias("metadata")).alias("extra"),
+                          F.when(k == 6, F.col("project")).alias(PROJECT_METADATA_KEY)).alias("metadata")).alias("extra"),
     )
     # labels is small relative to runs but grows with the data: a plain equi-join, AQE decides
     # broadcast vs. sort-merge from the measured size.
