@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_PAGES = 200
-MADE_UP = 400
-HIDDEN, PATH_SIZE, WORD_SIZE, WORD_PLACES = 20, 32, 12, 4096
+MADE_UP = 700
+HIDDEN, PATH_SIZE, WORD_SIZE, WORD_PLACES = 20, 64, 12, 4096
 EPOCHS, BATCH, RATE = 10, 16, 0.01
 #: A page's padded steps in one batch of the forward pass.
 STEPS = 40_000
@@ -175,7 +175,7 @@ def path_vector(path: str) -> np.ndarray:
 def token_vector(token: str) -> np.ndarray:
     # a class or id counts by its word, on whatever element it stands
     draw = np.random.default_rng(zlib.crc32(token.split(".", 1)[1].encode() + b"." if "." in token else token.encode()))
-    return draw.normal(size=PATH_SIZE) / np.sqrt(PATH_SIZE) * 2
+    return draw.normal(size=PATH_SIZE) / np.sqrt(PATH_SIZE) * 3
 
 
 @functools.cache
@@ -322,7 +322,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
 
     sample = (pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html"))
               .where("length(html) > 0").orderBy(F.xxhash64("id", "html"), "id").limit(fit_pages))
-    found = sample.groupBy(F.lit(0)).applyInPandas(train, "w array<binary>").first()
+    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(train, "w array<binary>").first()
     if found is None:
         return train_labeller([])
     model = BlockLabeller()

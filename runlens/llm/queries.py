@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import byte_bpe, exact_dedup, license_scan, line_dedup, packing
+from runlens.llm import (byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing,
+                         suffix_dedup, toxicity, vector_search)
 from runlens.llm.common import UPPER, LOWER, table
 
 #: Where the tokenizers' files are; a deployment may set others.
@@ -26,6 +28,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(encoded).withColumnRenamed("id", "doc_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.linked_components(table(spark, sf_dir, "documents"), n=4, least=Fraction(85, 100))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
+                        F.col("root").alias("component_id"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -39,6 +52,16 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm
 WINDOW same AS (PARTITION BY normal)"""
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate_lines(docs, F.col("source")).select(
@@ -66,6 +89,13 @@ OP8_SQL = line_dedup_sql(line_dedup.RATIO, line_dedup.MIN_HOST_PAGES) + """
 SELECT doc_id, source, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM cleaned"""
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).drop("text")
@@ -74,8 +104,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extract": op6_html_extract,
+    "op7_vector_search": op7_vector_search,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 

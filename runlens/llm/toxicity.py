@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (texts.join(F.broadcast(sample), "id").select("id", "text", "toxic")
             .mapInArrow(read, f"id {id_type}, places binary, toxic int")
             .groupBy("id").agg(F.min("places").alias("places"), F.max("toxic").alias("toxic")))
-    found = rows.groupBy(F.lit(0)).applyInPandas(train, "weights binary, bias double").first()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(train, "weights binary, bias double").first()
     return Model(np.frombuffer(found["weights"], float), ratios, found["bias"])
 
 

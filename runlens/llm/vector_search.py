@@ -153,7 +153,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, factor: float = F
     blocks = max(1, -(-n // query_block))
     packed = queries.select("id", "vector", F.size("vector").alias("dim"),
                             F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
-    shards = index.select("shard", "dim")
+    shards = index.select(F.col("shard").alias("shard"), F.col("dim").alias("dim"))
     # a block of queries meets every shard; a shard's tree is sent once to each block, not to each query
     asked = packed.join(shards, "dim").select("dim", "shard", "block", "id", "vector")
     trees = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
