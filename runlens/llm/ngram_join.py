@@ -45,9 +45,10 @@ WEIGHT_BITS = 18
 LARGEST_LIGHT = 20
 #: cost of a list entry against that of an enumerated subset: it is scanned and verified, too
 SCAN_COST = 4.0
-ROUNDS = 3
-#: members verified with one centre in one task, and entries of a list expanded in one task
-CENTRE_ROWS, BLOCK_ROWS = 256, 512
+ROUNDS = 2
+#: members verified with one centre in one task, all that a task verifies, entries of a list expanded in one task
+CENTRE_ROWS, VERIFY_ROWS, BLOCK_ROWS = 256, 2048, 512
+SKETCH_BITS = 512
 
 _draw = np.random.default_rng(2024)
 BYTE_VALUES = _draw.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -186,31 +187,36 @@ def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, bou
     firsts = classes.select(F.col("root").alias("node"))
     entries = (docs.mapInArrow(run, "node long, keys array<long>").join(firsts, "node")
                .select(F.explode("keys").alias("key"), "node"))
-    several = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
+    several = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     return entries.join(several, "key")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bounds: Threshold) -> DataFrame:
-    """The pairs ``(a, b)`` that are linked. Sets travel to the task of b; centres of many pairs have several."""
-    tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("tasks"))
-    members = (pairs.join(tasks, "b").select(
+    """The pairs ``(a, b)`` that are linked. Sets travel to the tasks of b; centres of many pairs have several."""
+    tasks = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("tasks")), "centres")
+    blocks = max(1, -(-pairs.count() // VERIFY_ROWS))
+    members = pairs.join(tasks, "b").select(
         F.col("a").alias("node"), F.col("b").alias("centre"),
-        F.pmod(F.xxhash64("a"), F.col("tasks")).alias("part"), F.lit(False).alias("own")))
+        F.pmod(F.xxhash64("a"), F.col("tasks")).alias("part"), F.lit(False).alias("own"))
     centres = tasks.select(F.col("b").alias("node"), F.col("b").alias("centre"),
                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part"),
                            F.lit(True).alias("own"))
+    dealt = members.union(centres).select("node", "centre", "own", F.pmod(
+        F.xxhash64("centre", "part"), F.lit(blocks)).alias("block"))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        centre = [np.frombuffer(x, np.uint64) for x in group.loc[group["own"], "grams"]]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list[np.ndarray]] = {}
+        for centre, data in group.loc[group["own"], ["centre", "grams"]].itertuples(index=False):
+            own.setdefault(centre, []).append(np.frombuffer(data, np.uint64))
         found = []
-        for node, data in group.loc[~group["own"], ["node", "grams"]].itertuples(index=False):
+        for node, centre, data in group.loc[~group["own"], ["node", "centre", "grams"]].itertuples(index=False):
             grams = np.frombuffer(data, np.uint64)
-            if any(similar(grams, other, bounds) for other in centre):
-                found.append(node)
-        return pd.DataFrame({"a": np.array(found, "int64"), "b": np.full(len(found), key[0], "int64")})
+            if any(similar(grams, other, bounds) for other in own[centre]):
+                found.append((node, centre))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return (sets.join(members.union(centres), "node").groupBy("centre", "part")
-            .applyInPandas(run, "a long, b long"))
+    return sets.select("node", "grams").join(dealt, "node").groupBy("block").applyInPandas(run, "a long, b long")
 
 
 def similar(left: np.ndarray, right: np.ndarray, bounds: Threshold) -> bool:
@@ -223,48 +229,74 @@ def similar(left: np.ndarray, right: np.ndarray, bounds: Threshold) -> bool:
     return bounds.linked(int((both[1:] == both[:-1]).sum()), s, u)
 
 
-def near_sizes(bounds: Threshold):
-    """Column condition: the sizes ``size`` and ``other`` may be linked."""
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each of SKETCH_BITS buckets, as 64-bit words.
+
+    Every bucket whose parity differs holds an element of only one of two sets, so the number of differing bits
+    never exceeds the size of the symmetric difference.
+    """
+    counts = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_link(bounds: Threshold):
+    """Column condition on (size, bits) and (other, other_bits): sizes and sketches allow a link.
+
+    Linked sets differ in at most (s + u) (1 - t) / (1 + t) elements.
+    """
     p, q = bounds.least.numerator, bounds.least.denominator
-    return (F.col("size") * q >= F.col("other") * p) & (F.col("other") * q >= F.col("size") * p)
+    differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                         lambda total, x: total + x)
+    return ((F.col("size") * q >= F.col("other") * p) & (F.col("other") * q >= F.col("size") * p)
+            & (differ * (p + q) <= (F.col("size") + F.col("other")) * (q - p)))
 
 
 def round_pairs(lists: DataFrame, labels: DataFrame, turn: int, bounds: Threshold) -> DataFrame:
-    """Pairs of each entry with its list's centre, where the components differ."""
+    """Pairs of each entry with its list's centre, where the components differ and a link is possible."""
     marked = lists.join(labels, "node")
     centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node"), F.col("root"),
-                            F.col("size"))).alias("c")
+                            F.col("size"), F.col("bits"))).alias("c")
     open_lists = (marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), centre)
                   .where("least <> most").select("key", F.col("c.node").alias("b"), F.col("c.root").alias("to"),
-                                                 F.col("c.size").alias("other")))
-    return (marked.join(open_lists, "key").where((F.col("root") != F.col("to")) & near_sizes(bounds))
+                                                 F.col("c.size").alias("other"), F.col("c.bits").alias("other_bits")))
+    return (marked.join(staged(open_lists, "open"), "key").where((F.col("root") != F.col("to")) & may_link(bounds))
             .select(F.col("node").alias("a"), "b").distinct())
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
-    """All pairs across components that share a list, from bounded blocks of the lists."""
+    """All pairs across components that share a list and may link, from bounded blocks of the lists."""
     marked = lists.join(labels, "node")
-    open_lists = (marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"),
-                                            F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-                  .where("least <> most").select("key", "blocks"))
-    entries = marked.join(open_lists, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # an entry meets every other block of its list once: as (own, other) with own <= other
-    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = entries.withColumn("with", met).select(
-        "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "size")
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        size, root, node = (group[c].to_numpy() for c in ("size", "root", "node"))
-        p, q = bounds.least.numerator, bounds.least.denominator
-        may = (root[:, None] < root[None, :]) & (size[:, None] * q >= size[None, :] * p) \
-            & (size[None, :] * q >= size[:, None] * p)
-        if key[1] != key[2]:  # pairs within a block are met in the task (i, i)
-            own = group["own"].to_numpy()
-            may &= own[:, None] != own[None, :]
-        left, right = np.nonzero(may)
-        return pd.DataFrame({"a": node[left], "b": node[right]})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    open_lists = staged(marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"),
+                                                  F.count("*").alias("n"))
+                        .where("least <> most").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), "n"),
+                        "open")
+    total = open_lists.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // (8 * BLOCK_ROWS)))
+    # an entry meets every block of its list once: in the pair of blocks (own, other), own <= other
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
+    dealt = (marked.join(open_lists, "key").select("key", "node", "root", "size", "bits", own, met)
+             .select("key", "node", "root", "size", "bits", "own", F.least("own", "with").alias("i"),
+                     F.greatest("own", "with").alias("j"))
+             .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))))
+    p, q = bounds.least.numerator, bounds.least.denominator
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        for (_, i, j), part in group.groupby(["key", "i", "j"], sort=False):
+            size, root, node, own = (part[c].to_numpy() for c in ("size", "root", "node", "own"))
+            may = (root[:, None] < root[None, :]) & (size[:, None] * q >= size[None, :] * p) \
+                & (size[None, :] * q >= size[:, None] * p)
+            if i != j:  # pairs within a block are met in the pair (i, i)
+                may &= own[:, None] != own[None, :]
+            left, right = np.nonzero(may)
+            bits = np.stack(part["bits"].to_list())
+            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1)
+            near = differ * (p + q) <= (size[left] + size[right]) * (q - p)
+            found.update(zip(node[left[near]].tolist(), node[right[near]].tolist()))
+        return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,7 +307,7 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
               .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     onward = components(across).select(F.col("node").alias("root"), F.col("root").alias("next"))
     return staged(labels.join(onward, "root", "left")
-                  .select("node", "size", F.coalesce("next", "root").alias("root")), "labels")
+                  .select("node", "size", "bits", F.coalesce("next", "root").alias("root")), "labels")
 
 
 def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id",
@@ -295,10 +327,9 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
 
     lists = staged(lists_of(texts.where("id IS NOT NULL"), classes.select("root").distinct(), n, bounds, boundary,
                             weights), "lists")
-    nodes = lists.select("node").distinct()
-    in_lists = classes.groupBy(F.col("root").alias("node")).agg(F.max("size").alias("size")).join(nodes, "node")
-    labels = staged(in_lists.select("node", "size", F.col("node").alias("root")), "labels")
-    sets = staged(set_rows(texts.join(nodes.withColumnRenamed("node", "id"), "id"), n), "sets")
+    nodes = staged(lists.select(F.col("node").alias("id")).distinct(), "nodes")
+    sets = staged(set_rows(texts.join(nodes, "id"), n), "sets")
+    labels = staged(sets.select("node", "size", "bits", F.col("node").alias("root")).distinct(), "labels")
     for turn in range(ROUNDS + 1):
         pairs = round_pairs(lists, labels, turn, bounds) if turn < ROUNDS else remaining_pairs(lists, labels, bounds)
         pairs = staged(pairs, "pairs")
@@ -317,13 +348,16 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
 
 
 def set_rows(texts: DataFrame, n: int) -> DataFrame:
-    """``(node, grams)``: whole sets as bytes."""
+    """``(node, size, bits, grams)``: whole sets as bytes, and their sketches; empty sets are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                grams = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())],
-                                                 names=["node", "grams"])
-
-    return texts.select("id", "text").mapInArrow(run, "node long, grams binary")
+                sets = [shingles(t or "", n) for t in part.column(1).to_pylist()]
+                found = pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(map(len, sets), pa.int64()),
+                     pa.array([sketch(g) for g in sets], pa.list_(pa.int64())),
+                     pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "size", "bits", "grams"])
+                yield found.filter(pa.array([len(g) > 0 for g in sets]))
+
+    return texts.select("id", "text").mapInArrow(run, "node long, size long, bits array<long>, grams binary")
