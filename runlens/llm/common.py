@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+PACKAGE = __name__.partition(".")[0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +32,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers (once), wherever the driver has it from."""
+    top = Path(__file__).resolve().parents[2]
+    if f"{PACKAGE}.zip" in spark.sparkContext._python_includes:
+        return
+    path = Path(tempfile.mkdtemp(prefix="runlens-ship-")).resolve() / f"{PACKAGE}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted((top / PACKAGE).rglob("*.py")):
+            out.write(source, source.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

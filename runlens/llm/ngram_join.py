@@ -6,9 +6,10 @@ elements. Documents with the same set are one class; the join runs over classes.
 
 * Light sets (up to a boundary): every subset of need(s, u) elements is enumerated for each partner size u up to
   the boundary; partners share one of these fixed-size subsets.
-* Heavy sets: the inverted lists of their rarest elements are scanned. Among any s - ceil(t s) + 1 elements of a
-  set, one is shared with every partner, so the lists of that many elements find them all. Rarest means by
-  weight, an estimate of the number of documents that is kept for frequent elements (any fixed order is exact).
+* Heavy sets: the inverted lists of their rarest elements are scanned. Of the first s - ceil(t s) + l elements of
+  a set in a fixed order, l are shared with the first elements of every partner, so the lists of that many
+  elements find them all, and a pair found in fewer than l lists is none. The order is by weight, an estimate
+  of the number of documents that is kept for frequent elements (any fixed order is exact).
 * The boundary is the one with the least cost: subsets written against list entries written and scanned, from
   the histogram of small sizes. Pairs across it are found by the lists, so light sets that are within t of a
   heavy size are entered there, too.
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -100,8 +102,13 @@ class Threshold:
     def need(self, s: int, u: int) -> int:
         return math.ceil(self.least * (s + u) / (1 + self.least))
 
+    def shared_entries(self, s: int) -> int:
+        """Number of lists that a set of s elements shares with every partner, its own or larger."""
+        return 1 + s // 32
+
     def prefix(self, s: int) -> int:
-        return s - math.ceil(self.least * s) + 1
+        """Of so many rarest elements, shared_entries(s) are among those of every partner."""
+        return s - math.ceil(self.least * s) + self.shared_entries(s)
 
     def partners(self, s: int, upto: int) -> range:
         return range(math.ceil(self.least * s), min(upto, math.floor(s / self.least)) + 1)
@@ -264,7 +271,7 @@ def round_pairs(lists: DataFrame, labels: DataFrame, turn: int, bounds: Threshol
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
-    """All pairs across components that share a list and may link, from bounded blocks of the lists."""
+    """All pairs across components that share enough lists and may link, from bounded blocks of the lists."""
     marked = lists.join(labels, "node")
     open_lists = staged(marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"),
                                                   F.count("*").alias("n"))
@@ -282,21 +289,33 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> D
     p, q = bounds.least.numerator, bounds.least.denominator
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = set()
-        for (_, i, j), part in group.groupby(["key", "i", "j"], sort=False):
-            size, root, node, own = (part[c].to_numpy() for c in ("size", "root", "node", "own"))
-            may = (root[:, None] < root[None, :]) & (size[:, None] * q >= size[None, :] * p) \
-                & (size[None, :] * q >= size[:, None] * p)
-            if i != j:  # pairs within a block are met in the pair (i, i)
-                may &= own[:, None] != own[None, :]
-            left, right = np.nonzero(may)
-            bits = np.stack(part["bits"].to_list())
+        group = group.sort_values(["key", "i", "j", "node"], ignore_index=True)
+        size, root, node, own = (group[c].to_numpy() for c in ("size", "root", "node", "own"))
+        bits, within = np.stack(group["bits"].to_list()), group["i"].to_numpy() == group["j"].to_numpy()
+        starts = (group[["key", "i", "j"]].diff() != 0).any(axis=1).to_numpy()
+        first = np.flatnonzero(starts)
+        left_over = np.repeat(np.append(first[1:], len(group)), np.diff(np.append(first, len(group))))
+        left_over -= np.arange(len(group))  # rows from each one to the end of its list
+        found, least = Counter(), {}
+        for step in range(1, int(left_over.max(initial=0))):
+            left = np.flatnonzero(left_over > step)
+            right = left + step
+            # pairs within a block are met in the pair of blocks (i, i)
+            may = (root[left] != root[right]) & (within[left] | (own[left] != own[right])) \
+                & (size[left] * q >= size[right] * p) & (size[right] * q >= size[left] * p)
+            left, right = left[may], right[may]
             differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1)
             near = differ * (p + q) <= (size[left] + size[right]) * (q - p)
-            found.update(zip(node[left[near]].tolist(), node[right[near]].tolist()))
-        return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("task").applyInPandas(run, "a long, b long").distinct()
+            left, right = left[near], right[near]
+            for pair, s in zip(zip(node[left].tolist(), node[right].tolist()),
+                               np.minimum(size[left], size[right]).tolist()):
+                found[pair] += 1
+                least[pair] = bounds.shared_entries(s)
+        rows = [(a, b, count, least[a, b]) for (a, b), count in found.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "n", "least"], dtype="int64")
+
+    return (dealt.groupBy("task").applyInPandas(run, "a long, b long, n long, least long").groupBy("a", "b")
+            .agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"))
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
