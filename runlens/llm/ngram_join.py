@@ -14,9 +14,10 @@ elements. Documents with the same set are one class; the join runs over classes.
   the histogram of small sizes. Pairs across it are found by the lists, so light sets that are within t of a
   heavy size are entered there, too.
 
-A list of m entries is never expanded into m * m pairs. Each round picks one centre in every list that still
-spans several components and verifies the others against it; verified links are contracted. What several rounds
-leave is expanded across components only, in bounded blocks of a list, and verified: no link is lost.
+A list of m entries is never expanded into m * m pairs. First, two entries of every list are its centres, and the
+others are verified against them; verified links are contracted to components. What is left is met across
+components only, in bounded blocks of a list, and verified: no link is lost. Before sets are compared, sizes and
+512-bit parity sketches, whose difference never exceeds that of the sets, must allow a link.
 Lists, classes and components may hold a third of all rows: counts, centres and roots are combined map-side,
 joins back are plain shuffled joins whose large partitions Spark splits, verification is salted by centre.
 
@@ -47,7 +48,8 @@ WEIGHT_BITS = 18
 LARGEST_LIGHT = 20
 #: cost of a list entry against that of an enumerated subset: it is scanned and verified, too
 SCAN_COST = 4.0
-ROUNDS = 2
+#: centres of a list
+CENTRES = 2
 #: members verified with one centre in one task, all that a task verifies, entries of a list expanded in one task
 CENTRE_ROWS, VERIFY_ROWS, BLOCK_ROWS = 256, 2048, 512
 SKETCH_BITS = 512
@@ -152,7 +154,7 @@ def keys_of(grams: np.ndarray, bounds: Threshold, boundary: int, weights: np.nda
 
 
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows ``(id, size, digest)`` of the documents, and ``(bucket, weight)`` of buckets frequent in a task's rows."""
+    """Rows ``(id, size, digest, bits)`` of documents, and ``(bucket, weight)`` of buckets frequent in a task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << WEIGHT_BITS, np.int64)
         nothing = [None]
@@ -164,16 +166,16 @@ def read_sets(docs: DataFrame, n: int) -> DataFrame:
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(nothing * rows, pa.int32()), pa.array(nothing * rows, pa.int64())],
-                names=["id", "size", "digest", "bucket", "weight"])
+                 pa.array([sketch(g) for g in sets], pa.list_(pa.int64())), pa.array(nothing * rows, pa.int32()),
+                 pa.array(nothing * rows, pa.int64())], names=["id", "size", "digest", "bits", "bucket", "weight"])
         often = np.flatnonzero(counts > 16 + 4 * counts.mean()).astype(np.int32)
         rows = len(often)
         yield pa.RecordBatch.from_arrays(
             [pa.array(nothing * rows, pa.int64()), pa.array(nothing * rows, pa.int64()),
-             pa.array(nothing * rows, pa.binary()), pa.array(often), pa.array(counts[often])],
-            names=["id", "size", "digest", "bucket", "weight"])
+             pa.array(nothing * rows, pa.binary()), pa.array(nothing * rows, pa.list_(pa.int64())), pa.array(often),
+             pa.array(counts[often])], names=["id", "size", "digest", "bits", "bucket", "weight"])
 
-    return docs.mapInArrow(run, "id long, size long, digest binary, bucket int, weight long")
+    return docs.mapInArrow(run, "id long, size long, digest binary, bits array<long>, bucket int, weight long")
 
 
 def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, boundary: int,
@@ -192,15 +194,18 @@ def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, bou
                 names=["node", "keys"])
 
     firsts = classes.select(F.col("root").alias("node"))
-    entries = (docs.mapInArrow(run, "node long, keys array<long>").join(firsts, "node")
-               .select(F.explode("keys").alias("key"), "node"))
+    arrays = staged(docs.mapInArrow(run, "node long, keys array<long>").join(firsts, "node"), "keys")
+    entries = arrays.select(F.explode("keys").alias("key"), "node")
     # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
     several = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     return entries.join(several, "key")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bounds: Threshold) -> DataFrame:
-    """The pairs ``(a, b)`` that are linked. Sets travel to the tasks of b; centres of many pairs have several."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, bounds: Threshold) -> DataFrame:
+    """The pairs ``(a, b)`` that are linked. Sets are read again, for the pairs' documents alone, and travel to the
+    tasks of b; centres of many pairs have several."""
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    sets = set_rows(texts.join(needed, "id"), n)
     tasks = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("tasks")), "centres")
     blocks = max(1, -(-pairs.count() // VERIFY_ROWS))
     members = pairs.join(tasks, "b").select(
@@ -223,7 +228,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Threshold) -> DataFrame:
                 found.append((node, centre))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return sets.select("node", "grams").join(dealt, "node").groupBy("block").applyInPandas(run, "a long, b long")
+    return sets.join(dealt, "node").groupBy("block").applyInPandas(run, "a long, b long")
 
 
 def similar(left: np.ndarray, right: np.ndarray, bounds: Threshold) -> bool:
@@ -258,16 +263,19 @@ def may_link(bounds: Threshold):
             & (differ * (p + q) <= (F.col("size") + F.col("other")) * (q - p)))
 
 
-def round_pairs(lists: DataFrame, labels: DataFrame, turn: int, bounds: Threshold) -> DataFrame:
-    """Pairs of each entry with its list's centre, where the components differ and a link is possible."""
+def centre_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
+    """Pairs of each entry with its list's CENTRES centres, where a link is possible."""
     marked = lists.join(labels, "node")
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node"), F.col("root"),
-                            F.col("size"), F.col("bits"))).alias("c")
-    open_lists = (marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), centre)
-                  .where("least <> most").select("key", F.col("c.node").alias("b"), F.col("c.root").alias("to"),
-                                                 F.col("c.size").alias("other"), F.col("c.bits").alias("other_bits")))
-    return (marked.join(staged(open_lists, "open"), "key").where((F.col("root") != F.col("to")) & may_link(bounds))
-            .select(F.col("node").alias("a"), "b").distinct())
+    centres = [F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node"), F.col("size"),
+                              F.col("bits"))) for turn in range(CENTRES)]
+    chosen = staged(marked.groupBy("key").agg(*[c.alias(f"c{i}") for i, c in enumerate(centres)])
+                    .select("key", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres")),
+                    "chosen")
+    return (marked.join(chosen, "key").select("node", "size", "bits", F.explode("centres").alias("c"))
+            .select("node", "size", "bits", F.col("c.node").alias("b"), F.col("c.size").alias("other"),
+                    F.col("c.bits").alias("other_bits"))
+            .where((F.col("node") != F.col("b")) & may_link(bounds))
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
@@ -335,26 +343,24 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     bounds = Threshold(least)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = staged(read_sets(texts, n), "sets-read")
-    rows = read.where("bucket IS NULL").select("id", "size", "digest")
+    rows = read.where("bucket IS NULL").select("id", "size", "digest", "bits")
     weights = np.zeros(1 << WEIGHT_BITS, np.int64)
     often = read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()
     weights[often["bucket"].to_numpy(dtype=int)] = often["weight"]
     known = rows.where("size > 0 AND id IS NOT NULL")
-    classes = staged(known.groupBy("digest", "size").agg(F.min("id").alias("root")), "classes")
+    classes = staged(known.groupBy("digest", "size").agg(F.min("id").alias("root"), F.first("bits").alias("bits")), "classes")
     small = classes.where(F.col("size") <= 2 * LARGEST_LIGHT).groupBy("size").count()  # a row for each small size
     boundary = bounds.boundary({r["size"]: r["count"] for r in small.collect()})
 
     lists = staged(lists_of(texts.where("id IS NOT NULL"), classes.select("root").distinct(), n, bounds, boundary,
                             weights), "lists")
-    nodes = staged(lists.select(F.col("node").alias("id")).distinct(), "nodes")
-    sets = staged(set_rows(texts.join(nodes, "id"), n), "sets")
-    labels = staged(sets.select("node", "size", "bits", F.col("node").alias("root")).distinct(), "labels")
-    for turn in range(ROUNDS + 1):
-        pairs = round_pairs(lists, labels, turn, bounds) if turn < ROUNDS else remaining_pairs(lists, labels, bounds)
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        labels = contracted(labels, verified(pairs, sets, bounds))
+    nodes = staged(lists.select("node").distinct(), "nodes")
+    labels = staged(classes.select(F.col("root").alias("node"), "size", "bits", "root").join(nodes, "node")
+                    .select("node", "size", "bits", "root"), "labels")
+    for candidates in (centre_pairs, remaining_pairs):
+        pairs = staged(candidates(lists, labels, bounds), "pairs")
+        if not pairs.isEmpty():
+            labels = contracted(labels, verified(pairs, texts, n, bounds))
     # rows that repeat an id tie the classes of its texts together
     ends = classes.join(labels.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left")
     ends = ends.select("digest", F.coalesce("end", "root").alias("end"))
@@ -367,16 +373,13 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
 
 
 def set_rows(texts: DataFrame, n: int) -> DataFrame:
-    """``(node, size, bits, grams)``: whole sets as bytes, and their sketches; empty sets are left out."""
+    """``(node, grams)``: whole sets as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t or "", n) for t in part.column(1).to_pylist()]
-                found = pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, sets), pa.int64()),
-                     pa.array([sketch(g) for g in sets], pa.list_(pa.int64())),
-                     pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "size", "bits", "grams"])
-                yield found.filter(pa.array([len(g) > 0 for g in sets]))
-
-    return texts.select("id", "text").mapInArrow(run, "node long, size long, bits array<long>, grams binary")
+                grams = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())],
+                                                 names=["node", "grams"])
+
+    return texts.select("id", "text").mapInArrow(run, "node long, grams binary")
