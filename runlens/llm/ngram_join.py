@@ -8,8 +8,9 @@ elements. Documents with the same set are one class; the join runs over classes.
   the boundary; partners share one of these fixed-size subsets.
 * Heavy sets: the inverted lists of their rarest elements are scanned. Of the first s - ceil(t s) + l elements of
   a set in a fixed order, l are shared with the first elements of every partner, so the lists of that many
-  elements find them all, and a pair found in fewer than l lists is none. The order is by weight, an estimate
-  of the number of documents that is kept for frequent elements (any fixed order is exact).
+  elements find them all, and a pair found in fewer than l lists is none. Any fixed order is exact; this one
+  puts rare elements first: by weight, an estimate of the number of documents that is kept for frequent
+  elements, then n-grams of long words before those of short ones.
 * The boundary is the one with the least cost: subsets written against list entries written and scanned, from
   the histogram of small sizes. Pairs across it are found by the lists, so light sets that are within t of a
   heavy size are entered there, too.
@@ -44,7 +45,10 @@ from pyspark.sql import functions as F
 from runlens.llm.common import staged
 from runlens.llm.components import components
 
-WEIGHT_BITS = 18
+WEIGHT_BITS = 22
+WEIGHT_MASK = np.uint64((1 << WEIGHT_BITS) - 1)
+LEAST_WEIGHT = 32
+LENGTH_BITS, MOST_BYTES = 6, 63
 LARGEST_LIGHT = 20
 #: cost of a list entry against that of an enumerated subset: it is scanned and verified, too
 SCAN_COST = 4.0
@@ -75,21 +79,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of words; A-Z lower-cased, words parted by ASCII white space."""
+    """Sorted distinct 64-bit hashes of the n-grams of words; A-Z lower-cased, words parted by ASCII white space.
+
+    The highest bits hold how short the words are, so the longest n-grams come first: those are the rarest.
+    """
     data = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
     space = IS_SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.empty(0, int)
     if not len(starts):
         return np.empty(0, np.uint64)
     spans = np.diff(np.append(starts, len(data)))
-    data = data[starts[0]:]
+    data, space = data[starts[0]:], space[starts[0]:]
+    lengths = np.concatenate([[0], np.cumsum(np.add.reduceat(~space, starts - starts[0], dtype=np.int64))])
     within = np.arange(len(data)) - np.repeat(starts - starts[0], spans)
     words = mixed(np.add.reduceat(BYTE_VALUES[data] * powers(int(spans.max()))[within], starts - starts[0]))
     grams = min(n, len(words))
     found = np.full(len(words) - grams + 1, grams, np.uint64)
     for j in range(grams):
         found = mixed(found * ODD + words[j:j + len(found)])
-    return np.unique(found)
+    short = MOST_BYTES - np.minimum(lengths[grams:] - lengths[:-grams], MOST_BYTES)
+    return np.unique(short.astype(np.uint64) << np.uint64(64 - LENGTH_BITS) | found >> np.uint64(LENGTH_BITS))
 
 
 class Threshold:
@@ -145,7 +154,7 @@ def keys_of(grams: np.ndarray, bounds: Threshold, boundary: int, weights: np.nda
             out = np.array(list(itertools.combinations(range(s), s - size)), dtype=int).reshape(math.comb(s, size), s - size)
             found.append(mixed((whole - grams[out].sum(axis=1, dtype=np.uint64)) ^ mixed(np.full(1, size, np.uint64))))
     if s >= bounds.first_listed(boundary):
-        weight, count = weights[grams >> np.uint64(64 - WEIGHT_BITS)], bounds.prefix(s)
+        weight, count = weights[(grams & WEIGHT_MASK).astype(np.int64)], bounds.prefix(s)
         rare = grams[weight == 0][:count]
         if len(rare) < count:
             rare = grams[np.lexsort((grams, weight))[:count]]
@@ -156,24 +165,24 @@ def keys_of(grams: np.ndarray, bounds: Threshold, boundary: int, weights: np.nda
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
     """Rows ``(id, size, digest, bits)`` of documents, and ``(bucket, weight)`` of buckets frequent in a task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << WEIGHT_BITS, np.int64)
+        counts = np.zeros(1 << WEIGHT_BITS, np.int32)
         nothing = [None]
         for batch in batches:
             sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
-            places = (np.concatenate(sets) >> np.uint64(64 - WEIGHT_BITS)).astype(np.int64)
-            counts += np.bincount(places, minlength=len(counts))
+            places = (np.concatenate(sets) & WEIGHT_MASK).astype(np.int64)
+            counts += np.bincount(places, minlength=len(counts)).astype(np.int32)
             digests = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
                  pa.array([sketch(g) for g in sets], pa.list_(pa.int64())), pa.array(nothing * rows, pa.int32()),
                  pa.array(nothing * rows, pa.int64())], names=["id", "size", "digest", "bits", "bucket", "weight"])
-        often = np.flatnonzero(counts > 16 + 4 * counts.mean()).astype(np.int32)
+        often = np.flatnonzero(counts > 4 + 4 * counts.mean()).astype(np.int32)
         rows = len(often)
         yield pa.RecordBatch.from_arrays(
             [pa.array(nothing * rows, pa.int64()), pa.array(nothing * rows, pa.int64()),
              pa.array(nothing * rows, pa.binary()), pa.array(nothing * rows, pa.list_(pa.int64())), pa.array(often),
-             pa.array(counts[often])], names=["id", "size", "digest", "bits", "bucket", "weight"])
+             pa.array(counts[often].astype(np.int64))], names=["id", "size", "digest", "bits", "bucket", "weight"])
 
     return docs.mapInArrow(run, "id long, size long, digest binary, bits array<long>, bucket int, weight long")
 
@@ -344,8 +353,10 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = staged(read_sets(texts, n), "sets-read")
     rows = read.where("bucket IS NULL").select("id", "size", "digest", "bits")
-    weights = np.zeros(1 << WEIGHT_BITS, np.int64)
-    often = read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()
+    weights = np.zeros(1 << WEIGHT_BITS, np.uint8)  # by powers of two
+    often = (read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight"))
+             .where(F.col("weight") >= LEAST_WEIGHT).select("bucket", F.floor(F.log2("weight")).alias("weight")))
+    often = often.toPandas()
     weights[often["bucket"].to_numpy(dtype=int)] = often["weight"]
     known = rows.where("size > 0 AND id IS NOT NULL")
     classes = staged(known.groupBy("digest", "size").agg(F.min("id").alias("root"), F.first("bits").alias("bits")), "classes")
