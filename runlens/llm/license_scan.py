@@ -90,7 +90,10 @@ def template_rows(templates: list[tuple[str, str]]) -> list[tuple[int, str, list
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
                   templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``docs`` with ``license`` (best template's id or null), ``score`` (its Dice) and ``n_matches`` (blocks)."""
+    """``docs`` with ``license`` (best template's id or null), ``score`` (its Dice) and ``n_matches`` (blocks).
+
+    They stand at the end, in place of columns of these names.
+    """
     rows = template_rows(TEMPLATES if templates is None else templates)
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     smallest = min(len(grams) for _, _, grams in rows)
@@ -111,7 +114,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", threshold: float = TH
     blocks = F.concat(F.split(text, "\n", -1), F.when(F.size(paragraphs) > 1, several)
                       .otherwise(F.array().cast("array<string>")))
     long_enough = F.filter(F.transform(blocks, words_of), lambda w: F.size(w) > least * smallest)
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("license", "score", "n_matches")]
     found = docs.select(F.struct(*own).alias("_doc"), F.transform(long_enough, bigrams_of).alias("_blocks"))
     hits = F.filter(F.transform("_blocks", best_of), lambda b: b.isNotNull())
     scored = found.select("_doc", hits.alias("_hits")).select("_doc", F.array_max("_hits").alias("_best"),

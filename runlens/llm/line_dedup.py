@@ -50,10 +50,10 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 def drop_boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO,
                            min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
-    """``pages`` with ``text_col`` cleaned, and the columns ``n_lines`` and ``n_dropped`` at the end."""
+    """``pages`` with ``text_col`` cleaned, and ``n_lines`` and ``n_dropped`` at the end (in place of such columns)."""
     bad = staged(boilerplate(pages, host, F.col(text_col), ratio, min_host_pages), "boilerplate")
     size = bad.agg(F.coalesce(F.sum("n_bad"), F.lit(0)) + F.count("*")).first()[0]
-    own = pages.columns
+    own = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     packed = pages.select(F.struct(*own).alias("_page"), host.alias("_host"))
     if size <= BROADCAST_ROWS:
         joined = packed.join(F.broadcast(bad.select(F.col("host").alias("_host"), "bad")), "_host", "left")

@@ -308,7 +308,8 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> D
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "i", "j", "node"], ignore_index=True)
         size, root, node, own = (group[c].to_numpy() for c in ("size", "root", "node", "own"))
-        bits, within = np.stack(group["bits"].to_list()), group["i"].to_numpy() == group["j"].to_numpy()
+        bits = np.stack(group["bits"].to_list()).view(np.uint64)
+        within = group["i"].to_numpy() == group["j"].to_numpy()
         starts = (group[["key", "i", "j"]].diff() != 0).any(axis=1).to_numpy()
         first = np.flatnonzero(starts)
         left_over = np.repeat(np.append(first[1:], len(group)), np.diff(np.append(first, len(group))))

@@ -185,14 +185,14 @@ def spans_of(starts: list[int], counts: list[int], length: int) -> list[tuple[in
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    whole_chars: bool = False) -> DataFrame:
-    """``docs`` without its text, with ``n_bytes, n_removed, n_spans, kept`` at the end.
+    """``docs`` without its text, with ``n_bytes, n_removed, n_spans, kept`` at the end (in place of such columns).
 
     ``kept`` is binary, the bytes that stay. With ``whole_chars`` a character of which a byte stays, stays whole,
     so that ``kept`` is UTF-8.
     """
     if not GRAM < length <= 1 << (LENGTH_BITS - 1):
         raise ValueError(f"length must be above {GRAM} and at most {1 << (LENGTH_BITS - 1)}")
-    own = [c for c in docs.columns if c != text_col]
+    own = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
     carried = F.struct(*own).alias("row")
     text = text_or_empty(F.col(text_col)).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text, carried)

@@ -142,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` between 0 and 1 at the end."""
+    """``docs`` with a column ``score`` between 0 and 1 at the end (in place of one of that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
+    own = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
