@@ -12,7 +12,7 @@ class WordMemo(dict):
     words that are met again move back to the young one.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 150_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
