@@ -54,6 +54,12 @@ def as_string(v, path: str = "$") -> Column:
     return F.when(is_string(s), F.variant_get(s, "$", "string"))
 
 
+def text_at(v, path: str = "$") -> Column:
+    """Strings as they are, other JSON values as JSON text; NULL if the key is absent or holds a JSON null."""
+    s = sub(v, path) if path != "$" else _c(v)
+    return F.when(~F.is_variant_null(s), F.coalesce(as_string(s), F.to_json(s)))
+
+
 # JSON texts of the falsy values: null, false, "", {}, [], numeric zero
 _FALSY_JSON = r'^(?:null|false|""|\{\}|\[\]|-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?)$'
 

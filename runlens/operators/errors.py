@@ -60,10 +60,10 @@ def flatten_children(runs: DataFrame, doc_col: str = "doc", max_depth: int = MAX
     return out.select(
         *[F.col(c).alias("stored_run_id") if c == "run_id" else F.col(c) for c in keep],
         F.col("_d.depth").alias("depth"),
-        F.coalesce(V.as_string(ch, "$.id"), F.to_json(V.sub(ch, "$.id"))).alias("id"),
+        V.text_at(ch, "$.id").alias("id"),
         V.as_string(ch, "$.name").alias("name"),
         V.as_string(ch, "$.status").alias("status"),
-        F.coalesce(V.as_string(ch, "$.error"), F.to_json(V.sub(ch, "$.error"))).alias("error"),
+        V.text_at(ch, "$.error").alias("error"),
         V.as_string(ch, "$.start_time").alias("start_time"),
         ch.alias("child_doc"),
     )

@@ -19,7 +19,7 @@ def consistency_violations(runs: DataFrame, by: list[str] | None = None) -> Data
     d = F.col("doc")
     aggs = [F.count(F.lit(1)).alias("n_runs")]
     for k in ("run_id", "trace_id", "project", "run_date"):
-        dv = F.coalesce(V.as_string(d, "$." + k), F.to_json(V.sub(d, "$." + k)))
+        dv = V.text_at(d, "$." + k)
         bad = dv.isNotNull() & (dv != F.col(k).cast("string"))
         aggs.append(F.count_if(F.coalesce(bad, F.lit(False))).alias(f"{k}_mismatch"))
     return runs.groupBy(*by).agg(*aggs)

@@ -121,7 +121,7 @@ def resolve_trace_project(runs: DataFrame, doc_col: str = "doc") -> DataFrame:
     meta = V.obj_or_empty(V.obj_or_empty(doc, "$.extra"), "$.metadata")
     path = "$." + PROJECT_METADATA_KEY
     has = V.present(meta, path)
-    pval = F.coalesce(V.as_string(meta, path), F.to_json(V.sub(meta, path)))
+    pval = V.text_at(meta, path)
     sess_present = V.present(doc, "$.session_id")
     sess = F.when(sess_present, V.as_string(doc, "$.session_id")).otherwise(F.lit("unknown"))
     g = runs.groupBy("trace_id").agg(

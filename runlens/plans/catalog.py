@@ -231,7 +231,8 @@ SELECT request_id AS dedup_key, first(trace_id ORDER BY start_time, ord) AS trac
 FROM (SELECT trace_id, min(strftime(start_time, '%Y-%m-%dT%H:%M:%S.%fZ')) AS start_time,
              arg_min(request_id, ord) AS request_id, min(ord) AS ord, count(*) AS runs_processed
       FROM runs GROUP BY trace_id) t
-GROUP BY request_id""", RUNS))
+WHERE trace_id IN (SELECT trace_id FROM rf GROUP BY trace_id HAVING bool_or(meets_strict))
+GROUP BY request_id""", RUNS, FB, O.run_fields_cte()))
 def q_dedup_requests(spark: SparkSession, sf: str) -> DataFrame:
     t = EV.dedup_by_request(EV.file_trace_summary(FX.run_documents(spark, sf)))
     return t.select("dedup_key", "trace_id", "start_time", F.col("runs_processed").cast("bigint"))

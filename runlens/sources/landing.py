@@ -61,7 +61,7 @@ def reconcile(files: DataFrame) -> DataFrame:
 
 
 def _id_str(run: Column, key: str) -> Column:
-    return F.coalesce(V.as_string(run, "$." + key), F.to_json(V.sub(run, "$." + key)))
+    return V.text_at(run, "$." + key)
 
 
 def valid_legacy(runs: DataFrame) -> Column:
