@@ -220,15 +220,16 @@ def file_trace_summary(runs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def dedup_by_request(traces: DataFrame) -> DataFrame:
-    """Of the traces that meet the criteria, one per request_id (trace_id when there is none): earliest
-    start_time, ties -> first.
+    """Of the traces that meet the criteria (all, where they are not marked by ``meets_criteria``), one per
+    request_id (trace_id when there is none): earliest start_time, ties -> first.
 
     Written as an aggregation (min over a struct) instead of ``row_number`` so that a request id
     holding a third of all traces is reduced map-side rather than sorted in one task."""
     key = F.coalesce(F.when(F.length("request_id") > 0, F.col("request_id")), F.col("trace_id"))
     cols = list(traces.columns)
     rest = [c for c in cols if c not in ("start_time", "ord")]
-    best = traces.where("meets_criteria").groupBy(key.alias("dedup_key")).agg(
+    qualified = traces.where("meets_criteria") if "meets_criteria" in traces.columns else traces
+    best = qualified.groupBy(key.alias("dedup_key")).agg(
         F.min(F.struct(F.col("start_time"), F.col("ord"), *[F.col(c) for c in rest])).alias("_b"))
     return best.select("dedup_key", *[F.col("_b." + c).alias(c) for c in cols])
 
