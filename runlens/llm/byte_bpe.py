@@ -12,7 +12,6 @@ Texts are cut by a pattern first, as usual for such vocabularies; a table covers
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.memo import WordMemo
+from runlens.llm.worker import held, tidy
 
 #: Characters of the Unicode property White_Space besides space and line feed.
 OTHER_SPACE = regex.compile(r"[^\P{White_Space} \n]")
@@ -193,10 +193,9 @@ class TextCodec:
             self.vocabulary.pairs.clear()
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> TextCodec:
-    """One for the life of a Python worker."""
-    return TextCodec(Vocabulary.from_file(path), pattern)
+    """One, which the Python worker holds for its next tasks."""
+    return held(f"bytes {path} {pattern}", lambda: TextCodec(Vocabulary.from_file(path), pattern))
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
@@ -218,7 +217,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
-        run, f"id {id_type}, ids binary, decoded binary")
+        tidy(run, f"bytes {path} {pattern}"), f"id {id_type}, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

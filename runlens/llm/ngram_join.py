@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import staged
 from runlens.llm.components import components
+from runlens.llm.worker import sliced, tidy, tidy_group
 
 WEIGHT_BITS = 22
 WEIGHT_MASK = np.uint64((1 << WEIGHT_BITS) - 1)
@@ -167,10 +168,10 @@ def read_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << WEIGHT_BITS, np.int32)
         nothing = [None]
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
-            places = (np.concatenate(sets) & WEIGHT_MASK).astype(np.int64)
-            counts += np.bincount(places, minlength=len(counts)).astype(np.int32)
+            for grams in sets:
+                np.add.at(counts, (grams & WEIGHT_MASK).astype(np.int64), 1)
             digests = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +185,7 @@ def read_sets(docs: DataFrame, n: int) -> DataFrame:
              pa.array(nothing * rows, pa.binary()), pa.array(nothing * rows, pa.list_(pa.int64())), pa.array(often),
              pa.array(counts[often].astype(np.int64))], names=["id", "size", "digest", "bits", "bucket", "weight"])
 
-    return docs.mapInArrow(run, "id long, size long, digest binary, bits array<long>, bucket int, weight long")
+    return docs.mapInArrow(tidy(run), "id long, size long, digest binary, bits array<long>, bucket int, weight long")
 
 
 def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, boundary: int,
@@ -193,7 +194,7 @@ def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, bou
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** WEIGHT_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [keys_of(shingles(t or "", n), bounds, boundary, shared.value)
                     for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -203,7 +204,7 @@ def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, bou
                 names=["node", "keys"])
 
     firsts = classes.select(F.col("root").alias("node"))
-    arrays = staged(docs.mapInArrow(run, "node long, keys array<long>").join(firsts, "node"), "keys")
+    arrays = staged(docs.mapInArrow(tidy(run), "node long, keys array<long>").join(firsts, "node"), "keys")
     entries = arrays.select(F.explode("keys").alias("key"), "node")
     # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
     several = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
@@ -237,7 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, bounds: Threshold) -> D
                 found.append((node, centre))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return sets.join(dealt, "node").groupBy("block").applyInPandas(run, "a long, b long")
+    return sets.join(dealt, "node").groupBy("block").applyInPandas(tidy_group(run), "a long, b long")
 
 
 def similar(left: np.ndarray, right: np.ndarray, bounds: Threshold) -> bool:
@@ -332,8 +333,8 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> D
         rows = [(a, b, count, least[a, b]) for (a, b), count in found.items()]
         return pd.DataFrame(rows, columns=["a", "b", "n", "least"], dtype="int64")
 
-    return (dealt.groupBy("task").applyInPandas(run, "a long, b long, n long, least long").groupBy("a", "b")
-            .agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"))
+    return (dealt.groupBy("task").applyInPandas(tidy_group(run), "a long, b long, n long, least long")
+            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"))
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -387,11 +388,8 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
 def set_rows(texts: DataFrame, n: int) -> DataFrame:
     """``(node, grams)``: whole sets as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                grams = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())],
-                                                 names=["node", "grams"])
-
-    return texts.select("id", "text").mapInArrow(run, "node long, grams binary")
+        for part in sliced(batches):
+            grams = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+    return texts.select("id", "text").mapInArrow(tidy(run), "node long, grams binary")

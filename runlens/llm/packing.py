@@ -15,6 +15,7 @@ table has no pieces; a document that is an exact multiple of the window has no r
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import staged
 from runlens.llm.memo import WordMemo
+from runlens.llm.worker import held, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -35,12 +37,11 @@ SHARD_TOKENS = 4_000_000
 #: spaces and line feeds alone; other white space stays inside a word and is left to the tokenizer
 GAPS = re.compile("[ \n]+")
 
-_tokenizers: dict[str, WordMemo] = {}
-
 
 def word_ids(path: str) -> WordMemo:
-    """Memo word -> packed ids of the tokenizer at ``path``, kept for the life of the Python worker."""
-    if path not in _tokenizers:
+    """Memo word -> packed ids of the tokenizer at ``path``; the Python worker holds it for its next tasks."""
+    def make() -> WordMemo:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own hold memory each
         from tokenizers import Tokenizer
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -48,8 +49,8 @@ def word_ids(path: str) -> WordMemo:
         def compute(words: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<u4").tobytes()
                     for e in model.encode_batch_fast(words, add_special_tokens=False)]
-        _tokenizers[path] = WordMemo(compute)
-    return _tokenizers[path]
+        return WordMemo(compute)
+    return held(f"words {path}", make)
 
 
 def token_bytes(texts: list[str], memo: WordMemo) -> list[bytes]:
@@ -84,7 +85,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     names=["doc_id", "doc_tokens", "lengths", "crcs"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        cut, f"doc_id {id_type.simpleString()}, doc_tokens long, lengths array<long>, crcs array<long>")
+        tidy(cut, f"words {path}"), f"doc_id {id_type.simpleString()}, doc_tokens long, lengths array<long>, crcs array<long>")
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> list[int]:

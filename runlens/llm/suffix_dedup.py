@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import staged, text_or_empty
 from runlens.llm.suffix_array import common_prefixes, suffix_array, words_at
+from runlens.llm.worker import tidy, tidy_group
 
 LENGTH = 100
 GRAM = 24
 #: string starts handled at once in a document: bounds memory and keeps places below the bits of a hash
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: stretches of one anchor in a block, and of a block altogether (about 140 bytes each)
-SPLIT, BLOCK = 2048, 16_384
+SPLIT, BLOCK = 2048, 8192
 LENGTH_BITS = 10
 
 _draw = np.random.default_rng(77)
@@ -128,7 +129,8 @@ def occurrences(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
                     + [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
                        pa.array((first << LENGTH_BITS) | count)], names=[*keys, "anchor", "content", "at"])
 
-    return texts.select(*keys, "text").mapInArrow(run, f"{types(texts, keys)}, anchor long, content long, at long")
+    return texts.select(*keys, "text").mapInArrow(
+        tidy(run), f"{types(texts, keys)}, anchor long, content long, at long")
 
 
 def types(df: DataFrame, columns: list[str]) -> str:
@@ -224,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         *keys, "at", "data", (F.col("n") > SPLIT).alias("hot"),
         F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64(*keys, "at"), parts)), F.lit(blocks)).alias("block"))
     result = staged(dealt.groupBy("block").applyInPandas(
-        lambda group: block_repeats(group, keys, length),
+        tidy_group(lambda group: block_repeats(group, keys, length)),
         f"{types(rows, keys)}, kind int, start long, starts long, w1 long, w2 long"), "repeats")
     hot = result.where("kind = 1")
     earliest = hot.groupBy("w1", "w2").agg(F.min(F.struct(*keys, "start")).alias("first"), F.count("*").alias("n"))
@@ -299,7 +301,7 @@ def cut_rows(joined: DataFrame, keys: list[str], length: int, whole_chars: bool)
                     + [pa.array(c, t) for c, t in zip(columns, kinds)],
                     names=[*keys, "row", "n_bytes", "n_removed", "n_spans", "kept", "text", "gone", "pieces"])
 
-    return joined.select(*keys, "row", "text", "marks").mapInArrow(run, schema)
+    return joined.select(*keys, "row", "text", "marks").mapInArrow(tidy(run), schema)
 
 
 def cut_again(open_: DataFrame, length: int, whole_chars: bool) -> DataFrame:
@@ -316,7 +318,8 @@ def cut_again(open_: DataFrame, length: int, whole_chars: bool) -> DataFrame:
                 [batch.column("row")] + [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()])],
                 names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return open_.select("row", "text", "gone", "more").mapInArrow(run, f"{carried_type(open_)}, {RESULT}")
+    return open_.select("row", "text", "gone", "more").mapInArrow(
+        tidy(run), f"{carried_type(open_)}, {RESULT}")
 
 
 __all__ = ["block_repeats", "remove_repeats", "spans_of", "stretches"]

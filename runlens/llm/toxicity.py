@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.worker import sliced, tidy, tidy_group
+
 BITS = 18
 LONGEST = 5
 FIT_ROWS = 3000
+#: rows whose features are handled at once in fitting
+FIT_PART = 250
 THRESHOLD = 0.7
 #: Length of a document's vector, weight of the squared norm, steps of the optimiser.
 SCALE, RIDGE, STEPS = 5.0, 3e-5, 60
@@ -63,17 +67,22 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam over the whole sample in every step."""
-    place, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    row, n = np.repeat(np.arange(len(rows)), sizes), len(rows)
-    value = ratios[place]
-    value = SCALE * value / (np.sqrt(np.bincount(row, value * value, n)) + 1e-9)[row]
-    share = toxic.mean()
+    n, share, parts = len(rows), toxic.mean(), []
+    for at in range(0, n, FIT_PART):  # arrays of a part of the rows at a time bound the memory
+        place, sizes = np.concatenate(rows[at:at + FIT_PART]), [len(r) for r in rows[at:at + FIT_PART]]
+        row, value = np.repeat(np.arange(len(sizes)), sizes), ratios[place]
+        value = SCALE * value / (np.sqrt(np.bincount(row, value * value, len(sizes))) + 1e-9)[row]
+        parts.append((place, sizes, value.astype(np.float32), toxic[at:at + FIT_PART]))
     theta = np.append(np.zeros(1 << BITS), np.log(share / (1 - share)))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, theta[place] * value, n) + theta[-1]
-        error = (1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0))) - toxic) / n
-        slope = np.append(np.bincount(place, value * error[row], 1 << BITS) + RIDGE * theta[:-1], error.sum())
+        slope = np.append(RIDGE * theta[:-1], 0.0)
+        for place, sizes, value, marks in parts:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(row, theta[place] * value, len(sizes)) + theta[-1]
+            error = (1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0))) - marks) / n
+            slope[:-1] += np.bincount(place, value * error[row], 1 << BITS)
+            slope[-1] += error.sum()
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         theta -= 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
@@ -92,7 +101,7 @@ def count_ratios(texts: DataFrame, marks: DataFrame) -> tuple[np.ndarray, int, i
     """Log-count ratios over all labelled rows, and the numbers of toxic and other rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, (1 << BITS) + 1), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found[toxic, features(text or "")] += 1
                 found[toxic, -1] += 1
@@ -101,7 +110,7 @@ def count_ratios(texts: DataFrame, marks: DataFrame) -> tuple[np.ndarray, int, i
                                          names=["place", "toxic", "other"])
 
     joined = texts.join(marks, "id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sums = (joined.mapInArrow(count, "place int, toxic long, other long").groupBy("place")
+    sums = (joined.mapInArrow(tidy(count), "place int, toxic long, other long").groupBy("place")
             .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas())
     counts = np.zeros((2, (1 << BITS) + 1))
     counts[1, sums["place"]], counts[0, sums["place"]] = sums["toxic"], sums["other"]
@@ -118,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(np.zeros(1 << BITS), ratios, float(np.log((toxic + 1) / (other + 1))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             places = [features(t or "").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), batch.column(2)],
                                              names=["id", "places", "toxic"])
@@ -135,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = marks.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # proven size: fit_rows rows of an id and a mark
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = (texts.join(F.broadcast(sample), "id").select("id", "text", "toxic")
-            .mapInArrow(read, f"id {id_type}, places binary, toxic int")
+            .mapInArrow(tidy(read), f"id {id_type}, places binary, toxic int")
             .groupBy("id").agg(F.min("places").alias("places"), F.max("toxic").alias("toxic")))
-    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(train, "weights binary, bias double").first()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
+        tidy_group(train), "weights binary, bias double").first()
     return Model(np.frombuffer(found["weights"], float), ratios, found["bias"])
 
 
@@ -147,11 +157,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [shared.value.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())],
                                              names=["_doc", "score"])
 
     packed = docs.select(F.struct(*own).alias("_doc"), F.col(text_col).alias("_text"))
     schema = f"_doc {packed.schema['_doc'].dataType.simpleString()}, score double"
-    return packed.mapInArrow(run, schema).select(*[F.col("_doc")[c].alias(c) for c in own], "score")
+    return packed.mapInArrow(tidy(run), schema).select(*[F.col("_doc")[c].alias(c) for c in own], "score")
