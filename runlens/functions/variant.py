@@ -82,5 +82,7 @@ def obj_or_empty(v, path: str) -> Column:
 def to_double(v, path: str) -> Column:
     """``float(x)`` for numbers, booleans and numeric strings, else NULL (ValueError/TypeError -> None)."""
     x = sub(v, path)
-    return F.when(is_string(x), F.trim(F.variant_get(x, "$", "string")).try_cast("double")) \
+    s = F.trim(F.variant_get(x, "$", "string"))
+    # a cast also takes the suffixes d and f, as in 0.9d
+    return F.when(is_string(x), F.when(~s.rlike("(?i)[0-9.][df]$"), s.try_cast("double"))) \
         .otherwise(F.try_variant_get(x, "$", "double"))

@@ -10,20 +10,22 @@ Scale notes
   before the shuffle; no window and no ``collect_list`` runs over a trace.
 * Error facts are attached to their trace root with an equi-join against a one-row-per-trace table;
   AQE broadcasts it when its measured size is small and splits skewed keys otherwise.
-* Nested ``child_runs`` are flattened in one projection (bounded-depth higher-order functions) and
-  one ``explode``: no shuffle, no driver loop; deeper trees fail loudly instead of being cut.
+* Nested ``child_runs`` are flattened level by level, to any depth: each round explodes the children of
+  the level before, which is written to the shared folder and shrinks; no shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
 from runlens.functions import variant as V
+from runlens.session import staged
 
 KEYS = ["project", "run_date", "trace_id"]
-MAX_NESTING = 8
 
 
 # ------------------------------------------------------------------------------------------ N1
@@ -34,32 +36,24 @@ def _children(arr_or_run: Column) -> Column:
     return F.filter(arr, lambda c: V.is_object(c))
 
 
-def flatten_children(runs: DataFrame, doc_col: str = "doc", max_depth: int = MAX_NESTING,
-                     keep: list[str] | None = None) -> DataFrame:
+def flatten_children(runs: DataFrame, doc_col: str = "doc", keep: list[str] | None = None) -> DataFrame:
     """One row per nested descendant run found in ``doc.child_runs`` at any depth.
 
     Output: the parent's ``keep`` columns (default keys + run_id as ``stored_run_id``), ``depth``
     (1 = direct child) and the descendant's ``id, name, status, error, start_time`` and ``child_doc``.
-    Trees deeper than ``max_depth`` raise an error inside the job (never silently truncated).
+    Levels are written one by one until one is empty, so the documents are read once.
     """
     keep = keep or [c for c in KEYS + ["run_id", "ord"] if c in runs.columns]
-    # one projected column per level: level d+1 is computed from the *column* of level d, so the
-    # work is linear in depth (CollapseProject keeps a column referenced twice un-inlined)
-    df = runs.select(*[F.col(c) for c in keep], _children(F.col(doc_col)).alias("_l1")).where(F.size("_l1") > 0)
-    for d in range(2, max_depth + 2):
-        df = df.withColumn(f"_l{d}", F.flatten(F.transform(F.col(f"_l{d - 1}"), lambda c: _children(c))))
-    levels = []
-    for d in range(1, max_depth + 1):
-        depth = F.lit(d)
-        levels.append(F.transform(F.col(f"_l{d}"), lambda c: F.struct(depth.alias("depth"), c.alias("child"))))
-    too_deep = F.size(F.col(f"_l{max_depth + 1}")) > 0
-    out = df.select(*keep, F.when(too_deep, F.raise_error(F.lit(f"child_runs nested deeper than {max_depth}")))
-                    .otherwise(F.concat(*levels)).alias("_desc"))
-    out = out.select(*keep, F.explode("_desc").alias("_d"))
-    ch = F.col("_d.child")
+    levels, above = [], runs.select(*keep, F.lit(0).alias("depth"), F.col(doc_col).alias("child"))
+    while not levels or not levels[-1].isEmpty():
+        levels.append(staged(above.select(*keep, (F.col("depth") + 1).alias("depth"),
+                                          F.explode(_children(F.col("child"))).alias("child")), "children"))
+        above = levels[-1]
+    out = functools.reduce(DataFrame.union, levels[:-1] or levels)
+    ch = F.col("child")
     return out.select(
         *[F.col(c).alias("stored_run_id") if c == "run_id" else F.col(c) for c in keep],
-        F.col("_d.depth").alias("depth"),
+        F.col("depth"),
         V.text_at(ch, "$.id").alias("id"),
         V.as_string(ch, "$.name").alias("name"),
         V.as_string(ch, "$.status").alias("status"),
@@ -252,5 +246,5 @@ def detail_totals(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def error_signatures(runs: DataFrame, predicate=None) -> DataFrame:
     """Frequency of cleaned error signatures (F3) over error runs."""
-    r = runs.where(F.col("status") == "error") if predicate is None else runs.where(predicate)
+    r = runs.where(F.lower("status") == "error") if predicate is None else runs.where(predicate)
     return r.groupBy(T.clean_error(F.col("error")).alias("signature")).agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from runlens.operators import curation as C
 from runlens.operators import errors as E
 from runlens.operators import evaluation as EV
 from runlens.operators import quality as Q
+from runlens.session import staged
 from runlens.sources import landing as L
 from runlens.sources import runtable as RT
 from runlens.sources import sinks as SK
@@ -50,10 +51,12 @@ def create_dataset(spark: SparkSession, table: str, project: str, eval_type: str
     if best_100:
         # dataset order of the reference = (run_date, trace_id); curation only compares positions,
         # so the ordering key itself serves as position (no global window / row numbering)
+        ds = staged(ds, "dataset")  # curation reads it several times
         ex = ds.withColumn("pos", F.struct("run_date", "trace_id"))
-        cur = C.curate(ex.select("pos", "website_url", "is_available", "notes"), 100)
+        cur = staged(C.curate(ex.select("pos", "website_url", "is_available", "notes"), 100), "curated")
         C.validate(cur)
-        ds = cur
+        # the whole examples at the positions picked
+        ds = ds.join(cur.select("pos.*"), ["run_date", "trace_id"], "left_semi").select(*ds.columns)
     if out:
         name = f"{project}_{eval_type}_{start}_{end}" + ("_best100" if best_100 else "")
         SK.write_dataset_jsonl(ds, f"{out}/{name}", eval_type)

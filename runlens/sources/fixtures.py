@@ -38,15 +38,8 @@ N_PROJECTS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table. The test files are single row-group Parquet files (one scan task);
-    a production table has many splits. When a table yields fewer splits than cores it is spread
-    round-robin (no key, hence no hot-key skew) so that the per-row work of the jobs runs on all
-    cores instead of one, as it would on a multi-file table."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df
+    """Read one test table, with the splits that its files have."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _pick(idx_col, values):

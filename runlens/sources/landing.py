@@ -84,7 +84,7 @@ def to_records(runs: DataFrame, project: Column | str | None = None, date_mode:
     run_id = id; trace_id falls back to id (also when the run has trace_id null, Q10);
     project = the given project, else the path project; run_date = start_time's date (``utc``: after
     conversion to UTC; ``offset_local``: the date written in the timestamp, Q8); a missing start_time
-    takes ``ingest_date`` (deterministic stand-in for "today", Q9)."""
+    takes ``ingest_date`` (stand-in for "today", Q9) or else the day on which its file was written."""
     r = F.col("run")
     st_raw = V.as_string(r, "$.start_time")
     st = F.regexp_replace(st_raw, "Z$", "+00:00").try_cast("timestamp")
@@ -96,6 +96,8 @@ def to_records(runs: DataFrame, project: Column | str | None = None, date_mode:
         raise ValueError("date_mode must be 'utc' or 'offset_local'")
     if ingest_date is not None:
         day = F.coalesce(day, F.lit(ingest_date).cast("date"))
+    elif "file_mtime" in runs.columns:
+        day = F.coalesce(day, F.to_date("file_mtime"))
     proj = (F.col(project) if isinstance(project, str) and project in runs.columns
             else F.lit(project) if isinstance(project, str) else project if project is not None
             else F.col("path_project"))
@@ -110,7 +112,7 @@ def to_records(runs: DataFrame, project: Column | str | None = None, date_mode:
         st_raw.alias("start_time_raw"),
         V.as_string(r, "$.name").alias("name"),
         V.as_string(r, "$.status").alias("status"),
-        F.coalesce(V.as_string(r, "$.error"), F.when(~F.is_variant_null(V.sub(r, "$.error")), F.to_json(V.sub(r, "$.error")))).alias("error"),
+        V.text_at(r, "$.error").alias("error"),
         r.alias("doc"),
         *[c for c in ("file_path", "format", "extracted_hhmmss", "file_mtime") if c in runs.columns],
     )

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 KEY_COLS = ["run_id", "trace_id", "project", "run_date"]
 
@@ -35,14 +36,24 @@ def append_batch(records: DataFrame, log_path: str, batch: int, ingest_ts=None)
            .withColumns({"ingest_batch": F.lit(batch), "created_at": F.coalesce(
                F.col("created_at") if "created_at" in records.columns else F.lit(None).cast("timestamp"), ts)}))
     if "ingest_seq" not in out.columns:
-        out = out.withColumn("ingest_seq", F.lit(batch).cast("bigint") * F.lit(1 << 40)
-                             + F.monotonically_increasing_id() % F.lit(1 << 40))
+        out = out.withColumn("ingest_seq", ingest_order(out))
     if "doc" in out.columns:
         out = out.withColumn("doc", F.to_json("doc"))
     out.write.mode("append").partitionBy("ingest_batch").parquet(log_path)
     return dict(obs.get)
 
 
+def ingest_order(rows: DataFrame) -> Column:
+    """Place of a row in the order of ingestion as decimal(38,0): batch, then start time, then run.
+
+    It follows from the row alone, so a task that runs again gives the same order, whatever the number of rows.
+    """
+    started = F.unix_micros("start_time") if "start_time" in rows.columns else F.lit(0)
+    parts = ((F.col("ingest_batch"), 10), (F.greatest(F.coalesce(started, F.lit(0)), F.lit(0)), 17),
+             (F.pmod(F.xxhash64("run_id"), F.lit(10 ** 11)), 11))
+    return F.concat(*[F.lpad(c.cast("string"), n, "0") for c, n in parts]).cast("decimal(38,0)")
+
+
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     df = spark.read.parquet(log_path)
     if "doc" in df.columns:
@@ -65,20 +76,32 @@ def latest(log: DataFrame, seq: str = "ingest_seq") -> DataFrame:
 
 def compact(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a run table version partitioned by (project, run_date), zstd Parquet, rows of a
-    partition clustered by trace_id. Refuses an empty input (V4)."""
-    if runs.isEmpty():
-        raise ValueError("nothing to compact: no runs")
+    partition clustered by trace_id; a busy project and day is split into several files by trace.
+    Fails on an empty input (V4), counted while it is written."""
+    from pyspark.sql import Observation
+    rows = Observation()
     out = runs.withColumn("doc", F.to_json("doc")) if "doc" in runs.columns and \
         runs.schema["doc"].dataType.typeName() == "variant" else runs
-    (out.repartition("project", "run_date")
-        .sortWithinPartitions("trace_id", "run_id")
+    (out.repartitionByRange("project", "run_date", "trace_id")
+        .sortWithinPartitions("project", "run_date", "trace_id", "run_id")
+        .observe(rows, F.count(F.lit(1)).alias("n"))
         .write.mode(mode).option("compression", "zstd")
         .partitionBy("project", "run_date").parquet(path))
+    if not rows.get["n"]:
+        raise ValueError("nothing to compact: no runs")
+
+
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its partition columns as written: project names such as 007 stay strings."""
+    kinds = {"project": StringType(), "run_date": DateType()}
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType), f.nullable)
+                                         for f in found])).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, project: str | None = None, start=None, end=None) -> DataFrame:
     """S3 over a compacted table: partition filters prune directories before any file is opened."""
-    df = spark.read.parquet(path)
+    df = read_partitioned(spark, path)
     if project is not None:
         df = df.where(F.col("project") == project)
     if start is not None:
@@ -96,7 +119,7 @@ def restore_partition(spark: SparkSession, archive_path: str, table_path: str, p
                       force: bool = False) -> int:
     """Copy one archived (project, day) partition back into a table; refuses to overwrite an
     existing partition unless ``force``."""
-    src = spark.read.parquet(archive_path).where(
+    src = read_partitioned(spark, archive_path).where(
         (F.col("project") == project) & (F.col("run_date") == F.lit(day).cast("date")))
     target = os.path.join(table_path, f"project={project}", f"run_date={day}")
     n = src.count()
@@ -108,11 +131,11 @@ def restore_partition(spark: SparkSession, archive_path: str, table_path: str, p
 
 
 def partition_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Per (project, day) folder of the landing area: run files, summary files, bytes, MB.
+    """Per (project, day) folder of the landing area: run files, bytes, MB.
     Lists files with the ``binaryFile`` source without reading their content."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", "*.json").load(root).select("path", "length"))
-    # ``_summary.json`` is hidden from the file index; count it from its own glob
+    # ``_summary.json`` is hidden from the file index and does not count
     path = F.col("path")
     parts = df.select(F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 1).alias("project"),
                       F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 2).alias("date"),

@@ -50,16 +50,24 @@ def test_empty_day_still_reports_a_row(spark, docs_df):
     assert len(rep) == 1 and rep[0]["total_traces"] == 0 and rep[0]["error_rate"] == 0.0
 
 
-def test_deep_nesting_and_depth_guard(spark, docs_df):
-    node = {"id": "leaf", "name": "zenrows_scraper", "status": "error"}
-    for i in range(5):
-        node = {"id": f"n{i}", "name": "mid", "status": "success", "child_runs": [node]}
-    runs = [{"id": "r", "name": "root", "status": "success", "child_runs": [node]}]
-    flat = E.flatten_children(docs_df(runs), max_depth=8).collect()
-    assert max(r["depth"] for r in flat) == 6 and len(flat) == 6
-    import pytest
-    with pytest.raises(Exception):
-        E.flatten_children(docs_df(runs), max_depth=3).collect()
+def test_nesting_of_any_depth(spark, docs_df):
+    def tree(depth):
+        node = {"id": f"leaf{depth}", "name": "zenrows_scraper", "status": "error"}
+        for i in range(depth - 1):
+            node = {"id": f"n{depth}.{i}", "name": "mid", "status": "success", "child_runs": [node, None, "x"]}
+        return {"id": f"r{depth}", "name": "root", "status": "success", "child_runs": [node]}
+
+    runs = [tree(20), tree(1), tree(3), {"id": "flat", "name": "root", "status": "success", "child_runs": []}]
+    flat = E.flatten_children(docs_df(runs)).collect()
+    assert sorted((r["stored_run_id"], r["depth"]) for r in flat) == sorted(
+        (f"r{n}", d) for n in (20, 1, 3) for d in range(1, n + 1))
+    assert {(r["id"], r["depth"]) for r in flat if r["status"] == "error"} == {("leaf20", 20), ("leaf1", 1), ("leaf3", 3)}
+    assert E.flatten_children(docs_df(runs[3:])).count() == 0
+
+
+def test_signatures_of_errors_in_any_case(spark):
+    rows = spark.createDataFrame([("ERROR", "boom"), ("error", "boom"), ("success", "boom")], "status string, error string")
+    assert [tuple(r) for r in E.error_signatures(rows).collect()] == [("boom", 2)]
 
 
 def test_error_hierarchy_symbol_and_root(spark, docs_df):

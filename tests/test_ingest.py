@@ -158,3 +158,77 @@ def test_jobs_end_to_end(spark, landing):
     assert ds.count() == 0
     with pytest.raises(ValueError):
         jobs.create_dataset(spark, table, "projA", "token_name", day, best_100=True)
+
+
+def test_undated_runs_take_the_day_of_their_file(spark):
+    root, log = tempfile.mkdtemp(prefix="runlens-landing-"), os.path.join(tempfile.mkdtemp(prefix="runlens-log-"), "log")
+    for i, start in ((71, None), (72, "soon"), (73, "2025-03-04T05:06:07Z")):
+        write(root, "007", "2025-03-04", f"{U.format(i)}_080000.json",
+              {"metadata": {"enhanced_feedback": True}, "trace": {"id": U.format(i), "start_time": start}})
+    recs, _ = L.ingest_records(spark, root)
+    assert RT.append_batch(recs, log, batch=1) == {"stored": 3, "skipped": 0}
+    written = {r["run_id"]: str(r["run_date"]) for r in RT.read_log(spark, log).collect()}
+    wrote = str(recs.select(F.to_date("file_mtime")).first()[0])
+    assert written == {U.format(71): wrote, U.format(72): wrote, U.format(73): "2025-03-04"}
+    dated, _ = L.ingest_records(spark, root, ingest_date="2025-03-09")
+    assert dated.where("run_date = DATE'2025-03-09'").count() == 2
+    # a project's name stays text, though it looks like a number
+    table = os.path.join(log + "-table")
+    RT.compact(RT.latest(RT.read_log(spark, log)), table)
+    assert {r["project"] for r in RT.read_table(spark, table, "007").collect()} == {"007"}
+
+
+def test_ingest_order_follows_from_the_row(spark):
+    base = tempfile.mkdtemp(prefix="runlens-order-")
+    rows = spark.range(900).select(
+        F.col("id").cast("string").alias("run_id"), F.lit("t").alias("trace_id"), F.lit("p").alias("project"),
+        F.lit("2025-01-01").cast("date").alias("run_date"),
+        F.timestamp_seconds(F.col("id") % 7 + 1_700_000_000).alias("start_time"))
+    found = []
+    for i, parts in enumerate((300, 4)):
+        log = os.path.join(base, str(i))
+        RT.append_batch(rows.repartition(parts), log, batch=3)
+        found.append({r["run_id"]: r["ingest_seq"] for r in RT.read_log(spark, log).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) == 900
+    by_seq = sorted(found[0], key=found[0].get)
+    assert [int(x) % 7 for x in by_seq] == sorted(int(x) % 7 for x in by_seq)
+    log = os.path.join(base, "0")
+    RT.append_batch(rows.withColumn("trace_id", F.lit("later")).limit(5), log, batch=4)
+    assert RT.latest(RT.read_log(spark, log)).where("trace_id = 'later'").count() == 5
+
+
+def test_busy_day_is_split_into_files(spark):
+    table = os.path.join(tempfile.mkdtemp(prefix="runlens-busy-"), "t")
+    rows = spark.range(20_000).select(
+        F.col("id").cast("string").alias("run_id"), F.col("id").cast("string").alias("trace_id"),
+        F.lit("p").alias("project"), F.lit("2025-01-01").cast("date").alias("run_date"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more data
+    try:
+        RT.compact(rows, table)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = os.listdir(os.path.join(table, "project=p", "run_date=2025-01-01"))
+    assert sum(f.endswith(".parquet") for f in files) > 1 and RT.read_table(spark, table).count() == 20_000
+
+
+def test_best_100_dataset_has_whole_examples(spark):
+    from runlens.plans import jobs
+    from runlens.sources import fixtures as FX
+    base = tempfile.mkdtemp(prefix="runlens-best-")
+    docs = FX.run_documents(spark, "/root/testdata/sf0.001")
+    RT.compact(docs, os.path.join(base, "t"))
+    days = docs.agg(F.min("run_date"), F.max("run_date")).first()
+    table, span = os.path.join(base, "t"), (str(days[0]), str(days[1]))
+    for project in sorted(r[0] for r in docs.select("project").distinct().collect()):
+        every = jobs.create_dataset(spark, table, project, "availability", *span)
+        best = jobs.create_dataset(spark, table, project, "availability", *span, best_100=True, out=base) \
+            if every.where("website_url <> ''").count() else None
+        if best is not None:
+            assert best.columns == every.columns
+            rows = [r["trace_id"] for r in best.collect()]
+            assert rows and set(rows) <= {r["trace_id"] for r in every.collect()}
+            back = SK.read_dataset(spark, f"{base}/{project}_availability_{span[0]}_{span[1]}_best100")
+            assert back.count() == len(rows)
+            return
+    pytest.fail("no example")
