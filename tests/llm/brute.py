@@ -73,3 +73,26 @@ def drop_lines(rows: list[tuple], ratio: float, least: int) -> list[str | None]:
            for host, sets in pages.items() if len(sets) >= least}
     return [None if t is None else "\n".join(x for x in t.split("\n") if not x.strip(" ") or x not in bad.get(h, ()))
             for h, t in rows]
+
+
+def license_runs(text: str, templates: list[tuple[int, str, list[str]]], threshold: float) -> tuple[float, str | None, int]:
+    """``(score, license, n_matches)`` of a text none of whose lines or paragraphs matches: every run is measured."""
+    words = re.findall("[a-z0-9]+", text.translate(LOWER))
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = []
+    for n, name, own in templates:
+        for i in range(len(grams)):
+            best = None
+            for j in range(i + 1, min(len(grams), i + int((2 - threshold) / threshold * len(own) + 1e-9)) + 1):
+                run = set(grams[i:j])
+                score = 2.0 * len(run & set(own)) / (len(run) + len(own))
+                if score >= threshold and grams[i] in own and grams[j - 1] in own:
+                    best = max(best or (0, 0), (score, j - i))
+            if best:
+                found.append((i, -best[0], -best[1], n, name))
+    end, count = -1, 0
+    for i, _, length, *_ in sorted(found):
+        if i > end:
+            end, count = i - length, count + 1
+    _, _, _, _, name = min(found, key=lambda f: (f[1], f[3]), default=(0, 0, 0, 0, None))
+    return -min((f[1] for f in found), default=0.0), name, count

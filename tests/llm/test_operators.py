@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from fractions import Fraction
 
@@ -290,6 +291,36 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_runs_beyond_blocks(spark):
+    templates = dict(enumerate(license_scan.TEMPLATES))
+    mit, apache, gpl = templates[3][1], templates[5][1], templates[8][1]
+    words = "sun moon of the to the under a copy file rain".split()
+    draw = random.Random(3)
+
+    def prose(n: int) -> str:
+        return " ".join(draw.choice(words) for _ in range(n))
+
+    def wrapped(text: str) -> str:
+        return "\n".join(textwrap.wrap(text, 40))
+
+    changed = mit.replace("copy", "duplicate").replace("sell", "vend")
+    texts = [wrapped(mit), f"{prose(30)}\n{wrapped(mit)}\n{prose(30)}", wrapped(prose(20) + " " + changed + " " + prose(9)),
+             "Copyright 2021 Example Authors. Licensed under the MIT License. All rights are reserved to them.",
+             f"{prose(40)}. {apache} {prose(25)} {gpl} {prose(12)}", prose(80),
+             f"{prose(9)}\n\n{prose(12)} Released under the\nBSD 3-Clause License. {prose(15)}\n\n{prose(5)}",
+             f"{prose(9)} Licensed under the MIT License. Licensed under the MIT License. {prose(9)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["license"], r["n_matches"]) for r in license_scan.scan_licenses(df).collect()}
+    rows = license_scan.template_rows(license_scan.TEMPLATES)
+    assert got == {i: brute.license_runs(t, rows, license_scan.THRESHOLD) for i, t in enumerate(texts)}
+    assert [got[i][1] for i in range(8)] == ["MIT", "MIT", "MIT", "MIT", "Apache-2.0", None, "BSD-3-Clause", "MIT"]
+    assert got[0] == (1.0, "MIT", 1) and got[4][2] == got[7][2] == 2
+    # beside a line that matches
+    text = f"Released under the ISC license.\n{templates[0][1]}\n{prose(20)} {templates[17][1]} {prose(20)}"
+    beside = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (beside["license"], beside["score"], beside["n_matches"]) == ("MIT", 1.0, 2)
+
+
 # toxicity
 
 def test_toxicity_learns_from_its_part_alone(spark):
