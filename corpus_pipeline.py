@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in too large a share of their source's documents go; every document stays."""
-    cleaned = line_dedup.drop_boilerplate_lines(docs, F.col("source"))
+    """Lines that stand in too large a share of their source's distinct texts go; every document stays."""
+    cleaned = line_dedup.drop_boilerplate_lines(docs, F.col("source"), copies_once=True)
     return with_n_chars(cleaned, docs.columns, "n_dropped > 0")
 
 

@@ -84,6 +84,18 @@ def test_repeated_ids_are_one_document(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3]
 
 
+def test_a_group_of_copies_keeps_its_text(spark):
+    copy = "first line of a copy\nsecond line of the same copy\nfooter of all pages"
+    rows = [(i, copy if i % 3 == 0 else f"a page {i} of its own {i * i}\nwith line {i + 7} {i * 3}\nfooter of all pages",
+             "en", "s", 0) for i in range(90)]
+    lined = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), "")
+    got = {r["doc_id"]: r["text"] for r in lined.collect()}
+    assert got == {i: text.removesuffix("\nfooter of all pages") for i, text, *_ in rows}
+    unique = corpus_pipeline.drop_near_copies(spark, lined, "")
+    kept = [r for r in unique.collect() if r["doc_id"] % 3 == 0]
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(0, "first line of a copy\nsecond line of the same copy")]
+
+
 def test_stages_on_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
