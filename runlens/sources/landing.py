@@ -120,10 +120,12 @@ def to_records(runs: DataFrame, project: Column | str | None = None, date_mode:
 
 def latest_file_per_run(records: DataFrame) -> DataFrame:
     """A re-fetched run lands twice (``_HHMMSS`` suffix); keep the newest file per run_id.
+    A file without an id is a run of its own.
     Aggregation (max over struct), not a window: a hot run id is reduced map-side."""
     cols = records.columns
     # VARIANT is not orderable: order by a struct of the file keys, carry the row as the value
-    best = records.groupBy("run_id").agg(
+    alone = F.when(F.col("run_id").isNull(), F.col("file_path"))
+    best = records.groupBy("run_id", alone.alias("_alone")).agg(
         F.max_by(F.struct(*[F.col(c).alias("_" + c) for c in cols]),
                  F.struct(F.col("file_mtime"), F.col("extracted_hhmmss"), F.col("file_path"))).alias("_b"))
     return best.select(*[F.col("_b._" + c).alias(c) for c in cols])

@@ -232,3 +232,11 @@ def test_best_100_dataset_has_whole_examples(spark):
             assert back.count() == len(rows)
             return
     pytest.fail("no example")
+
+
+def test_files_without_an_id_stay_runs_of_their_own(spark):
+    from runlens.sources.landing import latest_file_per_run
+
+    rows = [(None, 1, "100000", "a"), (None, 1, "100000", "b"), (None, 2, None, "c"), ("x", 1, None, "d"), ("x", 2, None, "e")]
+    df = spark.createDataFrame(rows, "run_id string, file_mtime long, extracted_hhmmss string, file_path string")
+    assert sorted(r["file_path"] for r in latest_file_per_run(df).collect()) == ["a", "b", "c", "e"]
