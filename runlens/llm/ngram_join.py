@@ -6,21 +6,20 @@ elements. Documents with the same set are one class; the join runs over classes.
 
 * Light sets (up to a boundary): every subset of need(s, u) elements is enumerated for each partner size u up to
   the boundary; partners share one of these fixed-size subsets.
-* Heavy sets: the inverted lists of their rarest elements are scanned. Of the first s - ceil(t s) + l elements of
-  a set in a fixed order, l are shared with the first elements of every partner, so the lists of that many
-  elements find them all, and a pair found in fewer than l lists is none. Any fixed order is exact; this one
-  puts rare elements first: by weight, an estimate of the number of documents that is kept for frequent
-  elements, then n-grams of long words before those of short ones.
+* Heavy sets: the inverted lists of their rarest elements are scanned. Of the first s - ceil(t s) + 1 elements of
+  a set in a fixed order, one is among the first elements of every partner, so the lists of that many elements
+  find them all. Any fixed order is exact; this one puts rare elements first: by weight, an estimate of the number
+  of documents that is kept for frequent elements, then n-grams of long words before those of short ones.
 * The boundary is the one with the least cost: subsets written against list entries written and scanned, from
   the histogram of small sizes. Pairs across it are found by the lists, so light sets that are within t of a
   heavy size are entered there, too.
 
-A list of m entries is never expanded into m * m pairs. First, two entries of every list are its centres, and the
-others are verified against them; verified links are contracted to components. What is left is met across
-components only, in bounded blocks of a list, and verified: no link is lost. Before sets are compared, sizes and
-512-bit parity sketches, whose difference never exceeds that of the sets, must allow a link.
-Lists, classes and components may hold a third of all rows: counts, centres and roots are combined map-side,
-joins back are plain shuffled joins whose large partitions Spark splits, verification is salted by centre.
+A list of m entries is never expanded into m * m pairs, nor does a task give out the pairs that it meets: lists tie
+their entries to candidate groups and give spanning forests, of pairs whose sizes and 512-bit parity sketches (whose
+difference never exceeds that of the sets) allow a link; whole sets then meet within their groups, where a task gives
+a spanning forest of the verified links (``group_links``). No link is lost.
+Lists, classes and groups may hold a third of all rows: counts, centres and roots are combined map-side, joins
+back are plain shuffled joins whose large partitions Spark splits, and blocks are of bounded size.
 
 Defined cases: null, empty or wordless text has the empty set, links with nothing and is its own component;
 with fewer than n words the whole sequence is the one element; rows that repeat an id are one document, linked
@@ -32,19 +31,18 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import staged
 from runlens.llm.components import components
-from runlens.llm.worker import sliced, tidy, tidy_group
+from runlens.llm.group_links import candidate_groups, verified_links
+from runlens.llm.worker import sliced, tidy
 
 WEIGHT_BITS = 22
 WEIGHT_MASK = np.uint64((1 << WEIGHT_BITS) - 1)
@@ -53,10 +51,6 @@ LENGTH_BITS, MOST_BYTES = 6, 63
 LARGEST_LIGHT = 20
 #: cost of a list entry against that of an enumerated subset: it is scanned and verified, too
 SCAN_COST = 4.0
-#: centres of a list
-CENTRES = 2
-#: members verified with one centre in one task, all that a task verifies, entries of a list expanded in one task
-CENTRE_ROWS, VERIFY_ROWS, BLOCK_ROWS = 256, 2048, 512
 SKETCH_BITS = 512
 
 _draw = np.random.default_rng(2024)
@@ -114,13 +108,9 @@ class Threshold:
     def need(self, s: int, u: int) -> int:
         return math.ceil(self.least * (s + u) / (1 + self.least))
 
-    def shared_entries(self, s: int) -> int:
-        """Number of lists that a set of s elements shares with every partner, its own or larger."""
-        return 1 + s // 32
-
     def prefix(self, s: int) -> int:
-        """Of so many rarest elements, shared_entries(s) are among those of every partner."""
-        return s - math.ceil(self.least * s) + self.shared_entries(s)
+        """Of so many rarest elements, one at least is among those of every partner, its own or larger."""
+        return s - math.ceil(self.least * s) + 1
 
     def partners(self, s: int, upto: int) -> range:
         return range(math.ceil(self.least * s), min(upto, math.floor(s / self.least)) + 1)
@@ -211,46 +201,6 @@ def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, bou
     return entries.join(several, "key")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, bounds: Threshold) -> DataFrame:
-    """The pairs ``(a, b)`` that are linked. Sets are read again, for the pairs' documents alone, and travel to the
-    tasks of b; centres of many pairs have several."""
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    sets = set_rows(texts.join(needed, "id"), n)
-    tasks = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("tasks")), "centres")
-    blocks = max(1, -(-pairs.count() // VERIFY_ROWS))
-    members = pairs.join(tasks, "b").select(
-        F.col("a").alias("node"), F.col("b").alias("centre"),
-        F.pmod(F.xxhash64("a"), F.col("tasks")).alias("part"), F.lit(False).alias("own"))
-    centres = tasks.select(F.col("b").alias("node"), F.col("b").alias("centre"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part"),
-                           F.lit(True).alias("own"))
-    dealt = members.union(centres).select("node", "centre", "own", F.pmod(
-        F.xxhash64("centre", "part"), F.lit(blocks)).alias("block"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own: dict[int, list[np.ndarray]] = {}
-        for centre, data in group.loc[group["own"], ["centre", "grams"]].itertuples(index=False):
-            own.setdefault(centre, []).append(np.frombuffer(data, np.uint64))
-        found = []
-        for node, centre, data in group.loc[~group["own"], ["node", "centre", "grams"]].itertuples(index=False):
-            grams = np.frombuffer(data, np.uint64)
-            if any(similar(grams, other, bounds) for other in own[centre]):
-                found.append((node, centre))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return sets.join(dealt, "node").groupBy("block").applyInPandas(tidy_group(run), "a long, b long")
-
-
-def similar(left: np.ndarray, right: np.ndarray, bounds: Threshold) -> bool:
-    """Exact test of two sorted sets; sizes first."""
-    s, u = len(left), len(right)
-    if not s or not u or bounds.need(s, u) > min(s, u):
-        return False
-    both = np.concatenate([left, right])
-    both.sort(kind="stable")
-    return bounds.linked(int((both[1:] == both[:-1]).sum()), s, u)
-
-
 def sketch(grams: np.ndarray) -> np.ndarray:
     """Parity of the number of elements in each of SKETCH_BITS buckets, as 64-bit words.
 
@@ -262,90 +212,31 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def may_link(bounds: Threshold):
-    """Column condition on (size, bits) and (other, other_bits): sizes and sketches allow a link.
+    """Condition on two struct columns of size and bits: sizes and sketches allow a link.
 
     Linked sets differ in at most (s + u) (1 - t) / (1 + t) elements.
     """
     p, q = bounds.least.numerator, bounds.least.denominator
-    differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                         lambda total, x: total + x)
-    return ((F.col("size") * q >= F.col("other") * p) & (F.col("other") * q >= F.col("size") * p)
-            & (differ * (p + q) <= (F.col("size") + F.col("other")) * (q - p)))
-
-
-def centre_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
-    """Pairs of each entry with its list's CENTRES centres, where a link is possible."""
-    marked = lists.join(labels, "node")
-    centres = [F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node"), F.col("size"),
-                              F.col("bits"))) for turn in range(CENTRES)]
-    chosen = staged(marked.groupBy("key").agg(*[c.alias(f"c{i}") for i, c in enumerate(centres)])
-                    .select("key", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres")),
-                    "chosen")
-    return (marked.join(chosen, "key").select("node", "size", "bits", F.explode("centres").alias("c"))
-            .select("node", "size", "bits", F.col("c.node").alias("b"), F.col("c.size").alias("other"),
-                    F.col("c.bits").alias("other_bits"))
-            .where((F.col("node") != F.col("b")) & may_link(bounds))
-            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-
-
-def remaining_pairs(lists: DataFrame, labels: DataFrame, bounds: Threshold) -> DataFrame:
-    """All pairs across components that share enough lists and may link, from bounded blocks of the lists."""
-    marked = lists.join(labels, "node")
-    open_lists = staged(marked.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"),
-                                                  F.count("*").alias("n"))
-                        .where("least <> most").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), "n"),
-                        "open")
-    total = open_lists.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
-    tasks = max(1, -(-total // (8 * BLOCK_ROWS)))
-    # an entry meets every block of its list once: in the pair of blocks (own, other), own <= other
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")
-    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    dealt = (marked.join(open_lists, "key").select("key", "node", "root", "size", "bits", own, met)
-             .select("key", "node", "root", "size", "bits", "own", F.least("own", "with").alias("i"),
-                     F.greatest("own", "with").alias("j"))
-             .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))))
+
+    def near(one: str, other: str) -> Column:
+        s, u = F.col(f"{one}.size"), F.col(f"{other}.size")
+        differ = F.aggregate(F.zip_with(f"{one}.bits", f"{other}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                             F.lit(0), lambda total, x: total + x)
+        return (s * q >= u * p) & (u * q >= s * p) & (differ * (p + q) <= (s + u) * (q - p))
+    return near
+
+
+def may_link_rows(bounds: Threshold):
+    """The same of arrays: sizes and rows of bits of two selections."""
     p, q = bounds.least.numerator, bounds.least.denominator
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "i", "j", "node"], ignore_index=True)
-        size, root, node, own = (group[c].to_numpy() for c in ("size", "root", "node", "own"))
-        bits = np.stack(group["bits"].to_list()).view(np.uint64)
-        within = group["i"].to_numpy() == group["j"].to_numpy()
-        starts = (group[["key", "i", "j"]].diff() != 0).any(axis=1).to_numpy()
-        first = np.flatnonzero(starts)
-        left_over = np.repeat(np.append(first[1:], len(group)), np.diff(np.append(first, len(group))))
-        left_over -= np.arange(len(group))  # rows from each one to the end of its list
-        found, least = Counter(), {}
-        for step in range(1, int(left_over.max(initial=0))):
-            left = np.flatnonzero(left_over > step)
-            right = left + step
-            # pairs within a block are met in the pair of blocks (i, i)
-            may = (root[left] != root[right]) & (within[left] | (own[left] != own[right])) \
-                & (size[left] * q >= size[right] * p) & (size[right] * q >= size[left] * p)
-            left, right = left[may], right[may]
-            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1)
-            near = differ * (p + q) <= (size[left] + size[right]) * (q - p)
-            left, right = left[near], right[near]
-            for pair, s in zip(zip(node[left].tolist(), node[right].tolist()),
-                               np.minimum(size[left], size[right]).tolist()):
-                found[pair] += 1
-                least[pair] = bounds.shared_entries(s)
-        rows = [(a, b, count, least[a, b]) for (a, b), count in found.items()]
-        return pd.DataFrame(rows, columns=["a", "b", "n", "least"], dtype="int64")
-
-    return (dealt.groupBy("task").applyInPandas(tidy_group(run), "a long, b long, n long, least long")
-            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"))
-
-
-def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels(node, size, root)`` after joining the components that ``links(a, b)`` of nodes connect."""
-    at = labels.select(F.col("node"), F.col("root"))
-    across = (links.join(at.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-              .join(at.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-              .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    onward = components(across).select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return staged(labels.join(onward, "root", "left")
-                  .select("node", "size", "bits", F.coalesce("next", "root").alias("root")), "labels")
+    def near(s: np.ndarray, bits: np.ndarray, u: np.ndarray, other: np.ndarray) -> np.ndarray:
+        passed = (s * q >= u * p) & (u * q >= s * p)
+        at = np.flatnonzero(passed)
+        differ = np.bitwise_count((bits[at] ^ other[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        passed[at] = differ * (p + q) <= (s[at] + u[at]) * (q - p)
+        return passed
+    return near
 
 
 def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id",
@@ -370,10 +261,9 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     nodes = staged(lists.select("node").distinct(), "nodes")
     labels = staged(classes.select(F.col("root").alias("node"), "size", "bits", "root").join(nodes, "node")
                     .select("node", "size", "bits", "root"), "labels")
-    for candidates in (centre_pairs, remaining_pairs):
-        pairs = staged(candidates(lists, labels, bounds), "pairs")
-        if not pairs.isEmpty():
-            labels = contracted(labels, verified(pairs, texts, n, bounds))
+    groups = candidate_groups(lists, labels, may_link(bounds), may_link_rows(bounds))
+    sets = set_rows(texts.join(groups.select(F.col("node").alias("id")), "id"), n)
+    labels = components(verified_links(groups, sets, least))
     # rows that repeat an id tie the classes of its texts together
     ends = classes.join(labels.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left")
     ends = ends.select("digest", F.coalesce("end", "root").alias("end"))

@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import (byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing,
-                         suffix_dedup, toxicity, vector_search)
-from runlens.llm.common import UPPER, LOWER, table
+from runlens.llm import (byte_bpe, conversation_trie, exact_dedup, html_extract, license_scan, line_dedup,
+                         minhash_dedup, ngram_join, oracles, packing, suffix_dedup, toxicity, vector_codes,
+                         vector_search)
+from runlens.llm.common import LOWER, UPPER, staged, table
 
 #: Where the tokenizers' files are; a deployment may set others.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +102,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_errors(staged(coded, "codes"))
+    digits = F.transform("indexes", lambda i: F.lpad(F.lower(F.hex(i)), 2, "0"))
+    return rows.select(F.col("id").alias("vec_id"), F.array_join(digits, "").alias("code"), "error", "label_error",
+                       F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"),
+                                         lambda conv_id: F.crc32(conv_id.cast("string")) % 6)
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, least=Fraction(80, 100))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
+                        F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -112,10 +132,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_license_scan": license_scan.oracle(),
+    "op11_vector_codes": oracles.vector_codes_sql(),
+    "op12_conversation_trie": oracles.CONVERSATION_TRIE_SQL,
 }
