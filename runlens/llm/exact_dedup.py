@@ -42,6 +42,15 @@ class DigestIndex:
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, group_size BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'")
 
+    def known(self, digests: DataFrame) -> DataFrame:
+        """``(digest, keep_id, group_size)`` of the batch's digests that the index has, as it stands now.
+
+        The index is read by bucket, without a shuffle; only the batch's distinct digests are dealt to the buckets.
+        """
+        batch = digests.select("digest").distinct()
+        return staged(self.spark.table(self.table).hint("merge").join(batch, "digest", "left_semi")
+                      .select("digest", "keep_id", "group_size"), "known")
+
     def fresh(self, digests: DataFrame) -> DataFrame:
         """One row for each digest of the batch that the index lacks (sort-merge anti-join)."""
         groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -58,10 +67,12 @@ class DigestIndex:
         Adding a batch a second time changes nothing and returns the same decisions.
         """
         digests = staged(with_digest(docs, id_col, text_col), "digests")
-        self.append(self.fresh(digests))
-        # by path: a plain shuffle on both sides, whose large partitions Spark splits when one text is hot
-        index = self.spark.read.schema(self.spark.table(self.table).schema).parquet(self.location)
-        return digests.join(index, "digest").withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+        known = self.known(digests)
+        fresh = staged(self.fresh(digests), "fresh")
+        self.append(fresh)
+        # both sides are plain shuffles of the batch, whose large partitions Spark splits when one text is hot
+        decided = staged(fresh.select(*known.columns).union(known), "decided")
+        return digests.join(decided, "digest").withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

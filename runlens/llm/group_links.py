@@ -188,30 +188,102 @@ def spanning(nodes: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def block_links(group: pd.DataFrame, least: Fraction) -> list[tuple[int, int]]:
-    """Links of one pair of blocks: rows of block i, then of block j (all are of one block where i = j)."""
-    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-    nodes, first = group["node"].to_numpy(), group["own"].to_numpy() == group["i"].to_numpy()
+def pair_links(group: pd.DataFrame, near: Callable[..., np.ndarray]) -> list[tuple[int, int]]:
+    """Links of one pair of blocks: rows of block i against those of block j, or all rows where i = j."""
+    nodes, first = group["node"].to_numpy(), (group["own"] == group["i"]).to_numpy()
     if (group["i"] == group["j"]).all():
-        return spanning(nodes, linked(sets, None, least))
+        return spanning(nodes, near(group, None))
     a, b = np.flatnonzero(first), np.flatnonzero(~first)
-    across = linked([sets[i] for i in a], [sets[i] for i in b], least)
-    near = np.zeros((len(nodes), len(nodes)), bool)
-    near[np.ix_(a, b)] = across
-    near[np.ix_(b, a)] = across.T
-    return spanning(nodes, near)
+    across = near(group[first], group[~first])
+    both = np.zeros((len(nodes), len(nodes)), bool)
+    both[np.ix_(a, b)] = across
+    both[np.ix_(b, a)] = across.T
+    return spanning(nodes, both)
 
 
-def met(dealt: DataFrame, sets: DataFrame, least: Fraction, tasks: int) -> DataFrame:
-    """Links found by the pairs of blocks of ``dealt(group, i, j, own, node)``; tasks hold one or several."""
+def met(dealt: DataFrame, data: DataFrame, near: Callable[..., np.ndarray], tasks: int) -> DataFrame:
+    """Links found by the pairs of blocks of ``dealt(group, i, j, own, node)``, whose nodes have ``data(node, ...)``.
+
+    ``near`` gets the rows of two blocks (None: the first one itself) and gives a matrix. Tasks hold several pairs.
+    """
     def run(task: pd.DataFrame) -> pd.DataFrame:
         links = []
         for _, part in task.groupby(["group", "i", "j"], sort=False):
-            links += block_links(part, least)
+            links += pair_links(part, near)
         return pd.DataFrame([(a, b) for a, b in links if a != b], columns=["a", "b"], dtype="int64")
 
     placed = dealt.withColumn("task", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)))
-    return sets.join(placed, "node").groupBy("task").applyInPandas(tidy_group(run), "a long, b long")
+    return data.join(placed, "node").groupBy("task").applyInPandas(tidy_group(run), "a long, b long")
+
+
+def near_sets(least: Fraction) -> Callable[..., np.ndarray]:
+    def near(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
+        both = [None if x is None else [np.frombuffer(g, np.uint64) for g in x["grams"]] for x in (left, right)]
+        return linked(*both, least)
+    return near
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity sketch as one of fewer words: halves are laid over each other."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def near_sketches(least: Fraction) -> Callable[..., np.ndarray]:
+    """Pairs whose sizes and parity sketches, folded to the least number of words, allow a link.
+
+    Only pairs with a row of the lower size class (``low``) count.
+    """
+    p, q = least.numerator, least.denominator
+
+    def near(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
+        right = left if right is None else right
+        words = min(int(x["bits"].map(len).min()) for x in (left, right))
+        a, b = (np.stack([folded(np.asarray(v), words) for v in x["bits"]]).view(np.uint64) for x in (left, right))
+        s, u = left["size"].to_numpy()[:, None], right["size"].to_numpy()[None, :]
+        passed = (s * q >= u * p) & (u * q >= s * p)
+        passed &= left["low"].to_numpy()[:, None] | right["low"].to_numpy()[None, :]
+        for i in np.flatnonzero(passed.any(axis=1)):
+            at = np.flatnonzero(passed[i])
+            differ = np.bitwise_count(a[i] ^ b[at]).sum(axis=1, dtype=np.int64)
+            passed[i, at] = differ * (p + q) <= (s[i, 0] + u[0, at]) * (q - p)
+        return passed
+    return near
+
+
+def refined_groups(groups: DataFrame, sketches: DataFrame, least: Fraction, above: int) -> DataFrame:
+    """``groups(node, size, group)`` cut anew by longer sketches, where a group has sets of more than ``above``.
+
+    Sketches of a fixed length say little of large sets, so their groups grow by chance; ``sketches(node, bits)``
+    have a length that follows the size. Sets that can link are in the same class of sizes or in neighbouring
+    ones, so a group's nodes meet by pairs of classes, in blocks.
+    """
+    large = staged(groups.groupBy("group").agg(F.max("size").alias("most")).where(F.col("most") > above)
+                   .select("group"), "large-sets")
+    if large.isEmpty():
+        return groups
+    part = staged(groups.join(large, "group"), "to-refine")
+    width = 1.0001 * float(np.log(float(1 / least)))
+    own = F.floor(F.log("size") / width)
+    cells = part.select("node", "size", "group", F.explode(F.array(
+        F.struct(own.alias("c"), F.lit(True).alias("low")), F.struct((own - 1).alias("c"), F.lit(False).alias("low")))).alias("x"))
+    cells = cells.select("node", "size", "group", "x.*")
+    about = staged(cells.groupBy("group", "c").agg(F.count("*").alias("n"), F.bool_or("low").alias("any"))
+                   .where("any AND n > 1").select("group", "c", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks"), "n")
+                   .withColumn("cell", F.monotonically_increasing_id()), "cells")
+    zero = F.lit(0).cast("long")
+    dealt = (cells.join(about, ["group", "c"])
+             .select(F.col("cell").alias("group"), "node", "size", "low", F.pmod(F.xxhash64("node"), "blocks").alias("own"),
+                     F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("with"))
+             .select("group", "node", "size", "low", "own", F.least("own", "with").alias("i"),
+                     F.greatest("own", "with").alias("j")))
+    tasks = 1 + total(about, F.col("n") * F.col("blocks")) // (2 * BLOCK_SETS)
+    links = staged(met(dealt, sketches, near_sketches(least), tasks), "refined")
+    labels = contracted(part.select("node", "size", F.col("node").alias("root")), links)
+    again = labels.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    found = labels.join(again, "root").select("node", "size", F.col("root").alias("group"))
+    return staged(groups.join(large, "group", "left_anti").select("node", "size", "group").union(found), "grouped")
 
 
 def total(rows: DataFrame, what: Column) -> int:
@@ -221,16 +293,16 @@ def total(rows: DataFrame, what: Column) -> int:
 def verified_links(groups: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """``(a, b)``: links that connect the nodes of ``groups(node, size, group)`` as all links between them would.
 
-    ``sets(node, grams)`` has whole sets, several for a node if it has several texts.
+    ``sets(node, grams)`` has whole sets; rows that repeat a node are read once.
     """
-    sets = staged(sets.dropDuplicates(["node", "grams"]), "sets")
+    sets = staged(sets.dropDuplicates(["node"]), "sets")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_GRAMS)).alias("blocks")
     about = staged(groups.groupBy("group").agg(blocks), "blocks")
     grouped = staged(groups.join(about, "group"), "dealt")
     single = grouped.where("blocks = 1")
     zero = F.lit(0).cast("long")
     whole = single.select("group", "node", zero.alias("own"), zero.alias("i"), zero.alias("j"))
-    found = staged(met(whole, sets, least, 1 + total(single, F.col("size")) // BLOCK_GRAMS), "links")
+    found = staged(met(whole, sets, near_sets(least), 1 + total(single, F.col("size")) // BLOCK_GRAMS), "links")
     large = grouped.where("blocks > 1")
     if large.isEmpty():
         return found
@@ -246,7 +318,7 @@ def verified_links(groups: DataFrame, sets: DataFrame, least: Fraction) -> DataF
               .select("group", F.explode("centres").alias("node"), zero.alias("own"), zero.alias("i"),
                       (F.col("part") + 1).alias("j")))
     tasks = 1 + total(large, F.col("size")) // BLOCK_GRAMS
-    first = staged(met(rows.union(middle), sets, least, tasks), "links")
+    first = staged(met(rows.union(middle), sets, near_sets(least), tasks), "links")
     labels = contracted(large.select("node", "size", "group", F.col("node").alias("root")), first)
     # the largest component of a group lies in blocks of its own, which are not met with each other
     parts = labels.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
@@ -265,7 +337,7 @@ def verified_links(groups: DataFrame, sets: DataFrame, least: Fraction) -> DataF
                    .select("group", "node", "size", "own", F.least("own", "with").alias("i"),
                            F.greatest("own", "with").alias("j")), "pairs-of-blocks")
     tasks = 1 + total(dealt, F.col("size")) // (2 * BLOCK_GRAMS)
-    second = staged(met(dealt.drop("size"), sets, least, tasks), "links")
+    second = staged(met(dealt.drop("size"), sets, near_sets(least), tasks), "links")
     return found.union(first).union(second)
 
 

@@ -9,7 +9,7 @@ boilerplate lines. Their table is staged and counted: below ``BROADCAST_ROWS`` i
 pages are joined by (host, salt).
 
 Defined cases: null text has no lines and stays null; pages without a host belong to no site and stay as they
-are; blank lines are never dropped; a host with fewer than ``min_host_pages`` pages is too small to measure;
+are; blank lines are never dropped; a line on fewer than ``least_pages`` pages is no boilerplate, whatever the host's size;
 repeated rows count as pages of their own, or with ``copies_once`` a host's rows of the same text as one page, in
 counts and totals; an empty table gives an empty result.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import staged
 
 RATIO = 0.1
-MIN_HOST_PAGES = 20
+LEAST_PAGES = 3
 #: 16 bytes of digest a row and some for the host: a few MB
 BROADCAST_ROWS = 50_000
 SALTS = 64
@@ -37,24 +37,23 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO,
-                min_host_pages: int = MIN_HOST_PAGES, copies_once: bool = False) -> DataFrame:
+                least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``(host, bad)``: for each host the digests of the lines that stand on more than ``ratio`` of its pages."""
     keys = F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: F.trim(x) != ""), line_key))
     rows = pages.select(host.alias("host"), F.unhex(F.md5(text)).alias("page"), keys.alias("keys")).where("host IS NOT NULL")
     if copies_once:
         rows = rows.groupBy("host", "page").agg(F.first("keys").alias("keys"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_host_pages)
-    # a line that few pages hold cannot pass in any host that is large enough
+    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key")
-              .agg(F.count("*").alias("n")).where(F.col("n") > ratio * min_host_pages))
+              .agg(F.count("*").alias("n")).where(F.col("n") >= least_pages))
     return (counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
             .groupBy("host").agg(F.collect_set("key").alias("bad"), F.count("*").alias("n_bad")))
 
 
 def drop_boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO,
-                           min_host_pages: int = MIN_HOST_PAGES, copies_once: bool = False) -> DataFrame:
+                           least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``pages`` with ``text_col`` cleaned, and ``n_lines`` and ``n_dropped`` at the end (in place of such columns)."""
-    bad = staged(boilerplate(pages, host, F.col(text_col), ratio, min_host_pages, copies_once), "boilerplate")
+    bad = staged(boilerplate(pages, host, F.col(text_col), ratio, least_pages, copies_once), "boilerplate")
     size = bad.agg(F.coalesce(F.sum("n_bad"), F.lit(0)) + F.count("*")).first()[0]
     own = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     packed = pages.select(F.struct(*own).alias("_page"), host.alias("_host"))

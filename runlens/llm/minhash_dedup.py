@@ -22,7 +22,6 @@ any of its texts; a null id takes no part (component null). Ids are integers. An
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import staged
 from runlens.llm.components import components
 from runlens.llm.group_links import candidate_groups, verified_links
-from runlens.llm.ngram_join import shingles
+from runlens.llm.ngram_join import class_sets, digest_of, shingles, with_roots
 from runlens.llm.worker import sliced, tidy
 
 COORDINATES, MATCHES = 64, 28
@@ -76,7 +75,7 @@ def read_signatures(texts: DataFrame, n: int, coordinates: int) -> DataFrame:
             ends = np.arange(0, len(keys) + 1, coordinates, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, sets), pa.int64()),
-                 pa.array([hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], pa.binary()),
+                 pa.array([digest_of(g) for g in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["id", "size", "digest", "keys"])
 
     return texts.mapInArrow(tidy(run), "id long, size long, digest binary, keys array<long>")
@@ -117,21 +116,6 @@ def collide_rows(matches: int, least: Fraction):
     return near
 
 
-def set_rows(texts: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``(node, grams)``: the whole set of each of ``classes(node, root, digest)``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            grams = [shingles(t or "", n).tobytes() for t in batch.column(1).to_pylist()]
-            digests = [hashlib.blake2b(g, digest_size=16).digest() for g in grams]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(grams, pa.binary())],
-                names=["root", "digest", "grams"])
-
-    firsts = classes.select(F.col("root").alias("id")).distinct()
-    read = texts.join(firsts, "id").select("id", "text").mapInArrow(tidy(run), "root long, digest binary, grams binary")
-    return read.join(classes.select("node", "root", "digest"), ["root", "digest"]).select("node", "grams")
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id",
                     text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """``(id, size, root)`` for each row: the size of its set, and the smallest id reachable by links."""
@@ -147,18 +131,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5
                                                        F.transform(bits, lambda k: (k - 32768).cast("short")).alias("bits")),
                     "labels")
     groups = candidate_groups(lists, labels, collide(matches, least), collide_rows(matches, least))
-    wanted = staged(classes.drop("keys").join(groups.select("node"), "node"), "wanted")
-    joined = components(verified_links(groups, set_rows(texts, wanted, n), least))
-    # links of classes become links of documents; rows that repeat an id tie the classes of its texts together
-    tops = staged(classes.select("node", "digest", F.col("root").alias("first")).join(joined, "node", "left")
-                  .select("digest", "first", F.coalesce("root", "node").alias("top")), "tops")
-    ends = tops.groupBy("top").agg(F.min("first").alias("end"))
-    ends = staged(tops.join(ends, "top").select("digest", "end"), "ends")
-    placed = known.select("id", "digest").distinct().join(ends, "digest")
-    again = placed.groupBy("id").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count("*").alias("n"))
-    ties = staged(placed.join(again.where("a <> b"), "id").select("a", F.col("end").alias("b")).where("a <> b"), "ties")
-    if not ties.isEmpty():
-        onward = components(ties).select(F.col("node").alias("end"), F.col("root").alias("next"))
-        ends = staged(ends.join(onward, "end", "left").select("digest", F.coalesce("next", "end").alias("end")), "ends")
-    return rows.select("id", "size", "digest").join(ends, "digest", "left").select(
-        "id", "size", F.when(F.col("id").isNotNull(), F.coalesce("end", "id")).alias("root"))
+    wanted = staged(classes.select("node", "root", "digest").join(groups.select("node"), "node"), "wanted")
+    return with_roots(rows, classes, components(verified_links(groups, class_sets(texts, wanted, n), least)))

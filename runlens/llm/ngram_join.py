@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import staged
 from runlens.llm.components import components
-from runlens.llm.group_links import candidate_groups, verified_links
+from runlens.llm.group_links import candidate_groups, refined_groups, verified_links
 from runlens.llm.worker import sliced, tidy
 
 WEIGHT_BITS = 22
@@ -154,60 +154,73 @@ def keys_of(grams: np.ndarray, bounds: Threshold, boundary: int, weights: np.nda
 
 
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows ``(id, size, digest, bits)`` of documents, and ``(bucket, weight)`` of buckets frequent in a task's rows."""
+    """Rows ``(id, size, digest, bits, wide)`` of documents, and ``(bucket, weight)`` of buckets frequent in a task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << WEIGHT_BITS, np.int32)
-        nothing = [None]
+        nothing, names = [None], ["id", "size", "digest", "bits", "wide", "bucket", "weight"]
         for batch in sliced(batches):
             sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
             for grams in sets:
                 np.add.at(counts, (grams & WEIGHT_MASK).astype(np.int64), 1)
-            digests = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
+            digests = [digest_of(g) for g in sets]
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array([sketch(g) for g in sets], pa.list_(pa.int64())), pa.array(nothing * rows, pa.int32()),
-                 pa.array(nothing * rows, pa.int64())], names=["id", "size", "digest", "bits", "bucket", "weight"])
+                 pa.array([sketch(g) for g in sets], pa.list_(pa.int64())),
+                 pa.array([sketch(g, wide_bits(len(g))) if len(g) > SKETCH_BITS else None for g in sets],
+                          pa.list_(pa.int64())),
+                 pa.array(nothing * rows, pa.int32()), pa.array(nothing * rows, pa.int64())], names=names)
         often = np.flatnonzero(counts > 4 + 4 * counts.mean()).astype(np.int32)
         rows = len(often)
         yield pa.RecordBatch.from_arrays(
             [pa.array(nothing * rows, pa.int64()), pa.array(nothing * rows, pa.int64()),
-             pa.array(nothing * rows, pa.binary()), pa.array(nothing * rows, pa.list_(pa.int64())), pa.array(often),
-             pa.array(counts[often].astype(np.int64))], names=["id", "size", "digest", "bits", "bucket", "weight"])
+             pa.array(nothing * rows, pa.binary()), *[pa.array(nothing * rows, pa.list_(pa.int64()))] * 2, pa.array(often),
+             pa.array(counts[often].astype(np.int64))], names=names)
 
-    return docs.mapInArrow(tidy(run), "id long, size long, digest binary, bits array<long>, bucket int, weight long")
+    return docs.mapInArrow(tidy(run), "id long, size long, digest binary, bits array<long>, wide array<long>, "
+                                      "bucket int, weight long")
 
 
-def lists_of(docs: DataFrame, classes: DataFrame, n: int, bounds: Threshold, boundary: int,
+def lists_of(texts: DataFrame, classes: DataFrame, n: int, bounds: Threshold, boundary: int,
              weights: np.ndarray) -> DataFrame:
     """``(key, node)``: the entries of all lists with two entries or more, over the classes' first documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** WEIGHT_BITS numbers
+    shared = texts.sparkSession.sparkContext.broadcast(weights)  # 2 ** WEIGHT_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys = [keys_of(shingles(t or "", n), bounds, boundary, shared.value)
-                    for t in batch.column(1).to_pylist()]
+            sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
+            keys = [keys_of(grams, bounds, boundary, shared.value) for grams in sets]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["node", "keys"])
+                [batch.column(0).cast(pa.int64()), pa.array(map(digest_of, sets), pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["root", "digest", "keys"])
 
-    firsts = classes.select(F.col("root").alias("node"))
-    arrays = staged(docs.mapInArrow(tidy(run), "node long, keys array<long>").join(firsts, "node"), "keys")
+    made = texts.mapInArrow(tidy(run), "root long, digest binary, keys array<long>")
+    arrays = staged(made.join(classes.select("root", "digest", "node"), ["root", "digest"])
+                    .dropDuplicates(["root", "digest"]).select("node", "keys"), "keys")
     entries = arrays.select(F.explode("keys").alias("key"), "node")
     # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
     several = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     return entries.join(several, "key")
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of SKETCH_BITS buckets, as 64-bit words.
+def digest_of(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def wide_bits(size: int) -> int:
+    """Bits of the longer sketch of a set: at least as many as it has elements, by powers of two."""
+    return max(SKETCH_BITS, 1 << max(size - 1, 0).bit_length())
+
+
+def sketch(grams: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the number of elements in each of ``bits`` buckets, as 64-bit words.
 
     Every bucket whose parity differs holds an element of only one of two sets, so the number of differing bits
     never exceeds the size of the symmetric difference.
     """
-    counts = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -245,41 +258,54 @@ def linked_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     bounds = Threshold(least)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = staged(read_sets(texts, n), "sets-read")
-    rows = read.where("bucket IS NULL").select("id", "size", "digest", "bits")
+    rows = read.where("bucket IS NULL").select("id", "size", "digest", "bits", "wide")
     weights = np.zeros(1 << WEIGHT_BITS, np.uint8)  # by powers of two
     often = (read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight"))
              .where(F.col("weight") >= LEAST_WEIGHT).select("bucket", F.floor(F.log2("weight")).alias("weight")))
     often = often.toPandas()
     weights[often["bucket"].to_numpy(dtype=int)] = often["weight"]
     known = rows.where("size > 0 AND id IS NOT NULL")
-    classes = staged(known.groupBy("digest", "size").agg(F.min("id").alias("root"), F.first("bits").alias("bits")), "classes")
+    classes = staged(known.groupBy("digest", "size").agg(F.min("id").alias("root"), F.first("bits").alias("bits"),
+                                                         F.first("wide").alias("wide"))
+                     .withColumn("node", F.monotonically_increasing_id()), "classes")
     small = classes.where(F.col("size") <= 2 * LARGEST_LIGHT).groupBy("size").count()  # a row for each small size
     boundary = bounds.boundary({r["size"]: r["count"] for r in small.collect()})
 
-    lists = staged(lists_of(texts.where("id IS NOT NULL"), classes.select("root").distinct(), n, bounds, boundary,
-                            weights), "lists")
+    lists = staged(lists_of(texts.where("id IS NOT NULL"), classes, n, bounds, boundary, weights), "lists")
     nodes = staged(lists.select("node").distinct(), "nodes")
-    labels = staged(classes.select(F.col("root").alias("node"), "size", "bits", "root").join(nodes, "node")
-                    .select("node", "size", "bits", "root"), "labels")
+    labels = staged(classes.join(nodes, "node").select("node", "size", "bits", F.col("node").alias("root")), "labels")
     groups = candidate_groups(lists, labels, may_link(bounds), may_link_rows(bounds))
-    sets = set_rows(texts.join(groups.select(F.col("node").alias("id")), "id"), n)
-    labels = components(verified_links(groups, sets, least))
-    # rows that repeat an id tie the classes of its texts together
-    ends = classes.join(labels.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left")
-    ends = ends.select("digest", F.coalesce("end", "root").alias("end"))
-    joined = known.join(ends, "digest")
-    again = joined.groupBy("id").agg(F.min("end").alias("a"), F.max("end").alias("b")).where("a <> b").select("a", "b")
-    onward = components(again).select(F.col("node").alias("end"), F.col("root").alias("next"))
-    final = staged(ends.join(onward, "end", "left").select("digest", F.coalesce("next", "end").alias("end")), "ends")
-    return rows.join(final, "digest", "left").select(
-        "id", "size", F.when(F.col("id").isNotNull(), F.coalesce("end", "id")).alias("root"))
+    groups = refined_groups(groups, classes.select("node", F.coalesce("wide", "bits").alias("bits")), least, SKETCH_BITS)
+    wanted = staged(classes.select("node", "root", "digest").join(groups.select("node"), "node"), "wanted")
+    return with_roots(rows, classes, components(verified_links(groups, class_sets(texts, wanted, n), least)))
 
 
-def set_rows(texts: DataFrame, n: int) -> DataFrame:
-    """``(node, grams)``: whole sets as bytes."""
+def class_sets(texts: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``(node, grams)``: whole sets of ``classes(node, root, digest)``, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
-            grams = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
-
-    return texts.select("id", "text").mapInArrow(tidy(run), "node long, grams binary")
+        for batch in sliced(batches):
+            sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(digest_of, sets), pa.binary()),
+                 pa.array([g.tobytes() for g in sets], pa.binary())], names=["root", "digest", "grams"])
+
+    firsts = classes.select(F.col("root").alias("id")).distinct()
+    read = texts.join(firsts, "id").select("id", "text").mapInArrow(tidy(run), "root long, digest binary, grams binary")
+    return read.join(classes, ["root", "digest"]).select("node", "grams")
+
+
+def with_roots(rows: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(id, size, root)`` for each of ``rows(id, size, digest)``, from the components ``joined(node, root)`` of
+    ``classes(node, root, digest)``. Rows that repeat an id tie the classes of its texts together."""
+    tops = staged(classes.select("node", "digest", F.col("root").alias("first")).join(joined, "node", "left")
+                  .select("digest", "first", F.coalesce("root", "node").alias("top")), "tops")
+    ends = tops.groupBy("top").agg(F.min("first").alias("end"))
+    ends = staged(tops.join(ends, "top").select("digest", "end"), "ends")
+    placed = rows.where("size > 0 AND id IS NOT NULL").select("id", "digest").distinct().join(ends, "digest")
+    again = placed.groupBy("id").agg(F.min("end").alias("a"), F.max("end").alias("b"))
+    ties = staged(placed.join(again.where("a <> b"), "id").select("a", F.col("end").alias("b")).where("a <> b"), "ties")
+    if not ties.isEmpty():
+        onward = components(ties).select(F.col("node").alias("end"), F.col("root").alias("next"))
+        ends = staged(ends.join(onward, "end", "left").select("digest", F.coalesce("next", "end").alias("end")), "ends")
+    return rows.select("id", "size", "digest").join(ends, "digest", "left").select(
+        "id", "size", F.when(F.col("id").isNotNull(), F.coalesce("end", "id")).alias("root"))

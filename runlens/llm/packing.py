@@ -16,7 +16,6 @@ table has no pieces; a document that is an exact multiple of the window has no r
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,18 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import staged
 from runlens.llm.memo import WordMemo
-from runlens.llm.worker import held, tidy
+from runlens.llm.worker import held, sliced, tidy
 
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4_000_000
-#: spaces and line feeds alone; other white space stays inside a word and is left to the tokenizer
-GAPS = re.compile("[ \n]+")
+#: what parts words: spaces and line feeds alone; other white space stays inside a word and is left to the tokenizer
+GAPS = ("a b", " a", "a ", "a\nb", "ab  cd\n\nef", "don't 12\n3.5 x", "\n", "\u00e9 \u6f22\n\u5b57")
 
 
 def word_ids(path: str) -> WordMemo:
@@ -49,40 +49,51 @@ def word_ids(path: str) -> WordMemo:
         def compute(words: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<u4").tobytes()
                     for e in model.encode_batch_fast(words, add_special_tokens=False)]
+        for probe in GAPS:
+            if b"".join(compute([w for w in probe.replace("\n", " ").split(" ") if w])) != compute([probe])[0]:
+                raise ValueError(f"{path} joins what spaces or line feeds part; its words cannot be encoded one by one")
         return WordMemo(compute)
     return held(f"words {path}", make)
 
 
-def token_bytes(texts: list[str], memo: WordMemo) -> list[bytes]:
-    """Packed little-endian 32-bit ids of whole texts.
+def token_ids(texts: pa.Array, memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and the number of them up to the end of each text.
 
-    The tokenizer's normaliser and splitter never join what spaces or line feeds part, so a text's ids are
-    those of its words in a row; each distinct word goes through the tokenizer once.
+    The tokenizer's normaliser and splitter never join what spaces or line feeds part (checked when it is loaded),
+    so a text's ids are those of its words in a row. The words of a batch are dictionary-encoded: each distinct one
+    is looked up or goes through the tokenizer once, and the ids are gathered by offsets.
     """
-    split = [GAPS.split(t) for t in texts]
-    memo.fill({w for words in split for w in words if w})
-    return [b"".join([memo[w] for w in words if w]) for words in split]
+    words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    memo.fill([w for w in distinct if w])
+    found = [memo[w] if w else b"" for w in distinct]
+    lengths = np.array([len(f) // 4 for f in found], dtype=np.int64)
+    ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
+    code = coded.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lengths[code])])
+    at = np.arange(ends[-1]) + np.repeat(first[code] - ends[:-1], lengths[code])
+    return ids[at], ends[words.offsets.to_numpy()[1:]]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
            end_id: int = END_ID) -> DataFrame:
     """``(doc_id, doc_tokens, lengths, crcs)``: a document's consecutive pieces."""
     id_type = docs.schema[id_col].dataType
-    end = np.array([end_id], dtype="<u4").tobytes()
     width = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [ids + end for ids in token_bytes([t or "" for t in part.column(1).to_pylist()], memo)]
-                lengths = [[min(width, len(r) - i) // 4 for i in range(0, len(r), width)] for r in rows]
-                crcs = [[zlib.crc32(r[i:i + width]) for i in range(0, len(r), width)] for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(r) // 4 for r in rows], pa.int64()),
-                     pa.array(lengths, pa.list_(pa.int64())), pa.array(crcs, pa.list_(pa.int64()))],
-                    names=["doc_id", "doc_tokens", "lengths", "crcs"])
+        for part in sliced(batches):
+            ids, ends = token_ids(part.column(1), memo)
+            data = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+            stops = (4 * (ends + np.arange(1, len(ends) + 1))).tolist()
+            cuts = [range(a, b, width) for a, b in zip([0, *stops], stops)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([(c.stop - c.start) // 4 for c in cuts], pa.int64()),
+                 pa.array([[min(width, c.stop - i) // 4 for i in c] for c in cuts], pa.list_(pa.int64())),
+                 pa.array([[zlib.crc32(data[i:min(i + width, c.stop)]) for i in c] for c in cuts], pa.list_(pa.int64()))],
+                names=["doc_id", "doc_tokens", "lengths", "crcs"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
         tidy(cut, f"words {path}"), f"doc_id {id_type.simpleString()}, doc_tokens long, lengths array<long>, crcs array<long>")

@@ -69,16 +69,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def line_dedup_sql(ratio: float, min_host_pages: int, source: str = "documents") -> str:
+def line_dedup_sql(ratio: float, least_pages: int, source: str = "documents") -> str:
     """Common table expressions up to ``cleaned(doc_id, n_lines, n_dropped, text)``."""
     return f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM {source}),
 lines AS (SELECT page, source, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM pages WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS n_pages FROM pages WHERE source IS NOT NULL GROUP BY source
-           HAVING count(*) >= {min_host_pages}),
+totals AS (SELECT source, count(*) AS n_pages FROM pages WHERE source IS NOT NULL GROUP BY source),
 bad AS (SELECT l.source, l.line FROM lines l JOIN totals t ON l.source = t.source WHERE trim(l.line, ' ') <> ''
-        GROUP BY l.source, l.line HAVING count(DISTINCT l.page) > {ratio!r}::DOUBLE * max(t.n_pages)),
+        GROUP BY l.source, l.line HAVING count(DISTINCT l.page) > {ratio!r}::DOUBLE * max(t.n_pages) AND count(DISTINCT l.page) >= {least_pages}),
 marked AS (SELECT l.*, b.line IS NULL AS keep FROM lines l LEFT JOIN bad b ON l.source = b.source AND l.line = b.line),
 cleaned AS (SELECT p.doc_id, p.source, count(m.pos) AS n_lines, count(m.pos) FILTER (NOT m.keep) AS n_dropped,
    CASE WHEN max(p.text) IS NOT NULL
@@ -86,7 +85,7 @@ cleaned AS (SELECT p.doc_id, p.source, count(m.pos) AS n_lines, count(m.pos) FIL
  FROM pages p LEFT JOIN marked m ON p.page = m.page GROUP BY p.page, p.doc_id, p.source)"""
 
 
-OP8_SQL = line_dedup_sql(line_dedup.RATIO, line_dedup.MIN_HOST_PAGES) + """
+OP8_SQL = line_dedup_sql(line_dedup.RATIO, line_dedup.LEAST_PAGES) + """
 SELECT doc_id, source, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM cleaned"""
 
 

@@ -198,13 +198,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = F.struct(*own).alias("row")
     text = text_or_empty(F.col(text_col)).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text, carried)
-    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b"),
+                                                             F.count("*").alias("n"))
     keys = ["id"] if repeated.where("a <> b").isEmpty() else ["id", "h"]
     # rows that repeat a document are read once
     texts = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).select(*keys, "text")
+    again = staged(repeated.where("n > 1").select("id"), "repeated")
+    if not again.isEmpty():
+        once = texts.join(again, "id").groupBy(*keys).agg(F.first("text").alias("text"))
+        texts = texts.join(again, "id", "left_anti").select(*keys, "text").union(once)
     found = occurrences(texts, keys, length)
 
-    several = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
+    several = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
     shared = staged(found.join(several, "anchor"), "stretches")
     here = F.struct(*keys, "at")
     classes = staged(shared.groupBy("anchor", "content").agg(F.min(here).alias("first"), F.count("*").alias("n")),

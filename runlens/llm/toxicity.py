@@ -4,7 +4,7 @@ Features are the distinct character n-grams (2 to 5 bytes of the lower-cased UTF
 The log-count ratio of a feature, log P(feature | toxic) - log P(feature | other), is counted over *all*
 labelled training rows: tasks emit counts of their rows, which are summed by feature. A logistic regression is
 then fitted to the vectors of ratios of the features present, scaled to unit length, on a sample of at most
-``fit_rows`` labelled rows (those with the smallest hash of their id; the bound is a parameter). Scoring reads
+``fit_rows`` labelled documents (those with the smallest hash of their id; the bound is a parameter). Scoring reads
 each whole text once and shuffles nothing; the model has a fixed size, whatever the corpus.
 
 Defined cases: null text scores as empty text; an empty text has no feature but the word border and scores like
@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             weights, bias = fit_weights([np.frombuffer(x, np.int32) for x in group["places"]], mark, ratios)
         return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
-    sample = marks.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # proven size: fit_rows rows of an id and a mark
+    known = marks.join(texts.select("id"), "id", "left_semi")
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # proven size: fit_rows rows of an id and a mark
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = (texts.join(F.broadcast(sample), "id").select("id", "text", "toxic")
             .mapInArrow(tidy(read), f"id {id_type}, places binary, toxic int")

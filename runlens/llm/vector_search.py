@@ -11,7 +11,7 @@ With f = 1 the search is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 another length than the query's are no candidates; a query's own id is no candidate; equal scores go to the
-smaller id; identical vectors of a shard are one point of its tree that keeps the k + 1 smallest of their ids,
+smaller id, vectors of one direction and different length among them; identical vectors of a shard are one point of its tree that keeps the k + 1 smallest of their ids,
 which are all that can be among k results; repeated rows of an id count once.
 """
 
@@ -29,8 +29,9 @@ SHARD_ROWS = 4096
 QUERY_BLOCK = 256
 LEAF = 256
 FACTOR = 4.0
-#: slack against rounding of distances, so that factor 1 is exact; as many more points are ranked by exact scores
-ROUNDING, SPARE = 1e-7, 3
+#: slack against rounding of distances, so that factor 1 is exact: all that lies within it of the k-th nearest found
+#: is ranked by exact scores
+ROUNDING = 1e-7
 
 
 class VantageTree:
@@ -106,6 +107,21 @@ def search(points: np.ndarray, nodes: np.ndarray, queries: np.ndarray, k: int, f
     return place, best
 
 
+def within(points: np.ndarray, nodes: np.ndarray, query: np.ndarray, far: float) -> np.ndarray:
+    """Positions of all points that are no farther than ``far`` from the query."""
+    found, waiting = [], [0] if len(nodes) else []
+    while waiting:
+        number = waiting.pop()
+        start, stop, inner, outer = nodes[number, :4].astype(int)
+        d = distances(query[None], points[start:stop if inner < 0 else start + 1])[0]
+        found.append(start + np.flatnonzero(d <= far))
+        if inner >= 0:
+            for child, low, high in ((inner, *nodes[number, 4:6]), (outer, *nodes[number, 6:8])):
+                if low - far - ROUNDING <= d[0] <= high + far + ROUNDING:
+                    waiting.append(child)
+    return np.concatenate(found) if found else np.empty(0, int)
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` of the vectors that take part, as doubles."""
     vector = F.col(vector_col).cast("array<double>")
@@ -169,9 +185,14 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, factor: float = F
         group = group.sort_values("id").drop_duplicates("id")
         own, asked_for = np.array(group["vector"].to_list()), group["id"].to_numpy()
         unit = own / np.linalg.norm(own, axis=1, keepdims=True)
-        place, _ = search(arrays["points"], arrays["nodes"], unit, k + 1 + SPARE, factor)
-        of, at = np.nonzero(place >= 0)
+        place, best = search(arrays["points"], arrays["nodes"], unit, k + 2, factor)
+        # one more than can count tells where points as near as the last one may have been left out
+        more = best[:, k + 1] <= best[:, k] + 2 * ROUNDING
+        of, at = np.nonzero((place >= 0) & ~more[:, None])
         point = place[of, at]
+        for query in np.flatnonzero(more):
+            tied = within(arrays["points"], arrays["nodes"], unit[query], best[query, k] + 2 * ROUNDING)
+            of, point = np.append(of, np.full(len(tied), query)), np.append(point, tied)
         many = starts[point + 1] - starts[point]
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         of, point = np.repeat(of, many), np.repeat(point, many)

@@ -256,7 +256,7 @@ def test_line_dedup_matches_brute_force(docs, made_up_docs, monkeypatch):
     wanted = {r[0]: t for r, t in zip(made_up_docs, brute.drop_lines(rows, 0.05, 10))}
     for limit in (line_dedup.BROADCAST_ROWS, -1):  # broadcast, and joined by salted host
         monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
-        got = line_dedup.drop_boilerplate_lines(clashing(docs), F.col("source"), ratio=0.05, min_host_pages=10)
+        got = line_dedup.drop_boilerplate_lines(clashing(docs), F.col("source"), ratio=0.05, least_pages=10)
         got = got.collect()
         assert {r["doc_id"]: r["text"] for r in got} == wanted
         assert sum(r["n_dropped"] for r in got) >= 20

@@ -36,7 +36,7 @@ def test_stages_match_brute_force(spark, docs, made_up_docs, sf_dir):
     again = spark.createDataFrame(rows, DOCS)
     lined = stage["line_dedup"](spark, again, sf_dir)
     assert lined.columns == columns
-    texts = brute.drop_lines([(r[3], r[1]) for r in rows], line_dedup.RATIO, line_dedup.MIN_HOST_PAGES)
+    texts = brute.drop_lines([(r[3], r[1]) for r in rows], line_dedup.RATIO, line_dedup.LEAST_PAGES)
     wanted = [(r[0], t, r[2], r[3], r[4] if t == r[1] else len(t)) for r, t in zip(rows, texts)]
     rows = sorted(map(tuple, lined.collect()))
     assert rows == sorted(wanted)
