@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,36 +35,55 @@ from runlens.llm.worker import held, sliced, tidy
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4_000_000
-#: what parts words: spaces and line feeds alone; other white space stays inside a word and is left to the tokenizer
+#: texts by which a tokenizer is tried: what spaces and line feeds part must stay apart
 GAPS = ("a b", " a", "a ", "a\nb", "ab  cd\n\nef", "don't 12\n3.5 x", "\n", "\u00e9 \u6f22\n\u5b57")
+#: whether A-Z are lower-cased, and whether a comma or full stop between a letter and a space is a token of its own
+CASES = ("Ab", "I\u0307X", "QUITE \u00c9A", "don'T")
+STOPS = ("ab, cd. ef", "l\u00e9, x. ", "it's, we'll. y", "Ab. c, d")
+STOP = r"(\pL)([.,]) "
 
 
-def word_ids(path: str) -> WordMemo:
-    """Memo word -> packed ids of the tokenizer at ``path``; the Python worker holds it for its next tasks."""
-    def make() -> WordMemo:
+def words_of(texts: pa.Array, fold: bool, part: bool) -> pa.Array:
+    """Lists of words; with ``fold`` in lower case, with ``part`` without a comma or full stop at their end."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+    texts = pc.ascii_lower(texts) if fold else texts
+    texts = pc.replace_substring_regex(texts, STOP, r"\1 \2 ") if part else texts
+    return pc.split_pattern(texts, " ")
+
+
+def word_ids(path: str) -> tuple[WordMemo, bool, bool]:
+    """Memo word -> packed ids of the tokenizer at ``path``, and how words may be cut for it (``words_of``).
+
+    Fewer forms of a word are fewer words to encode; what a tokenizer does not do is not assumed of it, but tried
+    when it is loaded. The Python worker holds the memo for its next tasks.
+    """
+    def make() -> tuple[WordMemo, bool, bool]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own hold memory each
         from tokenizers import Tokenizer
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def compute(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes()
-                    for e in model.encode_batch_fast(words, add_special_tokens=False)]
-        for probe in GAPS:
-            if b"".join(compute([w for w in probe.replace("\n", " ").split(" ") if w])) != compute([probe])[0]:
-                raise ValueError(f"{path} joins what spaces or line feeds part; its words cannot be encoded one by one")
-        return WordMemo(compute)
+            return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
+
+        def harmless(probes: tuple[str, ...], fold: bool, part: bool) -> bool:
+            cut = words_of(pa.array(probes), fold, part).to_pylist()
+            return all(b"".join(compute([w for w in words if w])) == compute([probe])[0] for probe, words in zip(probes, cut))
+
+        if not harmless(GAPS, False, False):
+            raise ValueError(f"{path} joins what spaces or line feeds part; its words cannot be encoded one by one")
+        return WordMemo(compute), harmless(CASES, True, False), harmless(STOPS, False, True)
     return held(f"words {path}", make)
 
 
-def token_ids(texts: pa.Array, memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, memo: WordMemo, fold: bool = False, part: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the number of them up to the end of each text.
 
-    The tokenizer's normaliser and splitter never join what spaces or line feeds part (checked when it is loaded),
-    so a text's ids are those of its words in a row. The words of a batch are dictionary-encoded: each distinct one
-    is looked up or goes through the tokenizer once, and the ids are gathered by offsets.
+    The tokenizer's normaliser and splitter never join what spaces or line feeds part (tried when it is loaded), so a
+    text's ids are those of its words in a row. The words of a batch are dictionary-encoded: each distinct one is
+    looked up or goes through the tokenizer once, and the ids are gathered by offsets.
     """
-    words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    words = words_of(texts, fold, part)
     coded = words.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     memo.fill([w for w in distinct if w])
@@ -83,9 +103,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     width = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_ids(path)
+        memo, fold, part_stops = word_ids(path)
         for part in sliced(batches):
-            ids, ends = token_ids(part.column(1), memo)
+            ids, ends = token_ids(part.column(1), memo, fold, part_stops)
             data = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
             stops = (4 * (ends + np.arange(1, len(ends) + 1))).tolist()
             cuts = [range(a, b, width) for a, b in zip([0, *stops], stops)]
