@@ -36,31 +36,49 @@ def _children(arr_or_run: Column) -> Column:
     return F.filter(arr, lambda c: V.is_object(c))
 
 
-def flatten_children(runs: DataFrame, doc_col: str = "doc", keep: list[str] | None = None) -> DataFrame:
-    """One row per nested descendant run found in ``doc.child_runs`` at any depth.
+def nested_runs(runs: DataFrame, doc_col: str = "doc", keep: list[str] | None = None) -> DataFrame:
+    """One typed row per nested descendant run found in ``doc.child_runs`` at any depth.
+
+    Output: the stored run's ``keep`` columns (default keys + run_id as ``stored_run_id`` + ord), ``depth`` (1 = direct
+    child), ``place`` (positions of the descendant and of those above it, which sort as the tree is walked), the
+    descendant's ``id, name, status, error, start_time``, its own ``symbol`` (P13) and ``target_url`` (P14).
 
-    Output: the parent's ``keep`` columns (default keys + run_id as ``stored_run_id``), ``depth``
-    (1 = direct child) and the descendant's ``id, name, status, error, start_time`` and ``child_doc``.
-    Levels are written one by one until one is empty, so the documents are read once.
+    Levels are written one by one until one is empty. A level holds its runs' typed fields and, of their documents,
+    only the ``child_runs`` that are left; reports read the typed columns and no document. Ingest stores this table
+    once, beside the runs.
     """
     keep = keep or [c for c in KEYS + ["run_id", "ord"] if c in runs.columns]
-    levels, above = [], runs.select(*keep, F.lit(0).alias("depth"), F.col(doc_col).alias("child"))
+    ch = F.col("child")
+    levels = []
+    above = runs.select(*keep, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"),
+                        _children(F.col(doc_col)).alias("children"))
     while not levels or not levels[-1].isEmpty():
-        levels.append(staged(above.select(*keep, (F.col("depth") + 1).alias("depth"),
-                                          F.explode(_children(F.col("child"))).alias("child")), "children"))
+        rows = above.where(F.size("children") > 0).select(
+            *keep, (F.col("depth") + 1).alias("depth"), "place", F.posexplode("children").alias("at", "child"))
+        typed = rows.select(
+            *keep, "depth", F.concat("place", F.array("at")).alias("place"), V.text_at(ch, "$.id").alias("id"),
+            V.as_string(ch, "$.name").alias("name"), V.as_string(ch, "$.status").alias("status"),
+            V.text_at(ch, "$.error").alias("error"), V.as_string(ch, "$.start_time").alias("start_time"),
+            T.target_url(ch).alias("target_url"), ch)
+        levels.append(staged(typed.select(
+            *[c for c in typed.columns if c != "child"], T.crypto_symbol(ch, F.col("name"), F.col("error")).alias("symbol"),
+            _children(ch).alias("children")), "children"))
         above = levels[-1]
-    out = functools.reduce(DataFrame.union, levels[:-1] or levels)
-    ch = F.col("child")
-    return out.select(
-        *[F.col(c).alias("stored_run_id") if c == "run_id" else F.col(c) for c in keep],
-        F.col("depth"),
-        V.text_at(ch, "$.id").alias("id"),
-        V.as_string(ch, "$.name").alias("name"),
-        V.as_string(ch, "$.status").alias("status"),
-        V.text_at(ch, "$.error").alias("error"),
-        V.as_string(ch, "$.start_time").alias("start_time"),
-        ch.alias("child_doc"),
-    )
+    out = functools.reduce(DataFrame.union, levels[:-1] or levels).drop("children")
+    return out.withColumnRenamed("run_id", "stored_run_id") if "run_id" in keep else out
+
+
+def flatten_children(runs: DataFrame, doc_col: str = "doc", keep: list[str] | None = None) -> DataFrame:
+    """The same rows without the columns that only the error hierarchy needs."""
+    return nested_runs(runs, doc_col, keep).drop("place", "symbol", "target_url")
+
+
+def _nested_of(runs: DataFrame, nested: DataFrame | bool | None) -> DataFrame | None:
+    """The nested runs to use: the stored table if it is given, else found in the documents, if there are any."""
+    if isinstance(nested, DataFrame):
+        return nested
+    wanted = ("doc" in runs.columns) if nested is None else nested
+    return nested_runs(runs) if wanted else None
 
 
 # ------------------------------------------------------------------------------------------ A3
@@ -77,20 +95,20 @@ def _filter(runs: DataFrame, project=None, run_date=None, start=None, end=None)
     return r
 
 
-def trace_error_counts(runs: DataFrame, predicate=T.is_rate_error, nested: bool | None = None) -> DataFrame:
+def trace_error_counts(runs: DataFrame, predicate=T.is_rate_error, nested: DataFrame | bool | None = None) -> DataFrame:
     """Per trace (project, run_date, trace_id): stored run count and error count of the trace as the
     table-mode analysis reconstructs it (root + stored children + their nested children; the root's
-    own nested children only when it is the trace's single stored run)."""
-    nested = ("doc" in runs.columns) if nested is None else nested
+    own nested children only when it is the trace's single stored run). ``nested`` is the stored table of
+    ``nested_runs``; without it they are read from the documents."""
+    found = _nested_of(runs, nested)
     per_trace = runs.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if(predicate(F.col("name"), F.col("status"))).alias("n_errors"),
         F.max_by(F.col("run_id"), F.struct((F.col("run_id") == F.col("trace_id")), -F.col("ord"))).alias("root_run_id"),
     )
-    if not nested:
+    if found is None:
         return per_trace.drop("root_run_id")
-    nested_err = (flatten_children(runs)
-                  .where(predicate(F.col("name"), F.col("status")))
+    nested_err = (found.where(predicate(F.col("name"), F.col("status")))
                   .groupBy(*KEYS, "stored_run_id").agg(F.count(F.lit(1)).alias("n")))
     j = per_trace.join(nested_err, KEYS, "left")
     keep = F.col("stored_run_id").isNotNull() & (
@@ -101,7 +119,7 @@ def trace_error_counts(runs: DataFrame, predicate=T.is_rate_error, nested: bool
 
 
 def daily_error_report(runs: DataFrame, project: str | None = None, run_date=None,
-                       start=None, end=None, nested: bool | None = None) -> DataFrame:
+                       start=None, end=None, nested: DataFrame | bool | None = None) -> DataFrame:
     """A3+A4 (table mode): per (project, run_date): total_traces = distinct traces,
     zenrows_errors = scraper errors in those traces, error_rate.
 
@@ -120,10 +138,10 @@ def daily_error_report(runs: DataFrame, project: str | None = None, run_date=Non
 
 
 def daily_error_report_rootmode(runs: DataFrame, project: str | None = None, run_date=None,
-                                nested: bool | None = None, date_col: str = "run_date") -> DataFrame:
+                                nested: DataFrame | bool | None = None, date_col: str = "run_date") -> DataFrame:
     """A2 (file mode): total_traces = runs without parent_run_id; errors counted over every stored run
-    and all of its nested children. ``date_col`` is the day key (F5 of start_time for landed files)."""
-    nested = ("doc" in runs.columns) if nested is None else nested
+    and all of its nested children. ``date_col`` is the day key (F5 of start_time for landed files), which a stored
+    table of nested runs has, too."""
     r = runs
     if project is not None:
         r = r.where(F.col("project") == project)
@@ -132,9 +150,15 @@ def daily_error_report_rootmode(runs: DataFrame, project: str | None = None, run
     err = T.is_rate_error(F.col("name"), F.col("status"))
     base = r.select("project", F.col(date_col).alias("_day"),
                     F.col("parent_run_id").isNull().cast("int").alias("root"), err.cast("int").alias("err"))
-    if nested:
-        ne = (flatten_children(r, keep=["project", date_col])
-              .where(T.is_rate_error(F.col("name"), F.col("status")))
+    found = nested if isinstance(nested, DataFrame) else None
+    if found is not None and project is not None:
+        found = found.where(F.col("project") == project)
+    if found is not None and run_date is not None:
+        found = found.where(F.col(date_col) == F.lit(str(run_date)).cast(found.schema[date_col].dataType))
+    if found is None and (("doc" in runs.columns) if nested is None else nested):
+        found = nested_runs(r, keep=["project", date_col])
+    if found is not None:
+        ne = (found.where(T.is_rate_error(F.col("name"), F.col("status")))
               .select("project", F.col(date_col).alias("_day"), F.lit(0).alias("root"), F.lit(1).alias("err")))
         base = base.unionByName(ne)
     out = base.groupBy("project", "_day").agg(F.sum("root").cast("bigint").alias("total_traces"),
@@ -176,49 +200,91 @@ def _doc_or_none(df: DataFrame, col: str = "doc"):
     return F.col(col) if col in df.columns else None
 
 
-def error_facts(runs: DataFrame, project=None, run_date=None, nested: bool | None = None) -> DataFrame:
+FACTS = [*KEYS, "symbol", "root_id", "error_id", "error_symbol", "error_message", "start_time", "target_url", "name",
+         "depth", "not_root", "ord", "place", "root_name", "root_start_time"]
+
+
+def _typed(runs: DataFrame) -> DataFrame:
+    """Keys and the fields that the hierarchy needs of every stored run; the symbol is found once, here."""
+    doc = _doc_or_none(runs)
+    st = (F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "start_time" in runs.columns
+          and dict(runs.dtypes)["start_time"].startswith("timestamp") else F.col("start_time")) \
+        if "start_time" in runs.columns else F.lit(None).cast("string")
+    depth = V.to_double(doc, "$.extra.metadata.ls_run_depth") if doc is not None else F.lit(None).cast("double")
+    return runs.select(*KEYS, "run_id", "ord", "name", "status", "error", st.alias("start_time"),
+                       T.target_url(doc).alias("target_url"), depth.alias("run_depth"),
+                       T.crypto_symbol(doc, F.col("name"), F.col("error")).alias("run_symbol"))
+
+
+def _error_rows(typed: DataFrame, nested: DataFrame | None) -> DataFrame:
+    """Errors (P4b) of the stored runs and of the runs nested in them, each with the stored run it belongs to."""
+    failed = T.is_detail_error(F.col("name"), F.col("status"))
+    rows = typed.where(failed).select(
+        *KEYS, "ord", F.col("run_id").alias("error_id"), F.col("run_id").alias("stored_run_id"),
+        F.col("run_symbol").alias("own_symbol"), F.col("error").alias("error_message"), "start_time", "target_url",
+        "name", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"))
+    if nested is None:
+        return rows
+    return rows.unionByName(nested.where(failed).select(
+        *KEYS, "ord", F.col("id").alias("error_id"), "stored_run_id", F.col("symbol").alias("own_symbol"),
+        F.col("error").alias("error_message"), "start_time", "target_url", "name", "depth", "place"))
+
+
+def error_facts(runs: DataFrame, project=None, run_date=None, nested: DataFrame | bool | None = None) -> DataFrame:
     """A8 flat facts of the error hierarchy (table mode, P4b errors).
 
-    One row per error: project, run_date, trace_id, symbol (P13 of the trace root, the group key),
-    root_id, error_id, error_symbol (own P13, else the root's), error_message (raw), start_time,
-    target_url (P14), name, depth (0 = stored run).
+    One row per error: project, run_date, trace_id, symbol (P13 of the trace root, the group key), root_id with the
+    root's name and start time (its metadata), error_id, error_symbol (own P13, else the root's), error_message
+    (raw), start_time, target_url (P14), name, depth (0 = stored run), and ``not_root, ord, place``, which put the
+    errors of a trace in the order in which it has them: the root's own, then run by run, each tree as it is walked.
     """
-    nested = ("doc" in runs.columns) if nested is None else nested
     r = _filter(runs, project, run_date)
-    doc = _doc_or_none(r)
-    st = (F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "start_time" in r.columns
-          and dict(r.dtypes)["start_time"].startswith("timestamp") else F.col("start_time")) \
-        if "start_time" in r.columns else F.lit(None).cast("string")
-    r = r.select(*KEYS, "run_id", "ord", "name", "status", "error", st.alias("start_time"),
-                 *(["doc"] if doc is not None else []),
-                 T.crypto_symbol(doc, F.col("name"), F.col("error")).alias("run_symbol"))
-    roots = r.groupBy(*KEYS).agg(
+    found = _nested_of(r, nested)
+    if isinstance(nested, DataFrame):
+        found = _filter(found, project, run_date)
+    typed = _typed(r)
+    roots = typed.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_runs"),
-        F.max_by(F.struct(F.col("run_id").alias("root_id"), F.col("run_symbol").alias("symbol")),
+        F.max_by(F.struct(F.col("run_id").alias("root_id"), F.col("run_symbol").alias("symbol"),
+                          F.col("name").alias("root_name"), F.col("start_time").alias("root_start_time")),
                  F.struct(F.col("run_id") == F.col("trace_id"), -F.col("ord"))).alias("root"))
-    roots = roots.select(*KEYS, "n_runs", "root.root_id", "root.symbol")
-    stored = r.where(T.is_detail_error(F.col("name"), F.col("status"))).select(
-        *KEYS, F.col("run_id").alias("error_id"), F.col("run_id").alias("stored_run_id"),
-        F.col("run_symbol").alias("own_symbol"), F.col("error").alias("error_message"), "start_time",
-        T.target_url(doc).alias("target_url"), "name", F.lit(0).alias("depth"))
-    facts = stored
-    if nested and doc is not None:
-        n = flatten_children(r.select(*KEYS, "run_id", "ord", "doc"))
-        n = n.where(T.is_detail_error(F.col("name"), F.col("status"))).select(
-            *KEYS, F.col("id").alias("error_id"), "stored_run_id",
-            T.crypto_symbol(F.col("child_doc"), F.col("name"), F.col("error")).alias("own_symbol"),
-            F.col("error").alias("error_message"), "start_time",
-            T.target_url(F.col("child_doc")).alias("target_url"), "name", "depth")
-        facts = facts.unionByName(n)
-    j = facts.join(roots, KEYS, "inner")
+    j = _error_rows(typed, found).join(roots.select(*KEYS, "n_runs", "root.*"), KEYS, "inner")
     # the root's own nested children are dropped when the trace has other stored runs (Q15)
     j = j.where((F.col("depth") == 0) | (F.col("n_runs") == 1) | (F.col("stored_run_id") != F.col("root_id")))
-    return j.select(
-        *KEYS, "symbol", "root_id", "error_id",
-        F.when((F.col("error_id") == F.col("root_id")) & (F.col("depth") == 0), F.col("symbol"))
-         .when(F.col("own_symbol") != T.UNKNOWN_SYMBOL, F.col("own_symbol"))
-         .otherwise(F.col("symbol")).alias("error_symbol"),
-        "error_message", "start_time", "target_url", "name", "depth")
+    own = F.when((F.col("error_id") == F.col("root_id")) & (F.col("depth") == 0), F.col("symbol")) \
+        .when(F.col("own_symbol") != T.UNKNOWN_SYMBOL, F.col("own_symbol")).otherwise(F.col("symbol"))
+    return j.withColumns({"error_symbol": own, "not_root": F.col("stored_run_id") != F.col("root_id")}).select(*FACTS)
+
+
+def error_facts_file_mode(runs: DataFrame, nested: DataFrame | bool | None = None) -> DataFrame:
+    """J2 + A8, file mode: every landed run stands alone, and its root is looked up among all of them.
+
+    The run whose id is the error's ``trace_id`` is the root if its document says ``ls_run_depth`` 0; otherwise the
+    run that holds the error is its own root. Of runs that landed several times the last one (by ``ord``) is looked
+    up, while all of them are searched for errors. The lookup table has a row for each root, aggregated map-side;
+    the join is a plain one, whose large partitions Spark splits when a trace is hot.
+    """
+    found = _nested_of(runs, nested)
+    typed = _typed(runs)
+    root = F.struct(F.col("run_symbol").alias("symbol"), F.col("name").alias("root_name"),
+                    F.col("start_time").alias("root_start_time"), "run_depth")
+    lookup = (typed.where("run_id IS NOT NULL").groupBy(F.col("run_id").alias("root_id")).agg(F.max_by(root, "ord").alias("r"))
+              .where("r.run_depth = 0").select("root_id", "r.symbol", "r.root_name", "r.root_start_time"))
+    holder = typed.select(*KEYS, "ord", F.col("run_id").alias("stored_run_id"), F.col("run_symbol").alias("holder_symbol"),
+                          F.col("name").alias("holder_name"), F.col("start_time").alias("holder_time"))
+    errors = _error_rows(typed, found)
+    same = [errors[c].eqNullSafe(holder[c]) for c in [*KEYS, "ord", "stored_run_id"]]
+    errors = errors.join(holder, functools.reduce(lambda a, b: a & b, same)).select(
+        *[errors[c] for c in errors.columns], "holder_symbol", "holder_name", "holder_time")
+    j = errors.join(lookup, errors["trace_id"] == lookup["root_id"], "left")
+    known = F.col("root_id").isNotNull()
+    own = F.when(F.col("depth") == 0, F.col("holder_symbol")).when(F.col("own_symbol") != T.UNKNOWN_SYMBOL, F.col("own_symbol")) \
+        .otherwise(F.col("holder_symbol"))
+    return j.withColumns({
+        "error_symbol": own, "symbol": F.when(known, F.col("symbol")).otherwise(F.col("holder_symbol")),
+        "root_name": F.when(known, F.col("root_name")).otherwise(F.col("holder_name")),
+        "root_start_time": F.when(known, F.col("root_start_time")).otherwise(F.col("holder_time")),
+        "root_id": F.coalesce("root_id", "stored_run_id"), "not_root": F.lit(False)}).select(*FACTS)
 
 
 def merge_project_facts(facts: DataFrame) -> DataFrame:

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import variant as V
+from runlens.operators import merge as M
+from runlens.session import staged
 
 TRACE_KEYS = ["trace_id", "project", "run_date"]
 EVAL_TYPES = ("token_name", "website", "availability")
+# Fixed text in front of a verdict.
 VERDICT_MARK = "Human verdict:"
 
 INPUT_FIELDS = ["name", "description", "symbol", "website_url", "network", "contract_address", "social_profiles"]
@@ -393,6 +396,34 @@ def merge_root_priority(fields: DataFrame, protected=PROTECTED_AVAILABILITY) ->
     return fields.groupBy(*TRACE_KEYS).agg(*aggs, *_extra(fields))
 
 
+VARIANT_FIELDS = INPUT_FIELDS + REFERENCE_FIELDS
+
+
+def merge_objects(fields: DataFrame, merged: DataFrame, root_first: bool = False) -> DataFrame:
+    """``merged``, with fields that several runs of a trace give as objects merged key by key, at any depth.
+
+    Only such traces and fields are folded (``merge.deep_merge``), in the order of the merge: by ``ord``, with
+    ``root_first`` the root before all others. A value that is no object replaces what came before it.
+    """
+    order = F.struct(F.col("run_id") != F.col("trace_id"), F.col("ord")) if root_first else F.col("ord")
+    given = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col(f + "_p"), F.col(f)).alias("value"))
+                      for f in VARIANT_FIELDS])
+    long = (fields.select(*TRACE_KEYS, order.alias("ord"), F.explode(given).alias("x"))
+            .select(*TRACE_KEYS, "ord", "x.*").where("value IS NOT NULL"))
+    several = staged(long.where(V.is_object("value")).groupBy(*TRACE_KEYS, "field").agg(F.count("*").alias("n"))
+                     .where("n > 1").drop("n"), "objects")
+    if several.isEmpty():
+        return merged
+    keys = [*TRACE_KEYS, "field"]
+    docs = long.join(several, keys, "left_semi").select(
+        *keys, "ord", F.parse_json(F.concat(F.lit('{"v":'), F.to_json("value"), F.lit("}"))).alias("doc"))
+    folded = M.deep_merge(docs, keys).select(*keys, F.to_json(V.sub("doc", "$.v")).alias("text"))
+    wide = folded.groupBy(*TRACE_KEYS).agg(*[F.max(F.when(F.col("field") == f, F.col("text"))).alias("_" + f)
+                                             for f in VARIANT_FIELDS])
+    both = merged.join(wide, TRACE_KEYS, "left")
+    return both.withColumns({f: F.coalesce(F.parse_json("_" + f), F.col(f)) for f in VARIANT_FIELDS}).select(*merged.columns)
+
+
 # ------------------------------------------------------------------------------- P19 .. P22
 FORMAT_COLUMNS = {
     "token_name": (["name", "symbol", "description"], ["is_meme", "is_explicit", "has_conflict"]),
@@ -428,19 +459,53 @@ def apply_format(merged: DataFrame, eval_type: str) -> DataFrame:
         else:
             cols.append(F.when(F.col(f + "_p"), F.col(f)).otherwise(F.lit(_OUTPUT_DEFAULTS[f])).alias(f))
     ref = F.struct(*[F.when(F.col(f + "_p"), F.col(f)).alias(f) for f in REFERENCE_FIELDS])
-    return merged.select(*cols, ref.alias("reference"), "runs_count")
+    return merged.select(*cols, ref.alias("reference"), "runs_count", inputs_json(ins).alias("inputs_json"))
+
+
+def inputs_json(ins: list[str]) -> Column:
+    """The inputs of an example as JSON text, every value as the runs gave it; defaults only for absent fields."""
+    fields = []
+    for f in ins:
+        default = "[]" if f == "social_profiles" else '""'
+        value = F.coalesce(F.when(F.col(f + "_p"), F.to_json(F.col(f))), F.lit(default))
+        fields.append(F.concat(F.lit(f'"{f}":'), value))
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def qualifying_runs(runs: DataFrame, eval_type: str | None, doc: str = "doc") -> DataFrame:
+    """All runs of the traces that qualify (A10), written once: the rules of P10 alone see every run, and what
+    follows reads the runs of the qualifying traces only."""
+    r = runs.where(F.col("trace_id").isNotNull())
+    met = stage(r, doc).where(meets_criteria(eval_type)).select(*TRACE_KEYS).distinct()
+    text = r.withColumn(doc, F.to_json(doc))
+    same = [text[k].eqNullSafe(met[k]) for k in TRACE_KEYS]
+    kept = staged(text.join(met, same, "left_semi"), "qualifying")
+    return kept.withColumn(doc, F.parse_json(doc))
 
 
 def build_dataset(runs: DataFrame, eval_type: str, doc: str = "doc") -> DataFrame:
-    """E3 in one pass: qualification (A10) and the merge (A11 / A12) come out of the same
-    ``groupBy``-shaped computation; no per-trace re-query (J3) and no second scan."""
+    """Qualification (A10) first, over all runs; then extraction, merge (A11 / A12) and format of the runs of
+    the qualifying traces. No per-trace re-query (J3)."""
     if eval_type not in EVAL_TYPES:
         raise ValueError(f"eval_type must be one of {EVAL_TYPES}")
-    r = runs.where(F.col("trace_id").isNotNull())
-    fields = run_fields(r, doc, eval_type)
-    merge = merge_root_priority if eval_type == "availability" else merge_last_wins
-    # qualification (A10) is one more bool_or in the same aggregation as the merge
-    return apply_format(merge(fields).where("_meets"), eval_type)
+    fields = run_fields(qualifying_runs(runs, eval_type, doc), doc, eval_type)
+    by_root = eval_type == "availability"
+    merged = merge_root_priority(fields) if by_root else merge_last_wins(fields)
+    return apply_format(merge_objects(fields, merged, by_root), eval_type)
+
+
+def build_dataset_file_mode(runs: DataFrame, eval_type: str, doc: str = "doc") -> DataFrame:
+    """The dataset of landed files. ``ord`` is the order of the files' paths.
+
+    Of the traces that qualify (the strict rule, whatever the type) one stands for each request. Its files are folded
+    in order: a field takes the value of the last file that has it, whole (objects replace objects), and
+    ``runs_count`` says how many files there were.
+    """
+    if eval_type not in EVAL_TYPES:
+        raise ValueError(f"eval_type must be one of {EVAL_TYPES}")
+    kept = qualifying_runs(runs, None, doc)
+    chosen = dedup_by_request(file_trace_summary(kept, doc)).select("trace_id")
+    return apply_format(merge_last_wins(run_fields(kept.join(chosen, "trace_id", "left_semi"), doc)), eval_type)
 
 
 # ------------------------------------------------------------------------------- J1

@@ -238,6 +238,11 @@ def q_dedup_requests(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("dedup_key", "trace_id", "start_time", F.col("runs_processed").cast("bigint"))
 
 
+_KEPT_SQL = """
+kept AS (SELECT rf.* FROM rf JOIN (SELECT trace_id, project, run_date FROM rf GROUP BY ALL HAVING bool_or(meets_strict)) q
+         USING (trace_id, project, run_date))"""
+
+
 def _last(f: str, cond: str | None = None) -> str:
     c = f"{f}_p" if cond is None else cond
     return f"arg_max({f}, ord) FILTER (WHERE {c})"
@@ -251,21 +256,21 @@ SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
        arg_max(has_conflict, ord) AS has_conflict, CAST(count(*) AS BIGINT) AS runs_count
 FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
 def q_dataset_token_name(spark: SparkSession, sf: str) -> DataFrame:
-    return EV.build_dataset(FX.run_documents(spark, sf), "token_name").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+    return EV.build_dataset(FX.run_documents(spark, sf), "token_name").withColumn("run_date", F.col("run_date").cast("string")).drop("reference", "inputs_json")
 
 
 @register("dataset_website", O.with_ctes(f"""
 SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
        coalesce({_last('name_v', 'name_p')}, '') AS name, coalesce({_last('symbol')}, '') AS symbol,
        '' AS network, coalesce({_last('description')}, '') AS description,
-       coalesce({_last('website_url')}, '') AS website_url, '[]' AS social_profiles, '' AS contract_address,
+       coalesce({_last('website_url')}, '') AS website_url, {O.MERGED_PROFILES} AS social_profiles, '' AS contract_address,
        arg_max(is_meme, ord) AS is_meme, arg_max(is_explicit, ord) AS is_explicit,
        coalesce({_last('is_available')}, true) AS is_available,
        coalesce({_last('is_malicious')}, false) AS is_malicious,
        arg_max(has_conflict, ord) AS has_trademark_conflict, CAST(count(*) AS BIGINT) AS runs_count
 FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
 def q_dataset_website(spark: SparkSession, sf: str) -> DataFrame:
-    return EV.build_dataset(FX.run_documents(spark, sf), "website").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+    return EV.build_dataset(FX.run_documents(spark, sf), "website").withColumn("run_date", F.col("run_date").cast("string")).drop("reference", "inputs_json")
 
 
 @register("dataset_availability", O.with_ctes("""
@@ -275,7 +280,39 @@ SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
        coalesce(arg_min(notes, prio), '') AS notes, CAST(count(*) AS BIGINT) AS runs_count
 FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_avail)""", RUNS, FB, O.run_fields_cte()))
 def q_dataset_availability(spark: SparkSession, sf: str) -> DataFrame:
-    return EV.build_dataset(FX.run_documents(spark, sf), "availability").withColumn("run_date", F.col("run_date").cast("string")).drop("reference")
+    return EV.build_dataset(FX.run_documents(spark, sf), "availability").withColumn("run_date", F.col("run_date").cast("string")).drop("reference", "inputs_json")
+
+
+@register("dataset_website_lines", O.with_ctes(f"""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       '{{"inputs":{{"name":' || to_json(coalesce({_last('name_v', 'name_p')}, '')) || ',"symbol":'
+       || to_json(coalesce({_last('symbol')}, '')) || ',"network":"","description":' || to_json(coalesce({_last('description')}, ''))
+       || ',"website_url":' || to_json(coalesce({_last('website_url')}, '')) || ',"social_profiles":' || {O.MERGED_PROFILES}
+       || ',"contract_address":""}},"outputs":{{"is_meme":' || arg_max(is_meme, ord) || ',"is_explicit":' || arg_max(is_explicit, ord)
+       || ',"is_available":' || coalesce({_last('is_available')}, true) || ',"is_malicious":' || coalesce({_last('is_malicious')}, false)
+       || ',"has_trademark_conflict":' || arg_max(has_conflict, ord) || '}},"metadata":{{"trace_id":"' || trace_id || '","project":"'
+       || project || '","date":"' || CAST(run_date AS VARCHAR) || '","eval_type":"website"}}}}' AS line
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
+def q_dataset_website_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = SK.dataset_lines(EV.build_dataset(FX.run_documents(spark, sf), "website"), "website")
+    return lines.select("trace_id", "project", _d(), "line")
+
+
+@register("dataset_file_mode", O.with_ctes(f"""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       coalesce({_last('name_v', 'name_p')}, '') AS name, coalesce({_last('symbol')}, '') AS symbol,
+       coalesce({_last('description')}, '') AS description,
+       arg_max(is_meme, ord) AS is_meme, arg_max(is_explicit, ord) AS is_explicit,
+       arg_max(has_conflict, ord) AS has_conflict, CAST(count(*) AS BIGINT) AS runs_count
+FROM kept WHERE trace_id IN (
+  SELECT first(trace_id ORDER BY st, o) FROM (
+    SELECT trace_id, min(strftime(start_time, '%Y-%m-%dT%H:%M:%S.%fZ')) AS st, arg_min(request_id, ord) AS rid, min(ord) AS o
+    FROM kept GROUP BY trace_id) GROUP BY rid)
+GROUP BY trace_id, project, run_date""", RUNS, FB, O.run_fields_cte(), _KEPT_SQL))
+def q_dataset_file_mode(spark: SparkSession, sf: str) -> DataFrame:
+    d = EV.build_dataset_file_mode(FX.run_documents(spark, sf), "token_name")
+    return d.select("trace_id", "project", _d(), "name", "symbol", "description", "is_meme", "is_explicit",
+                    "has_conflict", "runs_count")
 
 
 # ----------------------------------------------------------------------------- URLs & curation
@@ -344,7 +381,8 @@ FROM (SELECT project, run_date, trace_id,
       GROUP BY ALL) t
 GROUP BY project, run_date""", RUNS))
 def q_daily_error_report_nested(spark: SparkSession, sf: str) -> DataFrame:
-    rep = E.daily_error_report(FX.nested_run_documents(spark, sf), nested=True)
+    # as ingest does it: nested runs are typed once, the report reads no documents
+    rep = E.daily_error_report(FX.runs(spark, sf), nested=E.nested_runs(FX.nested_run_documents(spark, sf)))
     return rep.select("project", _d(), "total_traces", "zenrows_errors", "error_rate")
 
 
@@ -380,3 +418,109 @@ SELECT CAST(run_date AS VARCHAR) AS date,
 FROM rated""", RUNS, _ALL_PROJECTS_SQL))
 def q_error_report_csv(spark: SparkSession, sf: str) -> DataFrame:
     return SK.csv_lines(E.merge_projects(E.daily_error_report(FX.runs(spark, sf))))
+
+
+# ----------------------------------------------------------------------------- detail reports, file mode, versions
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from pyspark.sql import Column  # noqa: E402
+
+from runlens.session import checkpoint_dir, staged  # noqa: E402
+from runlens.sources import reports as R  # noqa: E402
+from runlens.sources import versions as VT  # noqa: E402
+
+_TREE_SQL = f"""
+sym AS (SELECT *, {O.symbol_scan()} AS run_symbol FROM runs WHERE trace_id IS NOT NULL),
+roots AS (
+  SELECT project, run_date, trace_id, count(*) AS n_runs,
+         arg_max(run_id, (CASE WHEN run_id = trace_id THEN 1 ELSE 0 END, -ord)) AS root_id,
+         arg_max(run_symbol, (CASE WHEN run_id = trace_id THEN 1 ELSE 0 END, -ord)) AS symbol
+  FROM sym GROUP BY ALL),
+errs AS (
+  SELECT *, run_id AS error_id, run_symbol AS own, error AS message, name AS error_name, 0 AS d, NULL AS url,
+         strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS st FROM sym WHERE {O.detail_error()}
+  UNION ALL
+  SELECT *, run_id || '-c1', {O.symbol_scan("name || '_retry'", "error")}, error, name || '_retry', 1,
+         CASE WHEN u % 3 = 0 THEN 'https://t' || (u % 5) || '.example' END, NULL
+  FROM sym WHERE {O.detail_error("name || '_retry'", "status")}
+  UNION ALL
+  SELECT *, run_id || '-c2', {O.symbol_scan("'zenrows_scraper_inner'", "CAST(NULL AS VARCHAR)")}, NULL,
+         'zenrows_scraper_inner', 2, NULL, NULL FROM sym WHERE u % 2 = 0),
+tree AS (
+  SELECT e.*, r.symbol, r.root_id, e.run_id <> r.root_id AS not_root,
+         CASE WHEN e.d = 0 AND e.run_id = r.root_id THEN r.symbol WHEN e.own <> 'Unknown' THEN e.own ELSE r.symbol END AS error_symbol
+  FROM errs e JOIN roots r USING (project, run_date, trace_id)
+  WHERE e.d = 0 OR r.n_runs = 1 OR e.run_id <> r.root_id)"""
+
+
+def _nested_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return E.error_facts(FX.runs(spark, sf), nested=E.nested_runs(FX.nested_run_documents(spark, sf)))
+
+
+@register("error_hierarchy_lines", O.with_ctes(f"""
+SELECT symbol, 0 AS tail, '' AS root_id, 0 AS level, CAST(NULL AS BOOLEAN) AS not_root, CAST(NULL AS BIGINT) AS ord,
+       CAST(NULL AS INTEGER) AS depth, 0 AS line_no, symbol || ':' AS line FROM tree GROUP BY symbol
+UNION ALL SELECT symbol, 1, '', 0, NULL, NULL, NULL, 0, '' FROM tree GROUP BY symbol
+UNION ALL SELECT symbol, 0, root_id, 1, NULL, NULL, NULL, 0, '  ' || root_id || ':' FROM tree GROUP BY symbol, root_id
+UNION ALL SELECT symbol, 0, root_id, 2, not_root, ord, d, 0, '    Error: ' || {O.clean_error('message')} FROM tree
+UNION ALL SELECT symbol, 0, root_id, 2, not_root, ord, d, 1,
+       '      Time: ' || coalesce(strftime(start_time, '%Y-%m-%d %H:%M:%S') || CASE WHEN st IS NULL THEN NULL ELSE ' UTC' END, '') FROM tree
+UNION ALL SELECT symbol, 0, root_id, 2, not_root, ord, d, 2, '      URL: ' || coalesce(url, '') FROM tree""", RUNS, _TREE_SQL))
+def q_error_hierarchy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return R.hierarchy_lines(_nested_facts(spark, sf)).select(
+        "symbol", "tail", "root_id", "level", "place.not_root", F.col("place.ord").cast("long").alias("ord"),
+        F.when(F.col("place").isNotNull(), F.size("place.place")).alias("depth"), "line_no", "line")
+
+
+@register("error_detail_documents", O.with_ctes("""
+SELECT symbol, root_id, not_root, ord, d AS depth,
+       CAST(to_json({'trace_id': error_id, 'root_trace_id': root_id, 'crypto_symbol': error_symbol, 'error_message': message,
+                     'start_time': st, 'target_url': url, 'name': error_name}) AS VARCHAR) AS document FROM tree""", RUNS, _TREE_SQL))
+def q_error_detail_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return R.error_documents(_nested_facts(spark, sf)).select(
+        "symbol", "root_id", "not_root", "ord", F.size("place").alias("depth"), "document")
+
+
+def _document_symbol(scan: str) -> str:
+    return f"""CASE ord % 8 WHEN 0 THEN 'S' || (u % 7) WHEN 4 THEN 'SITE' || (u % 11) ELSE {scan} END"""
+
+
+@register("error_detail_file_mode", O.with_ctes(f"""
+SELECT s.project, CAST(s.run_date AS VARCHAR) AS run_date, s.run_id AS error_id, s.symbol AS error_symbol,
+       CASE WHEN r.run_id IS NULL THEN s.symbol ELSE r.symbol END AS symbol, coalesce(r.run_id, s.run_id) AS root_id,
+       CASE WHEN r.run_id IS NULL THEN s.name ELSE r.name END AS root_name
+FROM sym s LEFT JOIN sym r ON r.run_id = s.trace_id AND r.ord % 8 = 0 AND r.u % 9 <> 0
+WHERE {O.detail_error('s.name', 's.status')}""", RUNS, f"""
+sym AS (SELECT *, {_document_symbol(O.symbol_scan())} AS symbol FROM runs)"""))
+def q_error_detail_file_mode(spark: SparkSession, sf: str) -> DataFrame:
+    f = E.error_facts_file_mode(FX.run_documents(spark, sf), nested=False)
+    return f.select("project", _d(), "error_id", "error_symbol", "symbol", "root_id", "root_name")
+
+
+def _moved(project: Column) -> Column:
+    return F.when(F.col("run_id").cast("long") % 3 == 0, F.concat(project, F.lit("m"))).otherwise(project)
+
+
+@register("merge_versions", O.with_ctes("""
+SELECT run_id, trace_id, project, CAST(run_date AS VARCHAR) AS run_date, status, error,
+       strftime(first_created, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM (SELECT *, min(created_at) OVER (PARTITION BY run_id) AS first_created FROM log) l
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1""", RUNS, """
+log AS (
+  SELECT run_id, trace_id, project, run_date, status, error, ord AS seq, start_time AS created_at FROM runs
+  UNION ALL
+  SELECT run_id, trace_id, CASE WHEN ord % 3 = 0 THEN project || 'm' ELSE project END, run_date, 'success', NULL,
+         1000000000000 + ord, start_time + INTERVAL 1 HOUR FROM runs WHERE status = 'error')"""))
+def q_merge_versions(spark: SparkSession, sf: str) -> DataFrame:
+    # two ingest batches, merged one after the other; the second moves runs to other projects
+    log = staged(FX.run_log(spark, sf), "run-log")
+    base = os.path.join(checkpoint_dir(spark), f"versions-{uuid.uuid4().hex}")
+    second = F.col("ingest_seq") >= 10 ** 12
+    batches = (log.where(~second), log.where(second).withColumn("project", _moved(F.col("project"))))
+    for number, rows in enumerate(batches, 1):
+        RT.append_batch(rows, f"{base}/log", number)
+        VT.merge_batches(spark, f"{base}/log", f"{base}/table")
+    return VT.read_version(spark, f"{base}/table").select(
+        "run_id", "trace_id", "project", _d(), "status", "error",
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))

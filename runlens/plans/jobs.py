@@ -16,8 +16,10 @@ from runlens.operators import evaluation as EV
 from runlens.operators import quality as Q
 from runlens.session import staged
 from runlens.sources import landing as L
+from runlens.sources import reports as R
 from runlens.sources import runtable as RT
 from runlens.sources import sinks as SK
+from runlens.sources import versions as VT
 
 
 def error_report(spark: SparkSession, table: str, day: str, project: str | None = None) -> str:
@@ -31,14 +33,22 @@ def error_report(spark: SparkSession, table: str, day: str, project: str | None
     return SK.csv_report(rep)
 
 
-def error_detail_report(spark: SparkSession, table: str, day: str, project: str | None = None,
-                        fmt: str = "text") -> str:
-    """E2 ``report zenrows-detail``: hierarchy symbol -> root trace -> errors, as text or JSON."""
+def error_detail_report(spark: SparkSession, table: str, day: str, out: str, project: str | None = None,
+                        fmt: str = "text", nested: DataFrame | None = None) -> None:
+    """E2 ``report zenrows-detail``: hierarchy symbol -> root trace -> errors, written to ``out`` as text or JSON.
+
+    ``nested`` is the stored table of nested runs, if ingest has written one; the report then reads no documents
+    for them. Every error is a row up to the files; the driver gets none.
+    """
     Q.validate_params(date=day)
-    facts = E.error_facts(RT.read_table(spark, table, project, day), project=project, run_date=day)
+    facts = E.error_facts(RT.read_table(spark, table, project, day), project=project, run_date=day, nested=nested)
     if project is None:
         facts = E.merge_project_facts(facts)
-    return SK.detail_json(facts, day, project) if fmt == "json" else SK.detail_text(facts)
+    facts = staged(facts, "facts")
+    if fmt == "json":
+        R.write_json(facts, out, day, project)
+    else:
+        R.write_text(facts, out)
 
 
 def create_dataset(spark: SparkSession, table: str, project: str, eval_type: str, start: str,
@@ -72,3 +82,8 @@ def ingest(spark: SparkSession, landing_root: str, log_path: str, batch: int, pr
     counts = RT.append_batch(recs, log_path, batch, ingest_ts)
     counts["rejected"] = rejected.count()
     return counts
+
+
+def merge_log(spark: SparkSession, log_path: str, table: str) -> dict:
+    """E4, second half: bring the versioned table up to the last ingest batch (only touched partitions are written)."""
+    return VT.merge_batches(spark, log_path, table)

@@ -129,6 +129,9 @@ rf AS (
          r.ord % 8 = 0 AS symbol_p, 's' || CAST(r.u % 7 AS VARCHAR) AS symbol,
          r.ord % 8 IN (0, 4) AS website_url_p,
          'https://www.site' || CAST(r.u % 23 AS VARCHAR) || '.example.com/p' || CAST(r.ord % 3 AS VARCHAR) AS website_url,
+         CASE r.ord % 8 WHEN 0 THEN '{{"links":{{"a":' || (r.u % 3) || '}},"x":"x' || (r.u % 5) || '"}}'
+                        WHEN 4 THEN '{{"links":{{"b":' || (r.ord % 3) || '}},"tg":"t' || (r.u % 6) || '"}}'
+                        WHEN 7 THEN CASE WHEN r.u % 4 = 0 THEN '["l' || r.u || '"]' END END AS profiles,
          r.ord % 8 = 7 AND r.v > 50 AS is_meme,
          r.ord % 8 = 7 AND r.etype = 'purchase' AS is_explicit,
          r.ord % 8 = 7 AND r.u % 2 = 0 AS has_conflict,
@@ -149,6 +152,14 @@ rf AS (
   FROM runs r LEFT JOIN feedback f USING (run_id))"""
 
 
+#: the profiles of a trace, over rows of ``rf``: a list replaces objects, two objects are merged
+MERGED_PROFILES = """CASE WHEN max(profiles) FILTER (WHERE k = 7) IS NOT NULL THEN max(profiles) FILTER (WHERE k = 7)
+            WHEN count(*) FILTER (WHERE k IN (0, 4)) = 2 THEN
+                 '{"links":{"a":' || max(u % 3) FILTER (WHERE k = 0) || ',"b":' || max(ord % 3) FILTER (WHERE k = 4)
+                 || '},"tg":"t' || max(u % 6) FILTER (WHERE k = 4) || '","x":"x' || max(u % 5) FILTER (WHERE k = 0) || '"}'
+            ELSE coalesce(max(profiles), '[]') END"""
+
+
 def normalize_url(u: str) -> str:
     return (f"regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({u}, ''))), '^https?://', ''),"
             f" '^www\\.', ''), '/$', '')")

@@ -107,6 +107,8 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       k = 7         outputs.name_analysis.{meme_check.is_meme: v > 50, explicit_check.is_explicit:
                     purchase, trademark_check.has_conflict: u even}
       k = 6         extra.metadata.<project key> = project; all runs session_id 'sess<u%4>'
+      profiles      input_data.social_profiles: k = 0 {x, links: {a}}, k = 4 {tg, links: {b}}, k = 7 and u%4=0 a list
+      depth         ls_run_depth 0 for k = 0 (2 where u%9=0), else 1
       labelled runs outputs.final_decision + feedback_stats.final_verdict.comments ['Human verdict: X']
     """
     r = runs(spark, sf_dir)
@@ -122,6 +124,11 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("s"), (u % 7).cast("string"))).alias("crypto_symbol"),
         F.when(k == 0, F.concat(F.lit("desc "), F.col("_etype"))).alias("description"),
         F.when((k == 0) | (k == 4), url).alias("website_url"),
+        F.when(k == 0, F.parse_json(F.to_json(F.struct(F.concat(F.lit("x"), (u % 5).cast("string")).alias("x"),
+                                          F.struct((u % 3).alias("a")).alias("links")))))
+         .when(k == 4, F.parse_json(F.to_json(F.struct(F.concat(F.lit("t"), (u % 6).cast("string")).alias("tg"),
+                                          F.struct((F.col("ord") % 3).alias("b")).alias("links")))))
+         .when((k == 7) & (u % 4 == 0), F.parse_json(F.to_json(F.array(F.concat(F.lit("l"), u.cast("string")))))).alias("social_profiles"),
     )
     website_analysis = F.when(k == 4, F.struct(
         (F.col("_etype") != "error").alias("is_available"),
@@ -146,7 +153,7 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         outputs.alias("outputs"),
         feedback_stats.alias("feedback_stats"),
         F.concat(F.lit("sess"), (u % 4).cast("string")).alias("session_id"),
-        F.struct(F.struct(F.when(k == 0, 0).otherwise(1).alias("ls_run_depth"),
+        F.struct(F.struct(F.when((k == 0) & (u % 9 == 0), 2).when(k == 0, 0).otherwise(1).alias("ls_run_depth"),
                           F.when(k == 6, F.col("project")).alias(PROJECT_METADATA_KEY)).alias("metadata")).alias("extra"),
     )
     # labels is small relative to runs but grows with the data: a plain equi-join, AQE decides
@@ -159,7 +166,8 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose documents carry nested ``child_runs`` (built row by row, no grouping):
 
-      run.child_runs = [c1, "x"]     c1 = {id: '<run>-c1', name: name + '_retry', status, error}
+      run.child_runs = [c1, "x"]     c1 = {id: '<run>-c1', name: name + '_retry', status, error,
+                                           inputs.url where user_id is a multiple of 3}
       c1.child_runs  = [c2, 42]      c2 = {id: '<run>-c2', name: 'zenrows_scraper_inner',
                                            status: 'error' if user_id even else 'success'}
     Non-object list items are there to be skipped, as the nested search does."""
@@ -167,8 +175,10 @@ def nested_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     strip = lambda c: F.regexp_replace(F.to_json(c), "}$", "")
     c2 = F.to_json(F.struct(F.concat("run_id", F.lit("-c2")).alias("id"), F.lit("zenrows_scraper_inner").alias("name"),
                             F.when(F.col("_user") % 2 == 0, "error").otherwise("success").alias("status")))
+    url = F.concat(F.lit("https://t"), (F.col("_user") % 5).cast("string"), F.lit(".example"))
     c1 = F.concat(strip(F.struct(F.concat("run_id", F.lit("-c1")).alias("id"),
-                                 F.concat("name", F.lit("_retry")).alias("name"), "status", "error")),
+                                 F.concat("name", F.lit("_retry")).alias("name"), "status", "error",
+                                 F.when(F.col("_user") % 3 == 0, F.struct(url.alias("url"))).alias("inputs"))),
                   F.lit(',"child_runs":['), c2, F.lit(",42]}"))
     doc = F.concat(strip(F.struct(F.col("run_id").alias("id"), "trace_id", "name", "status", "error")),
                    F.lit(',"child_runs":['), c1, F.lit(',"x"]}'))

@@ -39,19 +39,28 @@ def append_batch(records: DataFrame, log_path: str, batch: int, ingest_ts=None)
         out = out.withColumn("ingest_seq", ingest_order(out))
     if "doc" in out.columns:
         out = out.withColumn("doc", F.to_json("doc"))
-    out.write.mode("append").partitionBy("ingest_batch").parquet(log_path)
+    # a batch has a folder of its own, which a replay of the batch replaces
+    out.drop("ingest_batch").write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch}")
     return dict(obs.get)
 
 
+#: digits of an ingest order: batch (milliseconds fit), start in microseconds, hash of the run
+ORDER_DIGITS = (14, 16, 8)
+
+
 def ingest_order(rows: DataFrame) -> Column:
     """Place of a row in the order of ingestion as decimal(38,0): batch, then start time, then run.
 
     It follows from the row alone, so a task that runs again gives the same order, whatever the number of rows.
+    A batch holds a run once; numbers that have no room are an error, never cut.
     """
     started = F.unix_micros("start_time") if "start_time" in rows.columns else F.lit(0)
-    parts = ((F.col("ingest_batch"), 10), (F.greatest(F.coalesce(started, F.lit(0)), F.lit(0)), 17),
-             (F.pmod(F.xxhash64("run_id"), F.lit(10 ** 11)), 11))
-    return F.concat(*[F.lpad(c.cast("string"), n, "0") for c, n in parts]).cast("decimal(38,0)")
+    parts = (F.col("ingest_batch"), F.greatest(F.coalesce(started, F.lit(0)), F.lit(0)),
+             F.pmod(F.xxhash64("run_id"), F.lit(10 ** ORDER_DIGITS[2])))
+    fits = [F.when(c.between(0, 10 ** n - 1), F.lpad(c.cast("string"), n, "0"))
+            .otherwise(F.raise_error(F.concat(F.lit("no room in an ingest order for "), c.cast("string"))))
+            for c, n in zip(parts, ORDER_DIGITS)]
+    return F.concat(*fits).cast("decimal(38,0)")
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:

@@ -1,7 +1,6 @@
-"""Report and dataset sinks.
+"""Daily report and dataset sinks (S5, S6, S10, S11, S12); detail reports are in ``reports``.
 
-Reports are small (one row per day / symbol / root) but are still produced as DataFrames and
-written by Spark; only the final text assembly of a tiny report happens on the driver.
+The daily report has one row per day: it is produced as a DataFrame, and only its text is put together on the driver.
 """
 
 from __future__ import annotations
@@ -24,14 +23,21 @@ def write_runs_json(records: DataFrame, out: str) -> None:
 
 
 def manifest(records: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Per (project, run_date): total, successful, failed counts and the file list."""
-    ok = records.groupBy("project", "run_date").agg(
-        F.count(F.lit(1)).alias("successful"), F.sort_array(F.collect_list("run_id")).alias("files"))
+    """Per (project, run_date): total, successful and failed counts, combined map-side."""
+    ok = records.select("project", "run_date", F.lit(1).alias("ok"))
+    rows = ok if failed is None else ok.union(failed.select("project", "run_date", F.lit(0)))
+    return rows.groupBy("project", "run_date").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("ok") == 1).alias("successful"),
+        F.count_if(F.col("ok") == 0).alias("failed"))
+
+
+def manifest_entries(records: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """S6 lists: a row for each run that was written (``reason`` null) or not; never gathered into one row."""
+    none = F.lit(None).cast("string")
+    ok = records.select("project", "run_date", "run_id", none.alias("reason"))
     if failed is None:
-        return ok.withColumns({"failed": F.lit(0).cast("bigint"), "total": F.col("successful")})
-    bad = failed.groupBy("project", "run_date").agg(F.count(F.lit(1)).alias("failed"))
-    j = ok.join(bad, ["project", "run_date"], "full_outer").fillna(0, ["successful", "failed"])
-    return j.withColumn("total", F.col("successful") + F.col("failed"))
+        return ok
+    return ok.union(failed.select("project", "run_date", "run_id", F.col("reason") if "reason" in failed.columns else none))
 
 
 def csv_lines(report: DataFrame, date_col: str = "run_date") -> DataFrame:
@@ -72,17 +78,26 @@ def summary_text(stats_row, report: DataFrame, date_col: str = "run_date") -> st
     return "\n".join(lines) + "\n"
 
 
-def write_dataset_jsonl(examples: DataFrame, path: str, eval_type: str) -> None:
-    """One compact JSON object per line: inputs, outputs, metadata (reference not written)."""
+def dataset_lines(examples: DataFrame, eval_type: str) -> DataFrame:
+    """S11 rows: the keys and ``line``, one compact JSON object: inputs, outputs, metadata (reference not written).
+
+    Inputs are JSON values as the runs gave them (``inputs_json`` of the formats): lists stay lists, null stays null.
+    """
     from runlens.operators.evaluation import FORMAT_COLUMNS
     ins, outs = FORMAT_COLUMNS[eval_type]
-    inputs = F.struct(*[F.col(c) for c in ins])
-    outputs = F.struct(*[F.col(c) for c in outs])
-    meta = F.struct("trace_id", "project", F.col("run_date").cast("string").alias("date"),
-                    F.lit(eval_type).alias("eval_type"))
-    (examples.select(F.to_json(F.struct(inputs.alias("inputs"), outputs.alias("outputs"),
-                                        meta.alias("metadata")), {"ignoreNullFields": "false"}).alias("value"))
-     .write.mode("overwrite").text(path))
+    compact = {"ignoreNullFields": "false"}
+    inputs = F.col("inputs_json") if "inputs_json" in examples.columns else \
+        F.to_json(F.struct(*[F.parse_json(c).alias(c) if c == "social_profiles" else F.col(c) for c in ins]), compact)
+    outputs = F.to_json(F.struct(*[F.col(c) for c in outs]), compact)
+    meta = F.to_json(F.struct("trace_id", "project", F.col("run_date").cast("string").alias("date"),
+                              F.lit(eval_type).alias("eval_type")), compact)
+    return examples.select("trace_id", "project", "run_date", F.concat(
+        F.lit('{"inputs":'), inputs, F.lit(',"outputs":'), outputs, F.lit(',"metadata":'), meta, F.lit("}")).alias("line"))
+
+
+def write_dataset_jsonl(examples: DataFrame, path: str, eval_type: str) -> None:
+    """The lines as text files."""
+    dataset_lines(examples, eval_type).select("line").write.mode("overwrite").text(path)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
@@ -103,61 +118,3 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame
     if fmt == "object":
         return whole.select(F.explode("examples").alias("e")).select("e.*")
     return whole
-
-
-def detail_json(facts: DataFrame, report_date: str, project: str | None = None) -> str:
-    """{report_type, report_date, project|'all', summary{...}, details{symbol:{root:[errors]}}}.
-    The nested map is built by Spark (collect per root, then per symbol); only the final, already
-    aggregated report document reaches the driver."""
-    err = F.struct(F.col("error_id").alias("trace_id"), F.col("root_id").alias("root_trace_id"),
-                   F.col("error_symbol").alias("crypto_symbol"), F.col("error_message"),
-                   F.col("start_time"), F.col("target_url"), F.col("name"))
-    per_root = facts.groupBy("symbol", "root_id").agg(F.collect_list(err).alias("errors"))
-    per_sym = per_root.groupBy("symbol").agg(
-        F.map_from_entries(F.collect_list(F.struct("root_id", "errors"))).alias("traces"),
-        F.sum(F.size("errors")).alias("n_err"), F.count(F.lit(1)).alias("n_roots"))
-    rows = per_sym.select("symbol", F.to_json("traces").alias("traces"), "n_err", "n_roots").collect()
-    details = {r["symbol"]: json.loads(r["traces"]) for r in rows}
-    out = {"report_type": "zenrows_detail", "report_date": report_date, "project": project or "all",
-           "summary": {"total_errors": sum(r["n_err"] for r in rows),
-                       "total_traces": sum(r["n_roots"] for r in rows),
-                       "crypto_symbols": len(rows),
-                       "errors_by_crypto": {r["symbol"]: r["n_err"] for r in rows}},
-           "details": details}
-    return json.dumps(out, indent=2)
-
-
-def detail_text_lines(facts: DataFrame) -> DataFrame:
-    """S14 as an ordered line table (symbol, root, error order) ready for ``write.text``.
-    Times are rendered '%Y-%m-%d %H:%M:%S UTC' from the stored text without zone conversion."""
-    ts = F.regexp_replace(F.col("start_time"), "Z$", "+00:00")
-    shown = F.coalesce(F.date_format(F.to_timestamp(F.substring(ts, 1, 19)), "yyyy-MM-dd HH:mm:ss"), F.col("start_time"))
-    time_txt = F.when(F.length(F.col("start_time")) > 0, F.concat(shown, F.lit(" UTC"))).otherwise(F.lit(""))
-    e = facts.select("symbol", "root_id", "error_id", F.concat_ws(
-        "\n", F.concat(F.lit("    Error: "), T.clean_error(F.col("error_message"))),
-        F.concat(F.lit("      Time: "), time_txt),
-        F.concat(F.lit("      URL: "), F.coalesce(F.col("target_url"), F.lit("")))).alias("text"),
-        F.lit(3).alias("lvl"))
-    roots = facts.select("symbol", "root_id").distinct().select(
-        "symbol", "root_id", F.lit("").alias("error_id"), F.concat(F.lit("  "), F.col("root_id"), F.lit(":")).alias("text"),
-        F.lit(2).alias("lvl"))
-    syms = facts.select("symbol").distinct().select(
-        "symbol", F.lit("").alias("root_id"), F.lit("").alias("error_id"), F.concat(F.col("symbol"), F.lit(":")).alias("text"),
-        F.lit(1).alias("lvl"))
-    return syms.unionByName(roots).unionByName(e)
-
-
-def detail_text(facts: DataFrame) -> str:
-    """S14 full text (driver-side join of the ordered lines of a one-day report)."""
-    rows = detail_text_lines(facts).orderBy("symbol", "root_id", "lvl", "error_id").collect()
-    if not rows:
-        return "No zenrows errors found for the specified date.\n"
-    lines = ["Zenrows Error Detail Report", "=" * 40, ""]
-    prev = None
-    for r in rows:
-        if r["lvl"] == 1 and prev is not None:
-            lines.append("")
-        lines.append(r["text"])
-        prev = r
-    lines.append("")
-    return "\n".join(lines)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.operators import errors as E
 from runlens.sources import landing as L
 from runlens.sources import runtable as RT
+from runlens.sources import reports as R
 from runlens.sources import sinks as SK
 
 U = "00000000-0000-0000-0000-{:012d}"
@@ -110,11 +111,31 @@ def test_csv_and_detail_sinks(spark, docs_df):
              "start_time": "2025-08-29T10:00:00Z", "inputs": {"url": "https://x.com"}}]
     df = docs_df(runs).withColumn("start_time", F.lit("2025-08-29T10:00:00Z"))
     facts = E.error_facts(df)
-    doc = json.loads(SK.detail_json(facts, "2025-08-29"))
-    assert doc["summary"] == {"total_errors": 1, "total_traces": 1, "crypto_symbols": 1, "errors_by_crypto": {"BTC": 1}}
-    assert list(doc["details"]["BTC"].keys()) == ["T"]
-    text = SK.detail_text(facts)
-    assert "BTC:" in text and "    Error: Request timeout" in text and "      Time: 2025-08-29 10:00:00 UTC" in text
+    out = tempfile.mkdtemp(prefix="runlens-detail-")
+    R.write_json(facts, f"{out}/json", "2025-08-29")
+    report = spark.read.json(f"{out}/json/report").first()
+    assert (report["report_type"], report["project"], report["total_errors"], report["total_traces"], report["crypto_symbols"]) \
+        == ("zenrows_detail", "all", 1, 1, 1)
+    assert [tuple(r) for r in spark.read.json(f"{out}/json/symbols").select("symbol", "total_errors").collect()] == [("BTC", 1)]
+    lines = [json.loads(r["value"]) for r in spark.read.text(f"{out}/json/errors").collect()]
+    assert lines == [{"symbol": "BTC", "root_trace_id": "T", "error": {
+        "trace_id": "a", "root_trace_id": "T", "crypto_symbol": "BTC", "error_message": "ReadTimeout",
+        "start_time": "2025-08-29T10:00:00Z", "target_url": "https://x.com", "name": "zenrows_scraper"}}]
+    R.write_text(facts, f"{out}/text")
+    assert report_lines(f"{out}/text") == [
+        "Zenrows Error Detail Report", "=" * 40, "", "BTC:", "  T:", "    Error: Request timeout",
+        "      Time: 2025-08-29 10:00:00 UTC", "      URL: https://x.com", ""]
+    R.write_text(facts.limit(0), f"{out}/none")
+    assert report_lines(f"{out}/none") == ["No zenrows errors found for the specified date."]
+
+
+def report_lines(path):
+    """The lines of a written report: its files in the order of their names."""
+    found = []
+    for name in sorted(n for n in os.listdir(path) if n.startswith("part-")):
+        with open(os.path.join(path, name)) as lines:
+            found += lines.read().splitlines()
+    return found
 
 
 def test_dataset_jsonl_roundtrip(spark, docs_df):
@@ -144,16 +165,18 @@ def test_jobs_end_to_end(spark, landing):
     root, day = landing
     base = tempfile.mkdtemp(prefix="runlens-jobs-")
     log = os.path.join(base, "log")
-    counts = jobs.ingest(spark, root, log, batch=1, ingest_ts="2025-08-30 00:00:00")
-    assert counts == {"stored": 2, "skipped": 0, "rejected": 1}
+    for _ in range(2):  # a replay of a batch replaces it
+        counts = jobs.ingest(spark, root, log, batch=1700000000999, ingest_ts="2025-08-30 00:00:00")
+        assert counts == {"stored": 2, "skipped": 0, "rejected": 1}
+    assert spark.read.parquet(log).count() == 2
     table = os.path.join(base, "v1")
     RT.compact(RT.latest(RT.read_log(spark, log)), table)
     assert jobs.error_report(spark, table, day, "projA") == \
         "Date,Total Traces,Zenrows Errors,Error Rate\n2025-08-29,2,1,50.0%\n"
     assert jobs.error_report(spark, table, day) == \
         "Date,Total Traces,Zenrows Errors,Error Rate\n2025-08-29,2,1,50.0%\n"
-    text = jobs.error_detail_report(spark, table, day)
-    assert "Error: e" in text
+    jobs.error_detail_report(spark, table, day, os.path.join(base, "report"))
+    assert "    Error: e" in report_lines(os.path.join(base, "report"))
     ds = jobs.create_dataset(spark, table, "projA", "token_name", day)
     assert ds.count() == 0
     with pytest.raises(ValueError):
@@ -240,3 +263,39 @@ def test_files_without_an_id_stay_runs_of_their_own(spark):
     rows = [(None, 1, "100000", "a"), (None, 1, "100000", "b"), (None, 2, None, "c"), ("x", 1, None, "d"), ("x", 2, None, "e")]
     df = spark.createDataFrame(rows, "run_id string, file_mtime long, extracted_hhmmss string, file_path string")
     assert sorted(r["file_path"] for r in latest_file_per_run(df).collect()) == ["a", "b", "c", "e"]
+
+
+def test_batch_numbers_in_milliseconds_keep_their_order(spark):
+    log = os.path.join(tempfile.mkdtemp(prefix="runlens-log-"), "log")
+    rows = spark.createDataFrame([("r", "t", "p", "2025-01-01", "a")], "run_id string, trace_id string, project string, run_date string, status string")
+    rows = rows.withColumn("run_date", F.col("run_date").cast("date"))
+    for batch, status in ((1700000000999, "new"), (1700000000000, "old")):
+        RT.append_batch(rows.withColumn("status", F.lit(status)), log, batch, "2025-01-02 00:00:00")
+    assert RT.latest(RT.read_log(spark, log)).first()["status"] == "new"
+    with pytest.raises(Exception, match="no room"):
+        RT.append_batch(rows, log, 10 ** 14, "2025-01-02 00:00:00")
+
+
+def test_merge_rewrites_only_touched_partitions(spark):
+    from runlens.sources import versions as VT
+    base = tempfile.mkdtemp(prefix="runlens-versions-")
+    log, table = os.path.join(base, "log"), os.path.join(base, "table")
+    schema = "run_id string, trace_id string, project string, run_date string, status string"
+
+    def batch(number, rows):
+        df = spark.createDataFrame(rows, schema).withColumn("run_date", F.col("run_date").cast("date"))
+        RT.append_batch(df, log, number, f"2025-02-0{number} 00:00:00")
+        return VT.merge_batches(spark, log, table)
+
+    assert batch(1, [("a", "t", "p", "2025-01-01", "x"), ("b", "t", "p", "2025-01-02", "x"),
+                     ("c", "u", "007", "2025-01-03", "x")])["partitions"] == 3
+    done = batch(2, [("a", "t", "p", "2025-01-02", "y"), ("d", "v", "q", "2025-01-04", "y")])  # a moves, d is new
+    assert (done["version"], done["batch"], done["partitions"]) == (2, 2, 2)
+    rows = VT.read_version(spark, table).select("run_id", "project", F.col("run_date").cast("string"), "status",
+                                                F.col("created_at").cast("string")).collect()
+    assert sorted(map(tuple, rows)) == [
+        ("a", "p", "2025-01-02", "y", "2025-02-01 00:00:00"), ("b", "p", "2025-01-02", "x", "2025-02-01 00:00:00"),
+        ("c", "007", "2025-01-03", "x", "2025-02-01 00:00:00"), ("d", "q", "2025-01-04", "y", "2025-02-02 00:00:00")]
+    listed = {(r["project"], str(r["run_date"]), r["written"]) for r in VT.version_list(spark, table).collect()}
+    assert listed == {("p", "2025-01-02", 2), ("q", "2025-01-04", 2), ("007", "2025-01-03", 1)}
+    assert VT.merge_batches(spark, log, table) == {"version": 2, "batch": 2, "partitions": 0, "runs": 0}
