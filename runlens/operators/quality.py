@@ -36,6 +36,35 @@ def example_schema_ok(examples: DataFrame, eval_type: str) -> bool:
     return all(types[f] == "boolean" for f in outs if f != "notes")
 
 
+def _named(part, problem):
+    return lambda name: F.struct(part.alias("part"), problem.alias("problem"), name.alias("name"))
+
+
+def example_schema_violations(lines: DataFrame, eval_type: str, line_col: str = "line") -> DataFrame:
+    """V3 over written examples: a row for each violation, with the columns of ``lines`` and ``part`` (inputs,
+    outputs), ``problem`` (missing key, extra key, wrong type) and ``name``.
+
+    A line must have exactly the keys of ``eval_type``, and booleans for its outputs but ``notes``, which is text.
+    A line that is no JSON object, or has no object for a part, misses all keys of that part.
+    """
+    from runlens.operators.evaluation import FORMAT_COLUMNS
+    doc = F.try_parse_json(line_col)
+    found = []
+    for part, names in zip(("inputs", "outputs"), FORMAT_COLUMNS[eval_type]):
+        fields = F.coalesce(F.try_variant_get(doc, f"$.{part}", "map<string,variant>"),
+                            F.create_map().cast("map<string,variant>"))
+        keys, wanted = F.map_keys(fields), F.array(*[F.lit(n) for n in names])
+        kinds = [(F.lit("missing key"), F.array_except(wanted, keys)), (F.lit("extra key"), F.array_except(keys, wanted))]
+        if part == "outputs":
+            right = {n: "STRING" if n == "notes" else "BOOLEAN" for n in names}
+            wrong = [F.when(F.array_contains(keys, n) & (F.coalesce(F.schema_of_variant(F.try_element_at(fields, F.lit(n))),
+                                                                    F.lit("")) != kind), F.lit(n)) for n, kind in right.items()]
+            kinds.append((F.lit("wrong type"), F.array_compact(F.array(*wrong))))
+        for problem, bad in kinds:
+            found.append(F.transform(bad, _named(F.lit(part), problem)))
+    return lines.select("*", F.inline(F.flatten(F.array(*found))))
+
+
 def validate_params(date: str | None = None, start: str | None = None, end: str | None = None,
                     eval_type: str | None = None, best_100: bool = False) -> tuple[str, str]:
     """V5: YYYY-MM-DD dates, exactly one of date / start, end defaults to start, eval_type known,
