@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm import (byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, queries,
+from runlens.llm import (byte_bpe, exact_dedup, group_links, html_extract, license_scan, line_dedup, ngram_join, packing, queries,
                          suffix_array, suffix_dedup, toxicity, vector_search)
 
 from . import brute
@@ -192,9 +192,9 @@ def test_ngram_join_matches_brute_force(docs, made_up_docs, n, p, q):
 
 
 def test_ngram_join_in_small_blocks(docs, made_up_docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CENTRES", 1)
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(ngram_join, "CENTRE_ROWS", 2)
+    monkeypatch.setattr(group_links, "CENTRES", 1)
+    monkeypatch.setattr(group_links, "LIST_ROWS", 2)
+    monkeypatch.setattr(group_links, "BLOCK_SETS", 2)
     found = ngram_join.linked_components(docs, n=4, least=Fraction(85, 100)).collect()
     rows = [(d, t) for d, t, *_ in made_up_docs]
     assert {r["id"]: (r["size"], r["root"]) for r in found} == brute.components(rows, 4, 85, 100)
