@@ -68,14 +68,16 @@ def symbol_text_scan(name, error) -> Column:
     """Text-scan part of P13 on ``upper(str(name) + ' ' + str(error))``.
 
     A present-but-null name/error renders as ``None`` (Python f-string), which is what the run
-    table stores: every run document carries both keys.
+    table stores: every run document carries both keys. One alternation of all literals and substrings comes
+    first, since every rule needs one of them: texts without any are done.
     """
     t = F.upper(F.concat(F.coalesce(_c(name), F.lit("None")), F.lit(" "),
                          F.coalesce(_c(error), F.lit("None"))))
-    expr = None
+    any_word = sorted({s for s in SYMBOL_LITERALS} | {p.upper() for _, pats in SYMBOL_FAMILIES for p in pats})
+    expr = F.when(~t.rlike("|".join(any_word)), F.lit(UNKNOWN_SYMBOL))
     for sym in SYMBOL_LITERALS:
         cond = contains(t, sym + "_") | contains(t, sym + "-") | t.rlike(r"(?U)\b" + sym + r"\b")
-        expr = F.when(cond, F.lit(sym)) if expr is None else expr.when(cond, F.lit(sym))
+        expr = expr.when(cond, F.lit(sym))
     for sym, pats in SYMBOL_FAMILIES:
         cond = None
         for p in pats:

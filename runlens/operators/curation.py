@@ -3,20 +3,21 @@
 Input: examples with ``pos`` (dataset order), ``website_url``, ``is_available``, ``notes``.
 
 Plan shape (no global window, nothing collected):
-* W2/W3/W4 "best per group, first occurrence wins" are ``groupBy`` + ``min(struct(order..., row))``;
-  partial aggregation shrinks a URL or domain that holds a third of all examples map-side.
-* J4 is a ``left_anti`` join on the normalized URL (negatives grow with the data: no broadcast hint,
-  AQE broadcasts only when the measured side is small).
-* L2 is ``orderBy(...).limit(capacity)`` = TakeOrderedAndProject: each task keeps its top-k, the
-  driver merges k rows per task. The capacity is one scalar (count of negatives).
+* One ``groupBy`` on the normalized URL reads the examples, once: its first negative (W2), its best positive (W3)
+  and its first position. A URL with a negative has no positive (J4), so there is no anti join. Partial aggregation
+  shrinks a URL that holds a third of all examples map-side. The sketch is written once to the shared folder.
+* W4 is ``groupBy`` + ``min(struct)`` over the sketch, a row for each domain.
+* L2 is ``orderBy(...).limit(target)`` = TakeOrderedAndProject: each task keeps its top-k, the driver merges k rows
+  per task. The count of negatives is a scalar subquery over the sketch; it cuts the ranked rows to the capacity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
+from runlens.session import staged
 
 COLS = ["pos", "website_url", "is_available", "notes"]
 
@@ -30,30 +31,35 @@ def annotate(examples: DataFrame) -> DataFrame:
     })
 
 
-def _best(df: DataFrame, key: str, order: list) -> DataFrame:
-    """First row per ``key`` by ``order`` (min over a struct; partial-aggregable)."""
-    cols = df.columns
-    g = df.groupBy(key).agg(F.min(F.struct(*order, *[F.col(c).alias("_" + c) for c in cols])).alias("_b"))
-    return g.select(*[F.col("_b._" + c).alias(c) for c in cols])
+def url_sketch(examples: DataFrame) -> DataFrame:
+    """W2, W3 and J4 in one aggregate: a row for each normalized URL.
 
+    ``negative``: its first example that is unavailable or has no flag; ``positive``: its available example with the
+    highest score, ties to the first; null where there is none. ``url_pos``: the first available example's position.
+    """
+    a = annotate(examples)
+    row = F.struct(*a.columns)
+    available = F.coalesce(F.col("is_available"), F.lit(False))
+    # the order stands before the row, so that rows of equal order are settled by their own values
+    return a.groupBy("norm_url").agg(
+        F.min(F.when(~available, F.struct(F.col("pos").alias("p"), row.alias("row")))).alias("negative"),
+        F.min(F.when(available, F.struct((-F.col("score")).alias("s"), F.col("pos").alias("p"), row.alias("row")))).alias("positive"),
+        F.min(F.when(available, F.col("pos"))).alias("url_pos"))
+
+
+def negatives_of(sketch: DataFrame) -> DataFrame:
+    """The URLs' first negatives."""
+    return sketch.where("negative IS NOT NULL").select("negative.row.*")
 
-def negatives(examples: DataFrame) -> DataFrame:
-    """Examples with is_available false/null, one per normalized URL (the first one)."""
-    a = annotate(examples).where(~F.coalesce(F.col("is_available"), F.lit(False)))
-    return _best(a, "norm_url", [F.col("pos")])
 
+def positives_of(sketch: DataFrame) -> DataFrame:
+    """J4 + W3: the best available example of each URL that has no negative, and its ``url_pos``."""
+    return sketch.where("negative IS NULL").select("positive.row.*", "url_pos")
 
-def positives(examples: DataFrame, negs: DataFrame) -> DataFrame:
-    """J4 + W3: available examples whose normalized URL is not a negative URL, one per URL:
-    highest score, ties -> first; ``url_pos`` = position of the URL's first occurrence."""
-    a = annotate(examples).where(F.coalesce(F.col("is_available"), F.lit(False)))
-    a = a.join(negs.select("norm_url"), "norm_url", "left_anti")
-    cols = a.columns
-    g = a.groupBy("norm_url").agg(
-        F.min(F.struct((-F.col("score")).alias("_s"), F.col("pos").alias("_p"),
-                       *[F.col(c).alias("_" + c) for c in cols])).alias("_b"),
-        F.min("pos").alias("url_pos"))
-    return g.select(*[F.col("_b._" + c).alias(c) for c in cols], "url_pos")
+
+def negatives(examples: DataFrame) -> DataFrame:
+    """Examples with is_available false/null, one per normalized URL (the first one)."""
+    return negatives_of(url_sketch(examples))
 
 
 def rank_positives(pos_dedup: DataFrame) -> DataFrame:
@@ -68,24 +74,26 @@ def rank_positives(pos_dedup: DataFrame) -> DataFrame:
             .withColumn("is_winner", F.col("url_pos") == F.col("winner_pos")).drop("winner_pos"))
 
 
-def select_positives(ranked: DataFrame, capacity: int) -> DataFrame:
-    """L2: domain winners in order of first appearance, then the rest by score (desc) and URL order,
-    up to ``capacity`` rows (distributed top-k)."""
-    if capacity <= 0:
-        return ranked.limit(0)
+def select_positives(ranked: DataFrame, target_size: int, n_negatives: Column) -> DataFrame:
+    """L2: domain winners in order of first appearance, then the rest by score (desc) and URL order, up to
+    ``target_size - n_negatives`` rows. The window numbers at most ``target_size`` rows."""
     order = [F.col("is_winner").desc(),
              F.when(F.col("is_winner"), F.col("domain_pos")).asc_nulls_last(),
              F.col("score").desc(), F.col("url_pos").asc()]
-    return ranked.orderBy(*order).limit(capacity)
+    top = ranked.orderBy(*order).limit(max(0, target_size))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    return top.withColumn("_k", place).where(F.col("_k") <= F.lit(target_size) - n_negatives).drop("_k")
 
 
 def curate(examples: DataFrame, target_size: int = 100) -> DataFrame:
     """L2 flagship: all de-duplicated negatives (never truncated) + up to target - #negatives
-    representative positives. Output columns: COLS + norm_url, domain, score, kind."""
-    negs = negatives(examples)
-    n_neg = negs.count()  # one scalar to size the top-k
-    capacity = max(0, target_size - n_neg)
-    pos = select_positives(rank_positives(positives(examples, negs)), capacity)
+    representative positives. Output columns: COLS + norm_url, domain, score, kind.
+
+    The examples are read once, to write the sketch of URLs; nothing else runs before the result is asked for."""
+    sketch = staged(url_sketch(examples), "url-sketch")
+    negs = negatives_of(sketch)
+    n_neg = sketch.agg(F.count("negative")).scalar()
+    pos = select_positives(rank_positives(positives_of(sketch)), target_size, n_neg)
     keep = COLS + ["norm_url", "domain", "score"]
     return (negs.select(*keep, F.lit("negative").alias("kind"))
             .unionByName(pos.select(*keep, F.lit("positive").alias("kind"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import variant as V
@@ -82,7 +82,7 @@ def get_run(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.where(F.col("run_id") == run_id)
 
 
-def runs_of_trace(runs: DataFrame, trace_id: str) -> DataFrame:
+def runs_of_trace(runs: DataFrame, trace_id: str | Column) -> DataFrame:
     """All runs of one trace ordered by run_id."""
     return runs.where(F.col("trace_id") == trace_id).orderBy("run_id")
 

@@ -524,3 +524,121 @@ def q_merge_versions(spark: SparkSession, sf: str) -> DataFrame:
     return VT.read_version(spark, f"{base}/table").select(
         "run_id", "trace_id", "project", _d(), "status", "error",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
+
+
+# ----------------------------------------------------------------------------- landed files, times, schema
+from runlens.functions import times as X  # noqa: E402
+from runlens.sources import landing as L  # noqa: E402
+from runlens.sources import records as REC  # noqa: E402
+
+
+def _uuid_sql(number: str) -> str:
+    return f"'00000000-0000-4000-8000-' || lpad(CAST({number} AS VARCHAR), 12, '0')"
+
+
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in files, written once as a landing area is; their text is parsed when they are read."""
+    files = FX.landed_files(spark, sf)
+    return staged(files, "landed-files").withColumn("v", F.try_parse_json("text")).drop("text")
+
+
+@register("landing_records", O.with_ctes(f"""
+SELECT {_uuid_sql('ord')} AS run_id, CASE WHEN ord % 10 = 4 THEN {_uuid_sql('ord')} ELSE {_uuid_sql('ord - ord % 8')} END AS trace_id,
+       '#' || project || '!' AS project, CAST(run_date AS VARCHAR) AS run_date,
+       CASE ord % 10 WHEN 0 THEN 'enhanced' WHEN 1 THEN 'wrapped' ELSE 'bare' END AS format,
+       CASE WHEN ord % 10 = 9 THEN 'refetched' ELSE status END AS status, error, 'chain' AS run_type,
+       CASE WHEN ord % 10 <> 7 THEN strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') END AS start_time,
+       CAST(u AS BIGINT) AS total_tokens, CASE WHEN u % 2 = 0 THEN printf('0.%03d000000000', u % 1000) END AS total_cost,
+       CASE WHEN u % 2 = 1 THEN printf('0.%03d000000000', u % 1000) END AS prompt_cost,
+       CASE WHEN u % 2 = 0 THEN 't,' || (u % 5) ELSE '' END AS tags, CASE WHEN u % 3 = 0 THEN u % 6 = 0 END AS in_dataset,
+       '{{"input_data":{{"request_id":"' || request_id || '"}}}}' AS inputs, '{{}}' AS outputs, '{{}}' AS extra, '[]' AS events,
+       CASE WHEN ord % 10 = 0 THEN {_uuid_sql('ord + 1')} ELSE '' END AS child_run_ids,
+       CASE WHEN ord % 10 = 0 THEN '[{{"score":1}}]' END AS feedback_records
+FROM runs WHERE ord % 10 NOT IN (2, 3, 6, 8)""", RUNS))
+def q_landing_records(spark: SparkSession, sf: str) -> DataFrame:
+    landed = L.landed_records(_landed(spark, sf)).where("reason IS NULL").drop("reason")
+    r = REC.typed_records(L.latest_file_per_run(landed))
+    free = [F.to_json(c).alias(c) for c in ("inputs", "outputs", "extra", "events", "feedback_records")]
+    return r.select(
+        "run_id", "trace_id", "project", _d(), "format", "status", "error", "run_type",
+        F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_time"), "total_tokens",
+        F.col("total_cost").cast("string").alias("total_cost"), F.col("prompt_cost").cast("string").alias("prompt_cost"),
+        F.array_join("tags", ",").alias("tags"), "in_dataset", F.array_join("child_run_ids", ",").alias("child_run_ids"), *free)
+
+
+@register("landing_write_manifest", O.with_ctes("""
+SELECT project, CAST(run_date AS VARCHAR) AS run_date, CAST(sum(ok + bad) AS BIGINT) AS total,
+       CAST(sum(ok) AS BIGINT) AS successful, CAST(sum(bad) AS BIGINT) AS failed
+FROM (SELECT project, run_date, CASE WHEN ord % 10 IN (0, 1, 4, 5, 7) THEN 1 WHEN ord % 10 = 9 THEN 2 ELSE 0 END AS ok,
+             CASE WHEN ord % 10 IN (3, 6, 8) THEN 1 ELSE 0 END AS bad FROM runs WHERE ord % 10 <> 2) f
+GROUP BY ALL""", RUNS))
+def q_landing_write_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    # every landed file is written, the bad ones with their reason; the manifest counts what stands there
+    out = os.path.join(checkpoint_dir(spark), f"landed-{uuid.uuid4().hex}")
+    SK.write_runs_json(L.landed_records(_landed(spark, sf)), out)
+    found = SK.manifest(SK.read_runs_json(spark, out, "written"), SK.read_runs_json(spark, out, "failed"))
+    return found.select("project", _d(), "total", "successful", "failed")
+
+
+@register("landing_failures", O.with_ctes("""
+SELECT project, CASE WHEN ord % 10 = 6 THEN 'not JSON' ELSE 'invalid legacy run' END AS reason, CAST(count(*) AS BIGINT) AS n
+FROM runs WHERE ord % 10 IN (3, 6, 8) GROUP BY ALL""", RUNS))
+def q_landing_failures(spark: SparkSession, sf: str) -> DataFrame:
+    out = os.path.join(checkpoint_dir(spark), f"landed-{uuid.uuid4().hex}")
+    SK.write_runs_json(L.landed_records(_landed(spark, sf)), out)
+    return SK.read_runs_json(spark, out, "failed").groupBy("project", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("run_times", O.with_ctes("""
+SELECT run_id, CASE WHEN ord % 5 = 4 THEN CAST(run_date AS VARCHAR) END AS day,
+       strftime(x, '%Y-%m-%d %H:%M:%S') || ' UTC' AS shown,
+       strftime(CASE WHEN ord % 5 IN (0, 2) THEN x + INTERVAL 8 HOUR ELSE x END, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS legacy,
+       CAST(CAST(CASE WHEN ord % 5 = 3 THEN x ELSE start_time + INTERVAL 1 DAY END AS DATE) AS VARCHAR) AS created
+FROM timed WHERE ord % 11 <> 0
+UNION ALL
+SELECT run_id, NULL, NULL, NULL, CAST(CAST(start_time + INTERVAL 1 DAY AS DATE) AS VARCHAR) FROM timed WHERE ord % 11 = 0""",
+    RUNS, """
+timed AS (SELECT *, CASE ord % 5 WHEN 2 THEN start_time - INTERVAL 2 HOUR WHEN 4 THEN CAST(run_date AS TIMESTAMP)
+                                 ELSE start_time END AS x FROM runs)"""))
+def q_run_times(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return FX.written_times(spark, sf).select(
+        "run_id", X.parse_date(t).cast("string").alias("day"), X.display(X.to_utc(t)).alias("shown"),
+        X.legacy_time(t).alias("legacy"), X.creation_date(t, F.col("ingest_time")).cast("string").alias("created"))
+
+
+@register("key_consistency", O.with_ctes("""
+SELECT project, CAST(count(*) AS BIGINT) AS n_runs, CAST(count(*) FILTER (WHERE ord % 13 = 0) AS BIGINT) AS run_id_mismatch,
+       CAST(count(*) FILTER (WHERE ord % 17 = 0) AS BIGINT) AS trace_id_mismatch,
+       CAST(count(*) FILTER (WHERE ord % 19 = 0 AND ord % 7 <> 0 AND ord % 11 <> 0) AS BIGINT) AS project_mismatch,
+       CAST(count(*) FILTER (WHERE ord % 23 = 0) AS BIGINT) AS run_date_mismatch
+FROM runs GROUP BY project""", RUNS))
+def q_key_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.consistency_violations(FX.key_documents(spark, sf))
+
+
+@register("example_schema_violations", O.with_ctes("""
+SELECT trace_id, project, run_date, part, problem, name
+FROM (SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date, (CAST(trace_id AS BIGINT) // 8) % 4 AS kind
+      FROM rf GROUP BY trace_id, project, rf.run_date HAVING bool_or(meets_avail)) e
+JOIN (VALUES (1, 'outputs', 'wrong type', 'is_available'), (2, 'inputs', 'extra key', 'x'),
+             (3, 'outputs', 'missing key', 'notes'), (3, 'outputs', 'extra key', 'remark')) v(kind, part, problem, name) USING (kind)""",
+    RUNS, FB, O.run_fields_cte()))
+def q_example_schema_violations(spark: SparkSession, sf: str) -> DataFrame:
+    lines = SK.dataset_lines(EV.build_dataset(FX.run_documents(spark, sf), "availability"), "availability")
+    kind, line = F.expr("CAST(trace_id AS BIGINT) div 8 % 4"), F.col("line")
+    spoilt = (F.when(kind == 1, F.regexp_replace(line, '"is_available":(true|false)', '"is_available":"yes"'))
+              .when(kind == 2, F.regexp_replace(line, r'^\{"inputs":\{', '{"inputs":{"x":1,'))
+              .when(kind == 3, F.regexp_replace(line, '"notes":', '"remark":')).otherwise(line))
+    found = Q.example_schema_violations(lines.withColumn("line", spoilt), "availability")
+    return found.select("trace_id", "project", _d(), "part", "problem", "name")
+
+
+@register("runs_of_trace", O.with_ctes("""
+SELECT run_id, trace_id, project, CAST(run_date AS VARCHAR) AS run_date, name, status, error FROM runs
+WHERE trace_id = (SELECT trace_id FROM runs WHERE run_id = '13')""", RUNS))
+def q_runs_of_trace(spark: SparkSession, sf: str) -> DataFrame:
+    # A run by its id, then the runs of its trace; both are lookups by key
+    runs = FX.runs(spark, sf)
+    trace = S.get_run(runs, "13").select("trace_id").scalar()
+    return S.runs_of_trace(runs, trace).select("run_id", "trace_id", "project", _d(), "name", "status", "error")

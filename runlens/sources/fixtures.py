@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.operators.stats import PROJECT_METADATA_KEY
@@ -196,3 +196,68 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(10 ** 12) + F.col("ord")).alias("ingest_seq"),
         (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("created_at"))
     return b1.unionByName(b2)
+
+
+def _uuid(number) -> Column:
+    return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(number.cast("string"), 12, "0"))
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed files as ``landing.scan_files`` gives them, but with their ``text``, one for each event. By ``c = event_id % 10``:
+
+      0 wrapped with enhanced feedback   1 wrapped       2 metadata alone          3 an id that is no UUID
+      4 no trace_id                      5 start time written at +08:00            6 text that is no JSON
+      7 no start time                    8 a start time that is none               9 landed twice, status changed
+    Costs are texts where user_id is even, numbers else; ``extra`` is null, ``outputs`` absent, tags every other user's."""
+    r = runs(spark, sf_dir)
+    c, u = F.col("ord") % 10, F.col("_user")
+    twice = F.explode(F.when(c == 9, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    r = r.withColumn("_n", twice)
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    started = (F.when(c == 5, F.concat(F.date_format(F.col("start_time") + F.expr("INTERVAL 8 HOURS"), iso), F.lit("+08:00")))
+               .when(c == 8, "yesterday").when(c != 7, F.concat(F.date_format("start_time", iso), F.lit("Z"))))
+    cost = F.concat(F.lit("0."), F.lpad((u % 1000).cast("string"), 3, "0"))
+    run = F.to_json(F.struct(
+        F.when(c == 3, F.concat(F.lit("bad-"), "run_id")).otherwise(_uuid(F.col("ord"))).alias("id"),
+        F.when(c != 4, _uuid(F.col("ord") - F.col("ord") % RUNS_PER_TRACE)).alias("trace_id"), "name",
+        F.when(F.col("_n") == 2, "refetched").otherwise(F.col("status")).alias("status"), "error",
+        F.lit("chain").alias("run_type"), started.alias("start_time"), u.alias("total_tokens"),
+        F.when(u % 2 == 0, cost).alias("total_cost"), F.when(u % 2 == 1, cost.cast("decimal(10,3)")).alias("prompt_cost"),
+        F.when(u % 2 == 0, F.array(F.lit("t"), (u % 5).cast("string"))).alias("tags"),
+        F.when(u % 3 == 0, u % 6 == 0).alias("in_dataset"),
+        F.struct(F.struct("request_id").alias("input_data")).alias("inputs"),
+        F.when(c == 0, F.array(_uuid(F.col("ord") + 1))).alias("child_run_ids"),
+        F.when(c == 0, F.array(F.struct(F.lit(1).alias("score")))).alias("feedback_records")))
+    with_null = F.regexp_replace(run, r"\}$", ',"extra":null}')
+    text = (F.when(c == 0, F.concat(F.lit('{"metadata":{"enhanced_feedback":true},"trace":'), with_null, F.lit("}")))
+            .when(c == 1, F.concat(F.lit('{"metadata":{},"trace":'), with_null, F.lit("}")))
+            .when(c == 2, F.lit('{"metadata":{"n":1}}')).when(c == 6, F.lit('{"id": ')).otherwise(with_null))
+    stamp = F.lpad(F.col("_n").cast("string"), 6, "0")
+    day = F.col("run_date").cast("string")
+    return r.select(
+        F.concat_ws("/", F.lit("landing"), "project", day, F.concat("run_id", F.lit("_"), stamp, F.lit(".json"))).alias("file_path"),
+        F.concat(F.lit("#"), "project", F.lit("!")).alias("path_project"), day.alias("path_date"),
+        stamp.alias("extracted_hhmmss"), F.expr("timestampadd(DAY, _n - 1, start_time)").alias("file_mtime"),
+        text.alias("text"))
+
+
+def key_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose documents repeat the keys, some of them wrongly: the run where event_id is a multiple of 13, the trace
+    of 17, the project of 19, the day of 23. The project is left out where it is one of 7, and null where one of 11."""
+    r, e = runs(spark, sf_dir), F.col("ord")
+    wrong = lambda n, c: F.when(e % n == 0, F.lit("other")).otherwise(F.col(c).cast("string")).alias(c)
+    doc = F.to_json(F.struct(wrong(13, "run_id"), wrong(17, "trace_id"), wrong(23, "run_date"),
+                             F.when((e % 7 != 0) & (e % 11 != 0), wrong(19, "project")).alias("project")))
+    doc = F.when((e % 11 == 0) & (e % 7 != 0), F.regexp_replace(doc, r"\}$", ',"project":null}')).otherwise(doc)
+    return r.select("run_id", "trace_id", "project", "run_date", F.parse_json(doc).alias("doc"))
+
+
+def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as texts: by event_id % 5 with Z, without offset, at +02:00, in the stored format, a day alone; every
+    eleventh is null. ``ingest_time`` is a day later."""
+    e, t = F.col("ord"), F.col("start_time")
+    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    texts = (F.when(e % 11 == 0, None).when(e % 5 == 0, F.concat(iso, F.lit("Z"))).when(e % 5 == 1, iso)
+             .when(e % 5 == 2, F.concat(iso, F.lit("+02:00"))).when(e % 5 == 3, F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+             .otherwise(F.date_format(t, "yyyy-MM-dd")))
+    return runs(spark, sf_dir).select("run_id", texts.alias("text"), (t + F.expr("INTERVAL 1 DAY")).alias("ingest_time"))

@@ -48,16 +48,18 @@ def reconcile(files: DataFrame) -> DataFrame:
     metadata-only (``metadata`` without ``id``): skipped; anything else: a bare (legacy) run.
     File-mode analyses require a truthy ``trace`` (analysis S1 rule), exposed as ``has_trace``.
     """
+    return _formats(files.where("v IS NOT NULL")).where(F.col("format") != "metadata_only")
+
+
+def _formats(files: DataFrame) -> DataFrame:
     v = F.col("v")
     wrapped = V.present(v, "$.trace")
     meta_only = ~wrapped & V.present(v, "$.metadata") & ~V.present(v, "$.id")
     fmt = (F.when(wrapped & V.truthy_at(V.obj_or_empty(v, "$.metadata"), "$.enhanced_feedback"), F.lit("enhanced"))
            .when(wrapped, F.lit("wrapped")).when(meta_only, F.lit("metadata_only")).otherwise(F.lit("bare")))
-    return (files.where(v.isNotNull())
-            .withColumn("format", fmt)
+    return (files.withColumn("format", fmt)
             .withColumn("has_trace", V.truthy_at(v, "$.trace"))
-            .withColumn("run", F.when(wrapped, V.sub(v, "$.trace")).otherwise(v))
-            .where(F.col("format") != "metadata_only"))
+            .withColumn("run", F.when(wrapped, V.sub(v, "$.trace")).otherwise(v)))
 
 
 def _id_str(run: Column, key: str) -> Column:
@@ -114,7 +116,7 @@ def to_records(runs: DataFrame, project: Column | str | None = None, date_mode:
         V.as_string(r, "$.status").alias("status"),
         V.text_at(r, "$.error").alias("error"),
         r.alias("doc"),
-        *[c for c in ("file_path", "format", "extracted_hhmmss", "file_mtime") if c in runs.columns],
+        *[c for c in ("file_path", "format", "extracted_hhmmss", "file_mtime", "reason") if c in runs.columns],
     )
 
 
@@ -143,13 +145,20 @@ def file_mode_runs(spark: SparkSession, root: str, project: str | None = None, d
     })
 
 
+def landed_records(files: DataFrame, date_mode: str = "utc", ingest_date: str | None = None) -> DataFrame:
+    """Every landed file that should hold a run as a record, with the ``reason`` for which it cannot be stored (null:
+    it can). Files of metadata alone hold no run. Enhanced files are taken as they are; legacy runs must pass S16."""
+    found = _formats(files).where(F.col("format") != "metadata_only")
+    no_json = F.col("v").isNull()
+    reason = (F.when(no_json, "not JSON")
+              .when((F.col("format") != "enhanced") & ~valid_legacy(found), "invalid legacy run")
+              .when(_id_str(F.col("run"), "id").isNull(), "no run id"))
+    return to_records(found.withColumn("reason", reason), date_mode=date_mode, ingest_date=ingest_date)
+
+
 def ingest_records(spark: SparkSession, root: str, project: str | None = None, day: str | None = None,
                    date_mode: str = "utc", ingest_date: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """E4 from landed files: (good records, rejected rows with a reason). Enhanced files are taken as
-    they are; legacy runs must pass S16."""
-    files = reconcile(scan_files(spark, root, project, day))
-    files = files.withColumn("_ok", (F.col("format") == "enhanced") | valid_legacy(files))
-    recs = to_records(files.where("_ok"), date_mode=date_mode, ingest_date=ingest_date)
-    recs = latest_file_per_run(recs.where(F.col("run_id").isNotNull()))
-    rejected = files.where(~F.col("_ok")).select("file_path", F.lit("invalid legacy run").alias("reason"))
-    return recs, rejected
+    """E4 from landed files: (good records, rejected rows with a reason)."""
+    recs = landed_records(scan_files(spark, root, project, day), date_mode, ingest_date)
+    good = latest_file_per_run(recs.where("reason IS NULL").drop("reason"))
+    return good, recs.where("reason = 'invalid legacy run'").select("file_path", "reason")

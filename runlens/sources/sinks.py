@@ -6,8 +6,9 @@ The daily report has one row per day: it is produced as a DataFrame, and only it
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
@@ -15,11 +16,30 @@ from runlens.functions import text as T
 CSV_HEADER = "Date,Total Traces,Zenrows Errors,Error Rate"
 
 
-def write_runs_json(records: DataFrame, out: str) -> None:
-    """Landing layout ``<out>/project=<p>/run_date=<d>/part-*.json`` written atomically per job
-    (commit protocol) instead of one temp+rename per file."""
-    (records.withColumn("project", T.sanitize_project(F.col("project")))
-     .write.mode("append").partitionBy("project", "run_date").json(out))
+def write_runs_json(records: DataFrame, out: str) -> dict:
+    """Runs that can be written and those that cannot, by one pass and one commit: the folders are
+    ``outcome=<written|failed>/project=<p>/run_date=<d>``. Returns {written, failed}, counted on the way.
+
+    A row fails with its ``reason``, if it brings one, or for want of an id, a document or a day; the others are written.
+    Rows without a project go to ``unknown-project`` (F10), rows without a day to Spark's folder for null.
+    """
+    brought = F.col("reason") if "reason" in records.columns else F.lit(None).cast("string")
+    reason = F.coalesce(brought, F.when(F.col("run_id").isNull(), "no run id").when(F.col("doc").isNull(), "no document")
+                        .when(F.col("run_date").isNull(), "no day"))
+    counts = Observation(f"written-{uuid.uuid4().hex}")
+    rows = (records.withColumn("reason", reason)
+            .withColumns({"outcome": F.when(F.col("reason").isNull(), "written").otherwise("failed"),
+                          "project": T.sanitize_project(F.col("project"))})
+            .observe(counts, F.count_if(F.col("reason").isNull()).alias("written"),
+                     F.count_if(F.col("reason").isNotNull()).alias("failed")))
+    rows.write.mode("append").partitionBy("outcome", "project", "run_date").json(out)
+    return dict(counts.get)
+
+
+def read_runs_json(spark: SparkSession, out: str, outcome: str) -> DataFrame:
+    """The ``written`` or ``failed`` rows of ``write_runs_json``: keys, reason and document."""
+    schema = "run_id string, trace_id string, reason string, doc variant, outcome string, project string, run_date date"
+    return spark.read.schema(schema).json(out).where(F.col("outcome") == outcome).drop("outcome")
 
 
 def manifest(records: DataFrame, failed: DataFrame | None = None) -> DataFrame:
