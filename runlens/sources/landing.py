@@ -57,9 +57,14 @@ def _formats(files: DataFrame) -> DataFrame:
     meta_only = ~wrapped & V.present(v, "$.metadata") & ~V.present(v, "$.id")
     fmt = (F.when(wrapped & V.truthy_at(V.obj_or_empty(v, "$.metadata"), "$.enhanced_feedback"), F.lit("enhanced"))
            .when(wrapped, F.lit("wrapped")).when(meta_only, F.lit("metadata_only")).otherwise(F.lit("bare")))
-    return (files.withColumn("format", fmt)
-            .withColumn("has_trace", V.truthy_at(v, "$.trace"))
-            .withColumn("run", F.when(wrapped, V.sub(v, "$.trace")).otherwise(v)))
+    return _once(files, {"format": fmt, "has_trace": V.truthy_at(v, "$.trace"),
+                         "run": F.when(wrapped, V.sub(v, "$.trace")).otherwise(v)})
+
+
+def _once(df: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once a row. A filter on a plain column is pushed below it with the column's whole
+    expression, so a path of a document would be read again for every use; one over a generated row stays above."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
 
 
 def _id_str(run: Column, key: str) -> Column:
@@ -69,14 +74,11 @@ def _id_str(run: Column, key: str) -> Column:
 def valid_legacy(runs: DataFrame) -> Column:
     """Legacy (bare/wrapped) runs need UUID-shaped id fields and ISO timestamps."""
     r = F.col("run")
-    ok = F.lit(True)
-    for k in ("id", "trace_id", "parent_run_id", "session_id", "reference_example_id", "manifest_id"):
-        s = V.as_string(r, "$." + k)
-        ok = ok & (s.isNull() | s.rlike(UUID_RE))
-    for k in ("start_time", "end_time", "first_token_time"):
-        s = V.as_string(r, "$." + k)
-        ok = ok & (s.isNull() | F.regexp_replace(s, "Z$", "+00:00").try_cast("timestamp").isNotNull())
-    return F.coalesce(ok, F.lit(False))
+    ids = F.array(*[V.as_string(r, "$." + k) for k in
+                    ("id", "trace_id", "parent_run_id", "session_id", "reference_example_id", "manifest_id")])
+    times = F.array(*[V.as_string(r, "$." + k) for k in ("start_time", "end_time", "first_token_time")])
+    return (F.forall(F.array_compact(ids), lambda s: s.rlike(UUID_RE))
+            & F.forall(F.array_compact(times), lambda s: F.regexp_replace(s, "Z$", "+00:00").try_cast("timestamp").isNotNull()))
 
 
 def to_records(runs: DataFrame, project: Column | str | None = None, date_mode: str = "utc",
@@ -153,7 +155,7 @@ def landed_records(files: DataFrame, date_mode: str = "utc", ingest_date: str |
     reason = (F.when(no_json, "not JSON")
               .when((F.col("format") != "enhanced") & ~valid_legacy(found), "invalid legacy run")
               .when(_id_str(F.col("run"), "id").isNull(), "no run id"))
-    return to_records(found.withColumn("reason", reason), date_mode=date_mode, ingest_date=ingest_date)
+    return to_records(_once(found, {"reason": reason}), date_mode=date_mode, ingest_date=ingest_date)
 
 
 def ingest_records(spark: SparkSession, root: str, project: str | None = None, day: str | None = None,

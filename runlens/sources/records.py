@@ -28,44 +28,45 @@ FREE = ("serialized", "feedback_stats", "child_runs", "completion_cost_details",
 COST_TYPE = "decimal(38,12)"
 
 
-def iso_time(doc, path: str) -> Column:
+def iso_time(value) -> Column:
     """An ISO time (Z, offset or none) as a timestamp; NULL for other texts and values."""
-    return F.regexp_replace(V.as_string(doc, path), "Z$", "+00:00").try_cast("timestamp")
+    return F.regexp_replace(V.as_string(value), "Z$", "+00:00").try_cast("timestamp")
 
 
-def _exact(doc, path: str, kind: str) -> Column:
+def _exact(value, kind: str) -> Column:
     """A number, or a text that holds one."""
-    return F.coalesce(V.as_string(doc, path).try_cast(kind), F.try_variant_get(doc, path, kind))
+    return F.coalesce(V.as_string(value).try_cast(kind), F.try_variant_get(value, "$", kind))
 
 
-def _texts(doc, path: str) -> Column:
+def _texts(value) -> Column:
     """A list as texts; an empty one for every other value."""
-    return F.coalesce(F.try_variant_get(doc, path, "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.try_variant_get(value, "$", "array<string>"), F.array().cast("array<string>"))
 
 
-def _or_empty(doc, path: str, empty: str) -> Column:
-    return F.when(V.truthy_at(doc, path), V.sub(doc, path)).otherwise(F.parse_json(F.lit(empty)))
+def _or_empty(value, empty: str) -> Column:
+    return F.when(V.truthy(value), value).otherwise(F.parse_json(F.lit(empty)))
 
 
-def _not_null(doc, path: str) -> Column:
-    return F.when(V.nonnull(doc, path), V.sub(doc, path))
+def typed_fields(doc: str | Column = "doc") -> Column:
+    """The fields that ``to_records`` does not give, as a list of one struct; the document is opened once for all of them."""
+    names = (*TEXT, *TIME, *COUNT, *COST, *FLAG, *IDS, "tags", *EMPTY_OBJECT, *EMPTY_LIST, *FREE)
+    opened = F.try_variant_get(doc, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
 
+    def typed(fields: Column) -> Column:
+        found = {n: V.text_at(fields[n]) for n in TEXT}
+        found |= {n: iso_time(fields[n]) for n in TIME}
+        found |= {n: _exact(fields[n], "bigint") for n in COUNT}
+        found |= {n: _exact(fields[n], COST_TYPE) for n in COST}
+        found |= {n: F.try_variant_get(fields[n], "$", "boolean") for n in FLAG}
+        found |= {n: _texts(fields[n]) for n in (*IDS, "tags")}
+        found |= {n: _or_empty(fields[n], "{}") for n in EMPTY_OBJECT}
+        found |= {n: _or_empty(fields[n], "[]") for n in EMPTY_LIST}
+        found |= {n: F.when(~F.is_variant_null(fields[n]), fields[n]) for n in FREE}
+        return F.struct(*[c.alias(n) for n, c in found.items()])
 
-def typed_fields(doc: str | Column = "doc") -> dict[str, Column]:
-    """The fields that ``to_records`` does not give, by name."""
-    d = F.col(doc) if isinstance(doc, str) else doc
-    found = {n: V.text_at(d, "$." + n) for n in TEXT}
-    found |= {n: iso_time(d, "$." + n) for n in TIME}
-    found |= {n: _exact(d, "$." + n, "bigint") for n in COUNT}
-    found |= {n: _exact(d, "$." + n, COST_TYPE) for n in COST}
-    found |= {n: F.try_variant_get(d, "$." + n, "boolean") for n in FLAG}
-    found |= {n: _texts(d, "$." + n) for n in (*IDS, "tags")}
-    found |= {n: _or_empty(d, "$." + n, "{}") for n in EMPTY_OBJECT}
-    found |= {n: _or_empty(d, "$." + n, "[]") for n in EMPTY_LIST}
-    found |= {n: _not_null(d, "$." + n) for n in FREE}
-    return found
+    return F.transform(F.array(opened), typed)
 
 
 def typed_records(records: DataFrame) -> DataFrame:
     """Records with all fields as columns and without the document that they came from."""
-    return records.withColumns(typed_fields()).drop("doc")
+    return records.select("*", F.inline(typed_fields())).drop("doc")

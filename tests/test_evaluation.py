@@ -87,17 +87,25 @@ def test_curation_negatives_and_dedup(spark):
     C.validate(C.curate(_examples(spark, rows), target_size=3))
 
 
-def test_curation_capacity_and_domain_diversity(spark):
-    # 5 negatives + 10 positives with target 8 -> 5 + 3; domain winners first
-    rows = [(f"https://neg{i}.com", False, "failed") for i in range(5)]
-    rows += [(f"https://site{i % 2}.com/p{i}", True, "content found ok") for i in range(10)]
-    cur = C.curate(_examples(spark, rows), target_size=8)
-    assert cur.count() == 8
-    pos = cur.where("kind = 'positive'").orderBy("pos").collect()
-    assert len(pos) == 3 and {r["domain"] for r in pos} == {"site0.com", "site1.com"}
-    assert [r["pos"] for r in pos] == [5, 6, 7]
-    st = C.curation_stats(cur).first()
-    assert (st["total_examples"], st["negative_examples"], st["positive_examples"], st["unique_domains"]) == (8, 5, 3, 2)
+def test_winners_of_domains_come_first_then_scores(spark):
+    # by hand: 10 for a URL, 10 for a flag, 5 for notes of more than ten characters, 3 for a word of success
+    rows = [("shop.example/a", True, ""), ("https://shop.example/b", True, "found the whole page"), ("https://news.example/x", True, ""),
+            ("https://shop.example/c", True, "plain notes only"), ("https://gone.example", None, ""), ("HTTPS://WWW.GONE.EXAMPLE/", True, "found"),
+            ("https://news.example/y", True, "found")]
+    found = {}
+    for target in (0, 1, 2, 3, 4, 9):
+        cur = C.curate(_examples(spark, rows), target_size=target).collect()
+        assert [r["pos"] for r in cur if r["kind"] == "negative"] == [4]
+        found[target] = sorted(r["pos"] for r in cur if r["kind"] == "positive")
+    # shop.example is seen first and is won by row 1, news.example by row 6; then row 3 (25) before rows 0 and 2 (20)
+    assert found == {0: [], 1: [], 2: [1], 3: [1, 6], 4: [1, 3, 6], 9: [0, 1, 2, 3, 6]}
+
+
+def test_curation_of_no_rows_and_of_negatives_alone(spark):
+    empty = spark.createDataFrame([], "pos long, website_url string, is_available boolean, notes string")
+    assert C.curate(empty).count() == 0
+    only_negatives = _examples(spark, [(None, None, None), ("https://a.example", False, None), ("a.example", True, None)])
+    assert sorted(r["pos"] for r in C.curate(only_negatives).collect()) == [0, 1]
 
 
 def test_dedup_by_request_keeps_earliest(spark):
