@@ -99,15 +99,20 @@ def curate(examples: DataFrame, target_size: int = 100) -> DataFrame:
             .unionByName(pos.select(*keep, F.lit("positive").alias("kind"))))
 
 
+def problems(curated: DataFrame) -> DataFrame:
+    """V1 counts, one row: examples, those that repeat another's normalized URL, those without a URL, without a flag."""
+    return curated.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("norm_url")).alias("repeated"),
+                       F.count_if(F.length(F.coalesce("website_url", F.lit(""))) == 0).alias("no_url"),
+                       F.count_if(F.col("is_available").isNull()).alias("no_flag"))
+
+
 def validate(curated: DataFrame) -> None:
     """V1: raise on an empty result, duplicate normalized URLs, a missing URL or a missing flag
     (checked in that order) using one aggregation."""
-    r = curated.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("norm_url").alias("u"),
-                    F.count_if(F.length(F.coalesce("website_url", F.lit(""))) == 0).alias("no_url"),
-                    F.count_if(F.col("is_available").isNull()).alias("no_flag")).first()
+    r = problems(curated).first()
     if r["n"] == 0:
         raise ValueError("Curated dataset is empty")
-    if r["u"] != r["n"]:
+    if r["repeated"]:
         raise ValueError("Curated dataset contains duplicate URLs")
     if r["no_url"]:
         raise ValueError("Curated example missing website_url")

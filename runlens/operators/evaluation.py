@@ -509,6 +509,24 @@ def build_dataset_file_mode(runs: DataFrame, eval_type: str, doc: str = "doc") -
 
 
 # ------------------------------------------------------------------------------- J1
+def feedback_in_documents(runs: DataFrame, feedback: DataFrame, doc: str = "doc", key: str = "run_id") -> DataFrame:
+    """J1 at ingest: the documents of runs with feedback get ``feedback_records``, the list of their feedback rows as
+    objects (all columns, the key and nulls included), in the order of their JSON texts; an older list is replaced.
+
+    Runs without feedback, and documents that are no objects, stay as they are; feedback without a key, or of no
+    run, goes. Feedback is grouped before the join, so runs are never multiplied; the list of a run is as long
+    as that run's feedback, since the document holds it.
+    """
+    record = F.to_json(F.struct(*feedback.columns), {"ignoreNullFields": "false"})
+    lists = feedback.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(record)).alias("_records"))
+    fields = F.map_filter(F.try_variant_get(doc, "$", "map<string,variant>"), lambda name, _: name != "feedback_records")
+    records = F.parse_json(F.concat(F.lit("["), F.array_join("_records", ","), F.lit("]")))
+    with_list = F.to_variant_object(F.map_concat(fields, F.create_map(F.lit("feedback_records"), records)))
+    changed = F.col("_records").isNotNull() & V.is_object(doc)
+    return (runs.join(lists, key, "left").withColumn(doc, F.when(changed, with_list).otherwise(F.col(doc)))
+            .select(*runs.columns))
+
+
 def attach_feedback(runs: DataFrame, feedback: DataFrame, key: str = "run_id") -> DataFrame:
     """Every run with the list of its feedback records (runs without feedback keep an empty list).
 

@@ -98,7 +98,7 @@ def q_symbol_of_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("error_signatures", O.with_ctes(f"""
 SELECT {O.clean_error()} AS signature, CAST(count(*) AS BIGINT) AS n
-FROM runs WHERE status = 'error' GROUP BY 1""", RUNS))
+FROM runs WHERE lower(status) = 'error' GROUP BY 1""", RUNS))
 def q_error_signatures(spark: SparkSession, sf: str) -> DataFrame:
     return E.error_signatures(FX.runs(spark, sf))
 
@@ -421,6 +421,7 @@ def q_error_report_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- detail reports, file mode, versions
+import datetime as dt  # noqa: E402
 import os  # noqa: E402
 import uuid  # noqa: E402
 
@@ -642,3 +643,123 @@ def q_runs_of_trace(spark: SparkSession, sf: str) -> DataFrame:
     runs = FX.runs(spark, sf)
     trace = S.get_run(runs, "13").select("trace_id").scalar()
     return S.runs_of_trace(runs, trace).select("run_id", "trace_id", "project", _d(), "name", "status", "error")
+
+
+# ----------------------------------------------------------------------------- every branch of the rules
+_JUDGED_CTE = """
+judged AS (SELECT * EXCLUDE (confidence), ord % 8 AS k, CASE WHEN u % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS even,
+                  CAST(u % 100 AS DOUBLE) / 100 AS share FROM runs),
+flags AS (
+  SELECT *, k NOT IN (0, 7) AS has_ai_output, k NOT IN (0, 2) AS has_human_feedback, k IN (3, 4, 5) AS has_final_verdict,
+         CASE WHEN k IN (3, 5) THEN 'PASS' WHEN k = 4 THEN 'FAIL' END AS verdict,
+         CASE WHEN k IN (2, 5, 6) THEN 'PASS' WHEN k = 3 THEN even WHEN k = 4 THEN 'FAIL' END AS decision,
+         CASE k WHEN 3 THEN 0.8e0 WHEN 4 THEN 0.7e0 WHEN 5 THEN share WHEN 6 THEN 1e0 END AS confidence,
+         k = 4 OR (k = 3 AND even = 'PASS') OR (k = 5 AND share >= 0.7e0) AS meets_criteria
+  FROM judged)"""
+
+
+@register("qualification_branches", O.with_ctes("""
+SELECT run_id, has_ai_output, has_human_feedback, has_final_verdict, verdict, decision, confidence, meets_criteria FROM flags""",
+                                                RUNS, _JUDGED_CTE))
+def q_qualification_branches(spark: SparkSession, sf: str) -> DataFrame:
+    decision, confidence = EV.decision_and_confidence()
+    return EV.stage(FX.judged_documents(spark, sf)).select(
+        "run_id", EV.has_ai_output().alias("has_ai_output"), EV.has_human_feedback().alias("has_human_feedback"),
+        EV.has_final_verdict_feedback().alias("has_final_verdict"), EV.feedback_verdict().alias("verdict"),
+        decision.alias("decision"), confidence.alias("confidence"), EV.meets_criteria().alias("meets_criteria"))
+
+
+@register("dataset_reference", O.with_ctes("""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS run_date,
+       max(CASE WHEN k = 3 THEN CAST(u % 5 AS VARCHAR) END) AS feedback_score, CAST(NULL AS VARCHAR) AS feedback_value,
+       max(CASE WHEN k = 3 AND u % 2 = 0 THEN '"c' || (u % 3) || '"' END) AS feedback_comment,
+       CASE WHEN bool_or(k = 6) THEN 'null' WHEN bool_or(k = 4) THEN '"FAIL"' END AS human_verdict,
+       CAST(count(*) AS BIGINT) AS runs_count
+FROM flags GROUP BY trace_id, project, run_date HAVING bool_or(meets_criteria)""", RUNS, _JUDGED_CTE))
+def q_dataset_reference(spark: SparkSession, sf: str) -> DataFrame:
+    # The last object of the feedback list, and the verdict of a person
+    d = EV.build_dataset(FX.judged_documents(spark, sf), "token_name")
+    return d.select("trace_id", "project", _d(), *[F.to_json(f"reference.{f}").alias(f) for f in EV.REFERENCE_FIELDS], "runs_count")
+
+
+@register("availability_notes", O.with_ctes(f"""
+SELECT run_id, CASE WHEN k IN (0, 2, 3, 5, 7) THEN true WHEN k IN (4, 6, 8) THEN false END AS is_available,
+       CASE WHEN k IN (0, 4) THEN false WHEN k = 7 THEN true END AS is_malicious,
+       CASE k WHEN 0 THEN 'down ' || u WHEN 1 THEN 'seen' WHEN 2 THEN '{EV.NOTE_SCRAPED}' WHEN 3 THEN '{EV.NOTE_ANALYSIS_OK}'
+              WHEN 4 THEN '{EV.NOTE_ANALYSIS_NOT}' WHEN 5 THEN '{EV.NOTE_PASS}' WHEN 6 THEN '{EV.NOTE_FAIL}'
+              WHEN 7 THEN '{EV.NOTE_APPEARS}' WHEN 8 THEN '{EV.NOTE_ERRORS}' ELSE '{EV.NOTE_UNCLEAR}' END AS notes
+FROM (SELECT *, ord % 10 AS k FROM runs) r""", RUNS))
+def q_availability_notes(spark: SparkSession, sf: str) -> DataFrame:
+    # Whether the site was there, and the note that says so
+    fields = EV.run_fields(FX.availability_documents(spark, sf))
+    return fields.select("run_id", *[F.when(F.col(f + "_p"), F.col(f)).alias(f) for f in ("is_available", "is_malicious", "notes")])
+
+
+# ----------------------------------------------------------------------------- stored nested runs, compaction, read back
+@register("merge_versions_nested_report", O.with_ctes(f"""
+SELECT project, CAST(run_date AS VARCHAR) AS run_date, CAST(count(*) AS BIGINT) AS total_traces,
+       CAST(sum(n_err) AS BIGINT) AS zenrows_errors, {O.rate('sum(n_err)', 'count(*)')} AS error_rate
+FROM (SELECT project, run_date, trace_id,
+             count(*) FILTER (WHERE {O.rate_error()})
+             + sum(CASE WHEN n_runs > 1 AND run_id = root_id THEN 0 WHEN ord % 3 = 0 THEN 1
+                        ELSE CAST({O.rate_error()} AS INTEGER) + CAST(u % 2 = 0 AS INTEGER) END) AS n_err
+      FROM (SELECT *, count(*) OVER w AS n_runs,
+                   arg_max(run_id, (CASE WHEN run_id = trace_id THEN 1 ELSE 0 END, -ord)) OVER w AS root_id
+            FROM moved WINDOW w AS (PARTITION BY project, run_date, trace_id)) x
+      GROUP BY ALL) t
+GROUP BY project, run_date""", RUNS, """
+moved AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN project || 'm' ELSE project END AS project) FROM runs)"""))
+def q_merge_versions_nested_report(spark: SparkSession, sf: str) -> DataFrame:
+    # the merge stores nested runs with their partitions; the report reads these and no documents
+    base = os.path.join(checkpoint_dir(spark), f"versions-{uuid.uuid4().hex}")
+    for number, rows in enumerate(FX.refetched_documents(spark, sf), 1):
+        RT.append_batch(rows, f"{base}/log", number)
+        VT.merge_batches(spark, f"{base}/log", f"{base}/table")
+    runs, nested = VT.read_runs(spark, f"{base}/table")
+    return E.daily_error_report(runs, nested=nested).select("project", _d(), "total_traces", "zenrows_errors", "error_rate")
+
+
+@register("compact_restore_day", O.with_ctes("""
+SELECT run_id, trace_id, project, CAST(run_date AS VARCHAR) AS run_date, name, status, error FROM runs
+WHERE project = 'proj0' AND run_date BETWEEN (SELECT max(run_date) - 6 FROM runs WHERE project = 'proj0')
+                                         AND (SELECT max(run_date) FROM runs WHERE project = 'proj0')""", RUNS))
+def q_compact_restore_day(spark: SparkSession, sf: str) -> DataFrame:
+    # S8 twice, the second table without the last day of a project; S9 brings that day back; S3 reads a week
+    base = os.path.join(checkpoint_dir(spark), f"compacted-{uuid.uuid4().hex}")
+    runs = staged(FX.runs(spark, sf).select("run_id", "trace_id", "project", "run_date", "name", "status", "error"), "runs")
+    own = F.col("project") == "proj0"
+    last = runs.where(own).agg(F.max("run_date")).first()[0]
+    RT.compact(runs, f"{base}/archive")
+    RT.compact(runs.where(~(own & (F.col("run_date") == F.lit(last)))), f"{base}/table")
+    RT.restore_partition(spark, f"{base}/archive", f"{base}/table", "proj0", str(last))
+    week = RT.read_table(spark, f"{base}/table", "proj0", last - dt.timedelta(days=6), last)
+    return week.select("run_id", "trace_id", "project", _d(), "name", "status", "error")
+
+
+@register("dataset_read_back", O.with_ctes(f"""
+SELECT trace_id, project, CAST(run_date AS VARCHAR) AS date, 'token_name' AS eval_type,
+       coalesce({_last('name_v', 'name_p')}, '') AS name, coalesce({_last('symbol')}, '') AS symbol,
+       coalesce({_last('description')}, '') AS description, arg_max(is_meme, ord) AS is_meme,
+       arg_max(is_explicit, ord) AS is_explicit, arg_max(has_conflict, ord) AS has_conflict
+FROM rf GROUP BY trace_id, project, run_date HAVING bool_or(meets_strict)""", RUNS, FB, O.run_fields_cte()))
+def q_dataset_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    # S11 writes JSONL files, S12 finds their format and reads them
+    path = os.path.join(checkpoint_dir(spark), f"dataset-{uuid.uuid4().hex}")
+    SK.write_dataset_jsonl(EV.build_dataset(FX.run_documents(spark, sf), "token_name"), path, "token_name")
+    ins, outs = EV.FORMAT_COLUMNS["token_name"]
+    return SK.read_dataset(spark, path).select(
+        "metadata.trace_id", "metadata.project", "metadata.date", "metadata.eval_type",
+        *[f"inputs.{c}" for c in ins], *[f"outputs.{c}" for c in outs])
+
+
+@register("curation_problems", O.with_ctes(f"""
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT {O.normalize_url('website_url')}) AS BIGINT) AS repeated,
+       CAST(count(*) FILTER (WHERE pos % 10 = 0 OR length(website_url) = 0) AS BIGINT) AS no_url,
+       CAST(count(*) FILTER (WHERE pos % 7 = 0 OR is_available IS NULL) AS BIGINT) AS no_flag
+FROM url_examples""", URLS))
+def q_curation_problems(spark: SparkSession, sf: str) -> DataFrame:
+    # V1 on examples that have all of its problems
+    pos = F.col("pos")
+    spoilt = C.annotate(FX.url_examples(spark, sf)).withColumns({
+        "website_url": F.when(pos % 10 != 0, F.col("website_url")), "is_available": F.when(pos % 7 != 0, F.col("is_available"))})
+    return C.problems(spoilt)

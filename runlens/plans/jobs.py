@@ -7,7 +7,7 @@ of the request are listed and opened.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.operators import curation as C
@@ -22,14 +22,21 @@ from runlens.sources import sinks as SK
 from runlens.sources import versions as VT
 
 
+def _runs(spark: SparkSession, table: str, project: str | None = None, start=None,
+          end=None) -> tuple[DataFrame, DataFrame | None]:
+    """The runs asked for, and the runs nested in them where the table stores these: a versioned table does, a
+    compacted one leaves them in the documents."""
+    return VT.read_runs(spark, table, project, start, end) or (RT.read_table(spark, table, project, start, end), None)
+
+
 def error_report(spark: SparkSession, table: str, day: str, project: str | None = None) -> str:
     """E1 ``report zenrows-errors --date D [--project P]``: CSV text (header even when empty)."""
     Q.validate_params(date=day)
-    runs = RT.read_table(spark, table, project, day)
+    runs, nested = _runs(spark, table, project, day)
     if project is not None:
-        rep = E.daily_error_report(runs, project=project, run_date=day)
+        rep = E.daily_error_report(runs, project=project, run_date=day, nested=nested)
     else:
-        rep = E.merge_projects(E.daily_error_report(runs, run_date=day))
+        rep = E.merge_projects(E.daily_error_report(runs, run_date=day, nested=nested))
     return SK.csv_report(rep)
 
 
@@ -37,11 +44,11 @@ def error_detail_report(spark: SparkSession, table: str, day: str, out: str, pro
                         fmt: str = "text", nested: DataFrame | None = None) -> None:
     """E2 ``report zenrows-detail``: hierarchy symbol -> root trace -> errors, written to ``out`` as text or JSON.
 
-    ``nested`` is the stored table of nested runs, if ingest has written one; the report then reads no documents
-    for them. Every error is a row up to the files; the driver gets none.
+    Nested runs come from ``nested``, if given, or else from where the versioned table stores them. Every error is a row up to the files; the driver gets none.
     """
     Q.validate_params(date=day)
-    facts = E.error_facts(RT.read_table(spark, table, project, day), project=project, run_date=day, nested=nested)
+    runs, stored = _runs(spark, table, project, day)
+    facts = E.error_facts(runs, project=project, run_date=day, nested=stored if nested is None else nested)
     if project is None:
         facts = E.merge_project_facts(facts)
     facts = staged(facts, "facts")
@@ -56,7 +63,7 @@ def create_dataset(spark: SparkSession, table: str, project: str, eval_type: str
     """E3 ``eval create-dataset``: one scan, one trace-level aggregation, optional curation; written
     as JSONL when ``out`` is given. Name: ``<project>_<type>_<start>_<end>[_best100]``."""
     start, end = Q.validate_params(start=start, end=end, eval_type=eval_type, best_100=best_100)
-    runs = RT.read_table(spark, table, project, start, end)
+    runs, _ = _runs(spark, table, project, start, end)
     ds = EV.build_dataset(runs, eval_type)
     if best_100:
         # dataset order of the reference = (run_date, trace_id); curation only compares positions,
@@ -74,14 +81,19 @@ def create_dataset(spark: SparkSession, table: str, project: str, eval_type: str
 
 
 def ingest(spark: SparkSession, landing_root: str, log_path: str, batch: int, project: str | None = None,
-           day: str | None = None, date_mode: str = "utc", ingest_ts=None) -> dict:
-    """E4 ``archive to-db`` from landed files: parse, reconcile, validate, map to records, append one
-    ingest batch to the run log. Returns {stored, skipped, rejected}."""
-    recs, rejected = L.ingest_records(spark, landing_root, project, day, date_mode=date_mode,
-                                      ingest_date=str(ingest_ts)[:10] if ingest_ts else None)
+           day: str | None = None, date_mode: str = "utc", ingest_ts=None, feedback: DataFrame | None = None) -> dict:
+    """E4 ``archive to-db`` from landed files: parse, reconcile, validate, map to records, enrich the documents with
+    ``feedback(run_id, ...)`` (J1) if given, append one ingest batch to the run log. The files are read once.
+    Returns {stored, skipped, rejected}."""
+    seen = Observation()
+    landed = L.landed_records(L.scan_files(spark, landing_root, project, day), date_mode,
+                              str(ingest_ts)[:10] if ingest_ts else None)
+    landed = landed.observe(seen, F.count_if(F.col("reason") == "invalid legacy run").alias("rejected"))
+    recs = L.latest_file_per_run(landed.where("reason IS NULL").drop("reason"))
+    if feedback is not None:
+        recs = EV.feedback_in_documents(recs, feedback)
     counts = RT.append_batch(recs, log_path, batch, ingest_ts)
-    counts["rejected"] = rejected.count()
-    return counts
+    return counts | dict(seen.get)
 
 
 def merge_log(spark: SparkSession, log_path: str, table: str) -> dict:

@@ -261,3 +261,64 @@ def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(e % 5 == 2, F.concat(iso, F.lit("+02:00"))).when(e % 5 == 3, F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
              .otherwise(F.date_format(t, "yyyy-MM-dd")))
     return runs(spark, sf_dir).select("run_id", texts.alias("text"), (t + F.expr("INTERVAL 1 DAY")).alias("ingest_time"))
+
+
+def _shaped(index: Column, shapes: list) -> Column:
+    """JSON text by number: a format and the columns that fill it."""
+    out = None
+    for i, (text, *values) in enumerate(shapes):
+        filled = F.format_string(text, *values) if values else F.lit(text)
+        out = F.when(index == i, filled) if out is None else out.when(index == i, filled)
+    return out
+
+
+def judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with documents of eight shapes by ``ord % 8``: every place that outputs, feedback and verdicts come from.
+
+      0  empty outputs                                1  outputs of ``run``, reference with a null human_feedback
+      2  confidence '0.9d', empty feedback list       3  feedback list: object, text, object with a verdict
+      4  verdict key, human_verdict FAIL              5  two comments and a verdict key
+      6  empty final_verdict, human_verdict null      7  null outputs, feedback that is no list
+    """
+    r = runs(spark, sf_dir)
+    u = F.col("_user").cast("long")
+    even = F.when(u % 2 == 0, "PASS").otherwise("FAIL")
+    comment = F.when(u % 2 == 0, F.concat(F.lit(',"comment":"c'), (u % 3).cast("string"), F.lit('"'))).otherwise("")
+    shapes = [
+        ('{"outputs":{}}',),
+        ('{"run":{"outputs":{"a":1}},"reference":{"human_feedback":null}}',),
+        ('{"outputs":{"final_decision":"PASS","confidence":"0.9d"},"feedback":[]}',),
+        ('{"outputs":{"final_decision":"%s","confidence":"0.8"},"feedback":[{"score":7,"value":0,"comment":"c"},"x",'
+         '{"final_verdict":{"verdict":"PASS"},"score":%d%s}]}', even, u % 5, comment),
+        ('{"outputs":{"final_decision":"FAIL","confidence":0.7,"human_verdict":"FAIL"},'
+         '"feedback_stats":{"final_verdict":{"verdict":"FAIL"}}}',),
+        ('{"outputs":{"final_decision":"PASS","confidence":%s},"feedback_stats":{"final_verdict":{"verdict":"FAIL",'
+         '"comments":["Human verdict: maybe","seen. Human verdict: PASS "]}}}', ((u % 100) / F.lit(100)).cast("string")),
+        ('{"outputs":{"final_decision":"PASS","confidence":true,"human_verdict":null},"feedback_stats":{"final_verdict":{}}}',),
+        ('{"outputs":null,"feedback":{"a":1}}',),
+    ]
+    return r.select(*[c for c in r.columns if not c.startswith("_")],
+                    F.parse_json(_shaped(F.col("ord") % 8, shapes)).alias("doc"))
+
+
+def availability_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with outputs of ten shapes by ``ord % 10``: a note of its own (two places), and each inferred note."""
+    r = runs(spark, sf_dir)
+    outputs = [
+        ('{"website_analysis":{"error_message":"down %d"}}', F.col("_user").cast("long")), ('{"notes":"seen"}',),
+        ('{"project_info":{"a":1}}',), ('{"name_analysis":{"x":1}}',), ('{"website_analysis":{"is_available":false}}',),
+        ('{"final_decision":"PASS"}',), ('{"final_decision":"FAIL"}',), ('{"is_available":true,"is_malicious":true}',),
+        ('{"log":"Connection Timeout"}',), ('{"other":1}',)]
+    doc = F.concat(F.lit('{"outputs":'), _shaped(F.col("ord") % 10, outputs), F.lit("}"))
+    return r.select(*[c for c in r.columns if not c.startswith("_")], F.parse_json(doc).alias("doc"))
+
+
+def refetched_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two ingest batches of documents with nested runs: all runs, then every third one of another project, whose
+    document now holds one failed nested run."""
+    first = nested_run_documents(spark, sf_dir).withColumnRenamed("ord", "ingest_seq")
+    doc = F.parse_json(F.concat(F.lit('{"id":"'), "run_id", F.lit('","child_runs":[{"id":"'), "run_id",
+                                F.lit('-d","name":"zenrows_scraper","status":"error"}]}')))
+    again = first.where(F.col("ingest_seq") % 3 == 0).withColumns({
+        "project": F.concat("project", F.lit("m")), "doc": doc, "ingest_seq": F.col("ingest_seq") + 10 ** 12})
+    return first, again

@@ -86,8 +86,11 @@ def latest(log: DataFrame, seq: str = "ingest_seq") -> DataFrame:
 def compact(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a run table version partitioned by (project, run_date), zstd Parquet, rows of a
     partition clustered by trace_id; a busy project and day is split into several files by trace.
-    Fails on an empty input (V4), counted while it is written."""
+    Fails on an empty input (V4), counted while it is written. A version has a folder of its own: overwriting is
+    refused, since an empty input would be found only after the old version had gone."""
     from pyspark.sql import Observation
+    if mode == "overwrite":
+        raise ValueError("a new version goes to a new folder")
     rows = Observation()
     out = runs.withColumn("doc", F.to_json("doc")) if "doc" in runs.columns and \
         runs.schema["doc"].dataType.typeName() == "variant" else runs
@@ -110,12 +113,21 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, project: str | None = None, start=None, end=None) -> DataFrame:
     """S3 over a compacted table: partition filters prune directories before any file is opened."""
-    df = read_partitioned(spark, path)
+    return as_runs(of_places(read_partitioned(spark, path), project, start, end))
+
+
+def of_places(df: DataFrame, project: str | None = None, start=None, end=None) -> DataFrame:
+    """Rows of a project and of the days ``start`` to ``end`` (of that day alone without ``end``)."""
     if project is not None:
         df = df.where(F.col("project") == project)
     if start is not None:
         df = df.where(F.col("run_date") >= F.lit(str(start)).cast("date"))
         df = df.where(F.col("run_date") <= F.lit(str(end or start)).cast("date"))
+    return df
+
+
+def as_runs(df: DataFrame) -> DataFrame:
+    """Rows of a stored table as the operators take them: documents parsed, merge order ``ord``."""
     if "doc" in df.columns:
         df = df.withColumn("doc", F.try_parse_json("doc"))
     if "ord" not in df.columns and "ingest_seq" in df.columns:
@@ -140,15 +152,27 @@ def restore_partition(spark: SparkSession, archive_path: str, table_path: str, p
 
 
 def partition_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Per (project, day) folder of the landing area: run files, bytes, MB.
-    Lists files with the ``binaryFile`` source without reading their content."""
+    """Per (project, day) folder of the landing area: run files, their bytes and MB, summary files.
+
+    Run files are listed by the ``binaryFile`` source without reading their content. Summaries (``_*.json``) are hidden
+    from Spark's file index, so their paths come from one listing of the file system on the driver, which
+    has an entry for each folder, as Spark's own listing of partitions does. They count, their bytes do not. A folder
+    of summaries alone has no run files and 0 bytes.
+    """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", "*.json").load(root).select("path", "length"))
-    # ``_summary.json`` is hidden from the file index and does not count
+    hidden = spark.createDataFrame([(p,) for p in _summary_paths(spark, root)], "path string")
     path = F.col("path")
-    parts = df.select(F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 1).alias("project"),
-                      F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 2).alias("date"),
-                      "length")
+    parts = df.withColumn("hidden", F.lit(0)).union(hidden.select("path", F.lit(0).cast("long"), F.lit(1))).select(
+        F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 1).alias("project"),
+        F.regexp_extract(path, r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$", 2).alias("date"), "length", "hidden")
     return (parts.groupBy("project", "date")
-            .agg(F.count(F.lit(1)).alias("run_files"), F.sum("length").alias("total_bytes"))
+            .agg(F.count_if(F.col("hidden") == 0).alias("run_files"), F.sum("hidden").alias("summary_files"),
+                 F.sum("length").alias("total_bytes"))
             .withColumn("total_mb", F.round(F.col("total_bytes") / (1024 * 1024), 2)))
+
+
+def _summary_paths(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(root, "*", "*", "_*.json"))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
