@@ -1,7 +1,11 @@
 """Verdicts, criteria, extraction, merges and curation (reference unit cases)."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from runlens.functions import variant as V
 from runlens.operators import curation as C
 from runlens.operators import evaluation as EV
 
@@ -121,3 +125,38 @@ def test_attach_feedback_keeps_runs_without(spark):
     fb = spark.createDataFrame([("a", "PASS"), ("a", "FAIL")], "run_id string, verdict string")
     got = dict(EV.attach_feedback(runs, fb).select("run_id", F.size("feedback_records")).collect())
     assert got == {"a": 2, "b": 0}
+
+
+@pytest.mark.parametrize("build", [EV.build_dataset, EV.build_dataset_file_mode])
+@pytest.mark.parametrize("eval_type", EV.EVAL_TYPES)
+def test_every_document_is_built_once(spark, build, eval_type):
+    built = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        built.add(1)
+        outputs = {"final_decision": "PASS", "confidence": 0.9, "website_analysis": {"is_available": True}}
+        return json.dumps({"id": str(i), "inputs": {"input_data": {
+            "name": f"n{i}", "website_url": f"https://{i}.example", "request_id": f"r{i // 4}",
+            "social_profiles": {"x": i}}}, "outputs": outputs,
+            "feedback_stats": {"final_verdict": {"comments": ["Human verdict: PASS"]}}})
+
+    i = F.col("id")
+    runs = spark.range(0, 40, 1, 4).select(
+        i.cast("string").alias("run_id"), (i - i % 4).cast("string").alias("trace_id"), F.lit("p").alias("project"),
+        F.lit("2025-08-29").cast("date").alias("run_date"), i.alias("ord"),
+        F.parse_json(F.udf(text, "string")("id")).alias("doc"))
+    rows = build(runs, eval_type).select("trace_id", "runs_count", "reference").collect()
+    assert len(rows) == 10 and {r["runs_count"] for r in rows} == {4}
+    assert built.value == 40
+
+
+def test_members_of_an_object_in_one_pass(spark):
+    texts = ['{"a":1,"b":null,"B":{}}', "{}", "[]", "[1]", '"a"', "null", '{"a":{"x":[]}}', None]
+    doc = F.parse_json("j")
+    got = (spark.createDataFrame([(t,) for t in texts], "j string").select("j", doc.alias("d"))
+           .select("j", V.filled_object("d").alias("filled"), V.fields("d", ["a", "b"]).alias("f"), "d")
+           .select("j", "filled", *[F.to_json(f"f.{k}").alias(k) for k in "ab"],
+                   *[F.to_json(V.sub("d", f"$.{k}")).alias("sub_" + k) for k in "ab"]).collect())
+    assert [r["filled"] for r in got] == [True, False, False, False, False, False, True, False]
+    assert [(r["a"], r["b"]) for r in got] == [(r["sub_a"], r["sub_b"]) for r in got]
+    assert (got[0]["a"], got[0]["b"], got[6]["a"]) == ("1", "null", '{"x":[]}')
