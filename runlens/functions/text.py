@@ -69,14 +69,16 @@ def symbol_text_scan(name, error) -> Column:
 
     A present-but-null name/error renders as ``None`` (Python f-string), which is what the run
     table stores: every run document carries both keys. One alternation of all literals and substrings comes
-    first, since every rule needs one of them: texts without any are done.
+    first, since every rule needs one of them: texts without any are done. Likewise a literal's patterns are tried
+    only where the literal is.
     """
     t = F.upper(F.concat(F.coalesce(_c(name), F.lit("None")), F.lit(" "),
                          F.coalesce(_c(error), F.lit("None"))))
     any_word = sorted({s for s in SYMBOL_LITERALS} | {p.upper() for _, pats in SYMBOL_FAMILIES for p in pats})
-    expr = F.when(~t.rlike("|".join(any_word)), F.lit(UNKNOWN_SYMBOL))
+    first = "".join(sorted({w[0] for w in any_word}))  # most places of a text are passed by their first letter
+    expr = F.when(~t.rlike(f"(?=[{first}])(?:{'|'.join(any_word)})"), F.lit(UNKNOWN_SYMBOL))
     for sym in SYMBOL_LITERALS:
-        cond = contains(t, sym + "_") | contains(t, sym + "-") | t.rlike(r"(?U)\b" + sym + r"\b")
+        cond = contains(t, sym) & (contains(t, sym + "_") | contains(t, sym + "-") | t.rlike(r"(?U)\b" + sym + r"\b"))
         expr = expr.when(cond, F.lit(sym))
     for sym, pats in SYMBOL_FAMILIES:
         cond = None
@@ -95,12 +97,12 @@ def crypto_symbol(doc, name, error) -> Column:
     scan = symbol_text_scan(name, error)
     if doc is None:
         return scan
-    idata = V.obj_or_empty(V.obj_or_empty(doc, "$.inputs"), "$.input_data")
-    cs = V.as_string(idata, "$.crypto_symbol")
-    nm = V.as_string(idata, "$.name")
+    # a path through what is no object leads nowhere, so members are read by their paths, without those above them
+    cs = V.as_string(doc, "$.inputs.input_data.crypto_symbol")
+    nm = V.as_string(doc, "$.inputs.input_data.name")
     nm_clean = F.upper(pystrip(nm))
-    meta_sym = V.as_string(V.obj_or_empty(doc, "$.metadata"), "$.symbol")
-    extra_crypto = V.as_string(V.obj_or_empty(doc, "$.extra"), "$.crypto")
+    meta_sym = V.as_string(doc, "$.metadata.symbol")
+    extra_crypto = V.as_string(doc, "$.extra.crypto")
     return (F.when(F.length(cs) > 0, F.upper(cs))
             .when((F.length(nm) > 0) & (F.length(nm_clean) <= 10)
                   & nm_clean.rlike(r"^[\p{L}\p{N}]+$"), nm_clean)
@@ -113,10 +115,9 @@ def target_url(doc) -> Column:
     """First truthy of inputs.input / inputs.url / inputs.target_url (string values)."""
     if doc is None:
         return F.lit(None).cast("string")
-    inp = V.obj_or_empty(doc, "$.inputs")
 
     def pick(k):
-        s = V.sub(inp, "$." + k)
+        s = V.sub(doc, "$.inputs." + k)
         return F.when(V.truthy(s), F.coalesce(V.as_string(s), F.to_json(s)))
     return F.coalesce(pick("input"), pick("url"), pick("target_url"))
 

@@ -31,8 +31,7 @@ KEYS = ["project", "run_date", "trace_id"]
 # ------------------------------------------------------------------------------------------ N1
 def _children(arr_or_run: Column) -> Column:
     """Object children of a run's ``child_runs`` list (non-objects skipped, non-lists -> empty)."""
-    arr = F.coalesce(F.try_variant_get(V.sub(arr_or_run, "$.child_runs"), "$", "array<variant>"),
-                     F.array().cast("array<variant>"))
+    arr = F.coalesce(F.try_variant_get(arr_or_run, "$.child_runs", "array<variant>"), F.array().cast("array<variant>"))
     return F.filter(arr, lambda c: V.is_object(c))
 
 
@@ -50,20 +49,21 @@ def nested_runs(runs: DataFrame, doc_col: str = "doc", keep: list[str] | None =
     keep = keep or [c for c in KEYS + ["run_id", "ord"] if c in runs.columns]
     ch = F.col("child")
     levels = []
-    above = runs.select(*keep, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"),
-                        _children(F.col(doc_col)).alias("children"))
+    above, children = runs.withColumns({"depth": F.lit(0), "place": F.array().cast("array<int>")}), _children(F.col(doc_col))
     while not levels or not levels[-1].isEmpty():
-        rows = above.where(F.size("children") > 0).select(
-            *keep, (F.col("depth") + 1).alias("depth"), "place", F.posexplode("children").alias("at", "child"))
-        typed = rows.select(
-            *keep, "depth", F.concat("place", F.array("at")).alias("place"), V.text_at(ch, "$.id").alias("id"),
-            V.as_string(ch, "$.name").alias("name"), V.as_string(ch, "$.status").alias("status"),
-            V.text_at(ch, "$.error").alias("error"), V.as_string(ch, "$.start_time").alias("start_time"),
+        # no filter on the children: pushed below, it would build and search every document a second time
+        rows = above.select(*keep, (F.col("depth") + 1).alias("depth"), "place",
+                            F.posexplode(children).alias("at", "child"))
+        opened = rows.withColumn("m", V.fields(ch, ["id", "name", "status", "error", "start_time"]))
+        typed = opened.select(
+            *keep, "depth", F.concat("place", F.array("at")).alias("place"), V.text_at("m.id").alias("id"),
+            V.as_string("m.name").alias("name"), V.as_string("m.status").alias("status"),
+            V.text_at("m.error").alias("error"), V.as_string("m.start_time").alias("start_time"),
             T.target_url(ch).alias("target_url"), ch)
         levels.append(staged(typed.select(
             *[c for c in typed.columns if c != "child"], T.crypto_symbol(ch, F.col("name"), F.col("error")).alias("symbol"),
             _children(ch).alias("children")), "children"))
-        above = levels[-1]
+        above, children = levels[-1], F.col("children")
     out = functools.reduce(DataFrame.union, levels[:-1] or levels).drop("children")
     return out.withColumnRenamed("run_id", "stored_run_id") if "run_id" in keep else out
 

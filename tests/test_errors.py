@@ -1,7 +1,10 @@
 """Error analytics over nested, flat and malformed traces."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from runlens.functions import text as T
 from runlens.operators import errors as E
 
 
@@ -89,3 +92,26 @@ def test_summary_best_worst(spark):
     s = E.summary_stats(rep.withColumn("run_date", F.col("run_date").cast("date"))).first()
     assert (s["total_days"], s["total_traces"], s["total_zenrows_errors"]) == (3, 30, 9)
     assert (s["overall_error_rate"], s["worst_day"], s["best_day"]) == (30.0, "2025-01-02", "2025-01-01")
+
+
+def test_nested_runs_build_every_document_once(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        built.add(1)
+        inner = {"id": f"{i}-c2", "name": "zenrows_scraper", "status": "error"}
+        return json.dumps({"id": str(i), "child_runs": [{"id": f"{i}-c1", "name": "a", "child_runs": [inner, 42]}, "x"]})
+
+    runs = spark.range(0, 20, 1, 2).select(
+        F.col("id").cast("string").alias("run_id"), F.col("id").alias("ord"), F.parse_json(F.udf(text, "string")("id")).alias("doc"))
+    rows = E.nested_runs(runs).collect()
+    assert sorted(r["id"] for r in rows) == sorted(f"{i}-c{k}" for i in range(20) for k in (1, 2))
+    assert built.value == 20
+
+
+def test_symbol_scan_tries_patterns_where_a_literal_is(spark):
+    cases = {"BTC_x": "BTC", "x eth-usd": "ETH", "my sol run": "SOL", "shiba": "DOGE", "dotty": "Unknown", "abtc": "BTC",
+             "polkadot_x": "DOT", "plain": "Unknown", "cardano": "CARDANO", "xlink": "Unknown", "": "Unknown"}
+    df = spark.createDataFrame([(k,) for k in cases], "name string")
+    got = {r["name"]: r["s"] for r in df.select("name", T.crypto_symbol(None, F.col("name"), F.lit("")).alias("s")).collect()}
+    assert got == cases
