@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import variant as V
 from runlens.operators import curation as C
 from runlens.operators import evaluation as EV
+from runlens.session import staged
 
 
 def verdict_run(verdict_comment, decision, confidence, rid="r"):
@@ -160,3 +161,12 @@ def test_members_of_an_object_in_one_pass(spark):
     assert [r["filled"] for r in got] == [True, False, False, False, False, False, True, False]
     assert [(r["a"], r["b"]) for r in got] == [(r["sub_a"], r["sub_b"]) for r in got]
     assert (got[0]["a"], got[0]["b"], got[6]["a"]) == ("1", "null", '{"x":[]}')
+
+
+def test_staging_many_rules_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    assert staged(spark.range(3), "many", many_rules=True).count() == 3
+    with pytest.raises(Exception, match="boom"):
+        staged(spark.range(3).select(F.raise_error(F.lit("boom")).alias("x")), "many", many_rules=True)
+    assert spark.conf.get(key) == before
