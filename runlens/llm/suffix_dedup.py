@@ -11,10 +11,12 @@ consecutive; together they cover a *stretch* of at most 2 * length - GRAM bytes.
 1. anchors that occur once are dropped: counts are combined map-side, the join back is a plain shuffled join;
 2. equal stretches of an anchor are one class (128 bits of hash): all but its first occurrence are removed whole,
    and only the first goes on;
-3. anchors with several classes: the classes' bytes meet in blocks of bounded size. Each block's suffix array is
+3. anchors with very many classes become longer (``narrowed``): a class's strings are halved by the place that the
+   anchor has in them, and the strings of a half have more bytes about it in common, up to the whole string. Step 2
+   follows for the halves, until no anchor has very many classes;
+4. anchors with several classes: the classes' bytes meet in blocks of bounded size. Each block's suffix array is
    made by two-stage sorting; adjacent suffixes with a common prefix of ``length`` bytes are equal strings, and
-   all but the earliest are removed. An anchor with very many classes is split over several blocks; their
-   earliest strings are then compared by 128-bit hash, combined map-side.
+   all but the earliest are removed.
 
 Texts are shuffled once, with the stretches found in them; those with classes to compare are staged until the
 blocks are done. Memory is bounded by the longest document and by the block size.
@@ -42,7 +44,7 @@ LENGTH = 100
 GRAM = 24
 #: string starts handled at once in a document: bounds memory and keeps places below the bits of a hash
 CHUNK = 1 << 18
-#: stretches of one anchor in a block, and of a block altogether (about 140 bytes each)
+#: classes from which on an anchor is made longer, and stretches of a block altogether (about 140 bytes each)
 SPLIT, BLOCK = 2048, 8192
 LENGTH_BITS = 10
 
@@ -83,6 +85,11 @@ class RangeHash:
         return mixed((self.sums[size:] - self.sums[:n]) * self.up[:n] + np.uint64(size))
 
 
+def ranked(grams: np.ndarray) -> np.ndarray:
+    """Numbers that order a document's grams by hash, equal ones from left to right; the low bits are the place."""
+    return (grams & np.uint64(~0xFFFFFF & (2**64 - 1))) | np.arange(len(grams), dtype=np.uint64)
+
+
 def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """``(anchor, content hash, first start, number of starts)`` of a document's stretches."""
     found = []
@@ -93,7 +100,7 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         hashes = RangeHash(part)
         grams = hashes.grams(GRAM)
         window = length - GRAM + 1
-        smallest = (grams & np.uint64(~0xFFFFFF & (2**64 - 1))) | np.arange(len(grams), dtype=np.uint64)
+        smallest = ranked(grams)
         reach = 1
         while 2 * reach <= window:
             smallest = np.minimum(smallest[:-reach], smallest[reach:])
@@ -137,9 +144,67 @@ def types(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def places(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, start, starts, place, data)`` of stretches; ``place`` is where their anchor begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [int(ranked(RangeHash(np.frombuffer(d, np.uint8)).grams(GRAM)).argmin())
+                     for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "place"])
+
+    own = pieces.select(*keys, "start", "starts", "data")
+    return own.mapInArrow(tidy(run), f"{types(own, own.columns)}, place int")
+
+
+def halved(pieces: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """``pieces`` cut in two by the place of the anchor in their strings, from ``low`` to ``high``; ``anchor`` is hashed anew.
+
+    All strings of a half have the bytes from ``low`` before the place to ``length - high`` after it.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    spans = F.when(F.col("low") < F.col("high"), F.array(
+        F.struct(F.col("low").alias("low"), middle.alias("high")),
+        F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).otherwise(F.array(F.struct("low", "high")))
+    cut = pieces.select(*keys, "start", "starts", "place", "data", F.explode(spans).alias("s")).select(
+        *keys, "start", "place", "data", "s.*",
+        F.greatest(F.lit(0), F.col("place") - F.col("s.high")).alias("first"),
+        F.least(F.col("starts") - 1, F.col("place") - F.col("s.low")).alias("last")).where("first <= last")
+    half = cut.select(*keys, (F.col("start") + F.col("first")).alias("start"), (F.col("last") - F.col("first") + 1).alias("starts"),
+                      (F.col("place") - F.col("first")).alias("place"), "low", "high",
+                      F.expr(f"substring(data, first + 1, cast(last - first + {length} AS int))").alias("data"))
+    return half.withColumn("anchor", F.expr(
+        f"xxhash64(low, high, substring(data, place - low + 1, {length} - (high - low)))"))
+
+
+def narrowed(hot: DataFrame, keys: list[str], length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """``hot(keys, start, starts, data)``, classes of anchors that have very many, by longer anchors.
+
+    Gives ``(keys, start, data, anchor)`` of those to compare, and ``(keys, start, starts)`` of removed starts.
+    """
+    compared, lost = [], []
+    width = length - GRAM + 1  # places of an anchor in a string
+    hot = places(hot, keys).withColumns({"low": F.lit(0), "high": F.lit(width - 1)})
+    while width > 1:
+        width = -(-width // 2)
+        halves = staged(halved(hot, keys, length), "halves")
+        here = F.struct(*keys, "start")
+        rest = F.struct(*keys, "start", "starts", "place", "low", "high")
+        classes = staged(halves.groupBy("anchor", "data").agg(F.min(rest).alias("first"), F.count("*").alias("n")), "classes")
+        first = classes.where("n > 1").select("anchor", "data", F.struct(*[f"first.{c}" for c in [*keys, "start"]]).alias("first"))
+        lost.append(halves.join(first, ["anchor", "data"]).where(here != F.col("first")).select(*keys, "start", "starts"))
+        many = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        left = staged(classes.select("anchor", "data", "first.*").join(many, "anchor"), "narrowed")
+        few = F.col("n") <= SPLIT if width > 1 else F.lit(True)
+        compared.append(left.where(few).select(*keys, "start", "data", "anchor"))
+        hot = left.where(~few)
+        if hot.isEmpty():
+            break
+    return compared, lost
+
+
 def block_repeats(group: pd.DataFrame, keys: list[str], length: int) -> pd.DataFrame:
-    """Removed starts of one block's stretches (``kind`` 0), and earliest strings of split anchors (``kind`` 1)."""
-    group = group.sort_values([*keys, "at"], ignore_index=True)  # rows in the order of "earlier"
+    """Removed starts of one block's stretches."""
+    group = group.sort_values([*keys, "start"], ignore_index=True)  # rows in the order of "earlier"
     sizes = group["data"].map(len).to_numpy()
     data = np.frombuffer(b"".join(group["data"]), np.uint8)
     offset = np.cumsum(sizes) - sizes
@@ -150,7 +215,7 @@ def block_repeats(group: pd.DataFrame, keys: list[str], length: int) -> pd.DataF
     order = order[inside[order] + length <= sizes[row[order]]]  # suffixes with a whole string in their stretch
     same = common_prefixes(words, order[:-1], order[1:], length) >= length
     run = np.concatenate([[0], np.cumsum(~same)])
-    start = (group["at"].to_numpy() >> LENGTH_BITS)[row] + inside
+    start = group["start"].to_numpy()[row] + inside
     # of equal strings the earliest: by document, then by start (rows of a document may overlap)
     document = group.groupby(keys, sort=False).ngroup().to_numpy()[row]
     by = np.lexsort((start[order], document[order], run))
@@ -165,12 +230,7 @@ def block_repeats(group: pd.DataFrame, keys: list[str], length: int) -> pd.DataF
     first = lost[cut]
     count = np.diff(np.append(np.flatnonzero(cut), len(lost)))
     out = {k: group[k].to_numpy()[row[first]] for k in keys}
-    removed = pd.DataFrame(out | {"kind": 0, "start": start[first], "starts": count, "w1": 0, "w2": 0})
-    open_ = order[earliest & group["hot"].to_numpy()[row[order]]]
-    w1, w2 = (RangeHash(data, table)(open_, open_ + length).view(np.int64) for table in (0, 1))
-    out = {k: group[k].to_numpy()[row[open_]] for k in keys}
-    return pd.concat([removed, pd.DataFrame(out | {"kind": 1, "start": start[open_], "starts": 1, "w1": w1, "w2": w2})],
-                     ignore_index=True)
+    return pd.DataFrame(out | {"start": start[first], "starts": count})
 
 
 def spans_of(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
@@ -224,23 +284,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(marks, keys, "left")
 
     half = staged(cut_rows(joined, keys, length, whole_chars), "texts")
-    pieces = half.select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.*").dropDuplicates([*keys, "at"])
-    total = half.select(F.sum(F.size("pieces"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
-    parts = F.ceil(F.col("n") / SPLIT)
-    dealt = pieces.select(
-        *keys, "at", "data", (F.col("n") > SPLIT).alias("hot"),
-        F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64(*keys, "at"), parts)), F.lit(blocks)).alias("block"))
+    low = F.lit((1 << LENGTH_BITS) - 1)
+    pieces = half.select(*keys, F.explode("pieces").alias("p")).select(
+        *keys, F.shiftright("p.at", LENGTH_BITS).alias("start"), F.col("p.at").bitwiseAND(low).alias("starts"), "p.anchor", "p.n", "p.data")
+    once = [*keys, "start"]
+    total, very = half.select(F.sum(F.size("pieces")), F.sum(F.size(F.filter("pieces", lambda p: p["n"] > SPLIT)))).first()
+    plain = pieces.where(F.col("n") <= SPLIT).dropDuplicates(once).select(*keys, "start", "data", "anchor")
+    lost = []
+    if very:
+        longer, lost = narrowed(pieces.where(F.col("n") > SPLIT).dropDuplicates(once), keys, length)
+        total += sum(x.count() for x in longer) - very
+        for x in longer:
+            plain = plain.union(x)
+    blocks = max(1, -(-(total or 0) // BLOCK))
+    dealt = plain.select(*keys, "start", "data", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"))
     result = staged(dealt.groupBy("block").applyInPandas(
-        tidy_group(lambda group: block_repeats(group, keys, length)),
-        f"{types(rows, keys)}, kind int, start long, starts long, w1 long, w2 long"), "repeats")
-    hot = result.where("kind = 1")
-    earliest = hot.groupBy("w1", "w2").agg(F.min(F.struct(*keys, "start")).alias("first"), F.count("*").alias("n"))
-    late = (hot.join(earliest.where("n > 1").select("w1", "w2", "first"), ["w1", "w2"])
-            .where(F.struct(*keys, "start") != F.col("first")))
-    removed = (result.where("kind = 0").select(*keys, "start", "starts")
-               .union(late.select(*keys, "start", "starts"))
-               .groupBy(*keys).agg(F.collect_list(F.struct("start", "starts")).alias("more")))
+        tidy_group(lambda group: block_repeats(group, keys, length)), f"{types(rows, keys)}, start long, starts long"), "repeats")
+    for x in lost:
+        result = result.union(x)
+    removed = result.groupBy(*keys).agg(F.collect_list(F.struct("start", "starts")).alias("more"))
 
     done = half.where("size(pieces) = 0").select("row", "n_bytes", "n_removed", "n_spans", "kept")
     open_ = half.where("size(pieces) > 0").select(*keys, "row", "text", "gone").join(removed, keys, "left")

@@ -156,6 +156,22 @@ def test_suffix_dedup_splits_anchors_with_many_stretches(docs, made_up_docs, mon
     assert suffix_rows(suffix_dedup.remove_repeats(docs)) == brute.repeats(rows, 100)
 
 
+def test_suffix_dedup_gives_no_rows_for_unequal_strings_of_a_common_anchor(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 3)
+    tables, staged = {}, suffix_dedup.staged
+    monkeypatch.setattr(suffix_dedup, "staged", lambda df, name: tables.setdefault(name, []).append(staged(df, name)) or tables[name][-1])
+    draw = random.Random(6)
+    prose = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    line, longer = prose(60), prose(90)
+    middles = [line] * 20 + [longer] * 20 + ["%s" % (prose(30) + line + prose(30))] * 3 + [longer + prose(5)] * 6 + ["z" * 150] * 5
+    rows = [(i, prose(draw.randint(60, 120)) + m + prose(draw.randint(60, 120))) for i, m in enumerate(middles)]
+    found = suffix_rows(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute.repeats(rows, 100)
+    assert len(tables["halves"]) > 1
+    repeats = tables["repeats"][-1]
+    assert repeats.count() < len(rows)  # one for each string start of such anchors before
+
+
 def test_suffix_dedup_of_long_texts_in_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
     data = np.frombuffer(random.Random(1).randbytes(3000), np.uint8)
