@@ -9,6 +9,7 @@ from runlens.functions import variant as V
 from runlens.operators import curation as C
 from runlens.operators import evaluation as EV
 from runlens.session import staged
+from runlens.sources import fixtures as FX
 
 
 def verdict_run(verdict_comment, decision, confidence, rid="r"):
@@ -170,3 +171,18 @@ def test_staging_many_rules_leaves_the_session_as_it_was(spark):
     with pytest.raises(Exception, match="boom"):
         staged(spark.range(3).select(F.raise_error(F.lit("boom")).alias("x")), "many", many_rules=True)
     assert spark.conf.get(key) == before
+
+
+def test_documents_of_one_split_are_built_in_many_tasks(spark, tmp_path):
+    spark.range(0, 64, 1, 1).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 5 AS user_id", "'view' AS event_type",
+        "CAST(id AS double) AS value", "'{\"k\": 80}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(0, 8, 1, 1).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which joins tasks of so few rows
+    try:
+        rows = FX.run_documents(spark, str(tmp_path)).select("run_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(rows) == 64
+    assert len({r["task"] for r in rows}) > 1
