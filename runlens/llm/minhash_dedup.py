@@ -58,11 +58,11 @@ def signature(grams: np.ndarray, salts: np.ndarray) -> np.ndarray:
 
 
 def posting_keys(least: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """One number for each (coordinate, value); its low 16 bits serve to compare signatures."""
+    """32 bits of each coordinate's value, an odd value by chance alike; the low 16 serve to compare signatures."""
     x = (least + salts) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    return (x ^ (x >> np.uint64(32))).astype(np.uint32).view(np.int32)
 
 
 def read_signatures(texts: DataFrame, n: int, coordinates: int) -> DataFrame:
@@ -78,12 +78,14 @@ def read_signatures(texts: DataFrame, n: int, coordinates: int) -> DataFrame:
                  pa.array([digest_of(g) for g in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["id", "size", "digest", "keys"])
 
-    return texts.mapInArrow(tidy(run), "id long, size long, digest binary, keys array<long>")
+    return texts.mapInArrow(tidy(run), "id long, size long, digest binary, keys array<int>")
 
 
 def posted(classes: DataFrame, matches: int) -> DataFrame:
     """``(key, node)``: the prefix of every class that can reach ``matches`` collisions."""
-    entries = classes.select("node", F.explode("keys").alias("key"))
+    # the coordinate stands above its 32 bits; alike by chance, values only make candidates that are not confirmed
+    entries = classes.select("node", F.posexplode("keys").alias("at", "value")).select(
+        "node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key"))
     # staged, so that both sides of the join are plain shuffles, whose large partitions Spark splits
     several = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
     own = (entries.join(several, "key").groupBy("node")
@@ -126,9 +128,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5
                      .withColumn("node", F.monotonically_increasing_id()), "classes")
     lists = staged(posted(classes, matches), "posted")
     nodes = staged(lists.select("node").distinct(), "nodes")
-    bits = F.transform("keys", lambda k: F.shiftrightunsigned(F.shiftleft(k, 48), 48)).alias("bits")
+    low = lambda k: F.shiftright(F.shiftleft(k, 16), 16).cast("short")
     labels = staged(classes.join(nodes, "node").select("node", "size", F.col("node").alias("root"),
-                                                       F.transform(bits, lambda k: (k - 32768).cast("short")).alias("bits")),
+                                                       F.transform("keys", low).alias("bits")),
                     "labels")
     groups = candidate_groups(lists, labels, collide(matches, least), collide_rows(matches, least))
     wanted = staged(classes.select("node", "root", "digest").join(groups.select("node"), "node"), "wanted")

@@ -130,6 +130,16 @@ def test_minhash_components_are_those_of_all_pairs(docs, made_up_docs):
         assert {r["id"]: (r["size"], r["root"]) for r in found.collect()} == want
 
 
+def test_minhash_values_take_four_bytes_and_stay_apart_by_coordinate(spark):
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "id long, text string")
+    found = minhash_dedup.read_signatures(texts, 4, 64)
+    assert found.schema["keys"].dataType.simpleString() == "array<int>"
+    assert found.select("keys").distinct().count() == 1
+    for other, nodes in (([8, -7], set()), ([-7, 9], {1, 2})):
+        classes = spark.createDataFrame([(1, [-7, 8]), (2, other)], "node long, keys array<int>")
+        assert {r["node"] for r in minhash_dedup.posted(classes, 1).collect()} == nodes
+
+
 def test_minhash_defined_cases(spark):
     same = "a b c d e f g h"
     rows = [(5, same, "", "", 0), (5, same, "", "", 0), (2, same.upper(), "", "", 0), (5, "p q r s t u v", "", "", 0),
