@@ -186,3 +186,40 @@ def test_documents_of_one_split_are_built_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(rows) == 64
     assert len({r["task"] for r in rows}) > 1
+
+
+def test_events_are_dealt_before_the_columns_of_runs_are_worked_out(spark, tmp_path):
+    spark.sql("SELECT 1L AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, 1L AS user_id, 'view' AS event_type, "
+              "1D AS value, '{\"k\": 80}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    spark.sql("SELECT 1L AS doc_id, 1L AS quality, 0L AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    plan = FX.run_documents(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("RepartitionByExpression")
+    assert "get_json_object" in above and "date_format" in above
+    assert below and "get_json_object" not in below
+
+
+def test_website_url_in_inputs_of_any_shape(spark):
+    inputs = ['{"website_url":null}', '{"input_data":{"website_url":"u"}}', '{"x":{"website_url":null},"y":1}',
+              '{"x":[{"website_url":"u"}],"y":"website_url"}', '{"input_data":{"z":{"website_url":"u"}}}', "[]", '"a"', "{}", "null"]
+    runs = spark.createDataFrame([(str(i), '{"inputs":%s}' % t) for i, t in enumerate(inputs)] + [("none", "{}"), ("list", "[1]")],
+                                 "run_id string, j string").withColumn("doc", F.parse_json("j"))
+    got = {r["run_id"] for r in EV.run_flags(runs, "availability").where("meets_criteria").collect()}
+    assert got == {"0", "1", "2"}
+
+
+def test_inputs_are_opened_once_for_all_rules(spark, docs_df):
+    runs = docs_df([{"id": "a", "inputs": {"input_data": {"website_url": "u"}, "name": "n"}}])
+    fields = EV.run_fields(runs, "doc", "availability", EV.format_fields("availability"))
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert "map<string,variant>" not in plan and "MapType(StringType,VariantType" not in plan
+
+
+@pytest.mark.parametrize("feedback, expected", [
+    ('[{"score":1},"x",{"score":null,"value":0}]', (True, "null", "0", None)), ('["x"]', (False, None, None, None)),
+    ("[]", (False, None, None, None)), ('{"score":1}', (False, None, None, None)), ("[{}]", (True, None, None, None))])
+def test_reference_of_the_last_feedback_object(spark, feedback, expected):
+    runs = spark.createDataFrame([("a", "a", "p", 1, '{"feedback":%s}' % feedback)],
+                                 "run_id string, trace_id string, project string, ord long, j string")
+    runs = runs.withColumns({"run_date": F.lit("2025-08-29").cast("date"), "doc": F.parse_json("j")})
+    row = EV.run_fields(runs).select("feedback_score_p", *[F.to_json(f"feedback_{f}") for f in ("score", "value", "comment")]).first()
+    assert tuple(row) == expected
