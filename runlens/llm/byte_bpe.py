@@ -35,8 +35,10 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.size = max(ranks.values()) + 1
+        self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left * size + right
         self.ends = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.ends.add_word(token.decode("latin-1"), (i, len(token)))
@@ -65,9 +67,10 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes is these two tokens (nothing merges across their border)."""
-        known = self.pairs.get((left, right))
+        pair = left * self.size + right
+        known = self.pairs.get(pair)
         if known is None:
-            known = self.pairs[left, right] = self._follows(left, right)
+            known = self.pairs[pair] = self._follows(left, right)
         return known
 
     def _follows(self, left: int, right: int) -> bool:
@@ -126,23 +129,31 @@ class PrefixTable:
 
     def _grow(self, old: int, last: list[int], upto: int) -> None:
         """Fill ``last`` for the prefixes of old+1..upto bytes."""
-        vocabulary, follows = self.vocabulary, self.vocabulary.follows
+        vocabulary = self.vocabulary
+        known, size, follows = vocabulary.pairs.get, vocabulary.size, vocabulary.follows
         begin = max(0, old - vocabulary.longest)
         last.extend([-1] * (upto - old))
-        window = self.data[begin:upto].decode("latin-1")
-        for end, (token, length) in vocabulary.ends.iter(window):
-            stop = begin + end + 1
-            if stop <= old or last[stop] >= 0:
+        first = begin + 1
+        for end, (token, length) in vocabulary.ends.iter(self.data[begin:upto].decode("latin-1")):
+            stop = first + end
+            if last[stop] >= 0 or stop <= old:
                 continue
             before = stop - length
-            if before == 0 or last[before] >= 0 and follows(last[before], token):
-                last[stop] = token
+            if before:
+                left = last[before]
+                if left < 0:
+                    continue
+                fits = known(left * size + token)
+                if not (follows(left, token) if fits is None else fits):
+                    continue
+            last[stop] = token
 
     def tokens(self) -> list[int]:
-        found, at = [], len(self.data)
+        found, at, last, spelt = [], len(self.data), self.last, self.vocabulary.tokens
         while at:
-            found.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
+            token = last[at]
+            found.append(token)
+            at -= len(spelt[token])
         return found[::-1]
 
 
@@ -161,16 +172,21 @@ class TextCodec:
         self.words = WordMemo(lambda words: [self._word(w) for w in words])
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
+        data, packed = piece.encode(), self.vocabulary.packed
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-        return np.array(ids, dtype="<u4").tobytes()
+        if whole is not None:
+            return packed[whole]
+        return b"".join([packed[i] for i in PrefixTable(self.vocabulary, data).tokens()])
 
     def _word(self, word: str) -> bytes | None:
-        """Ids of a word with at most one space before it; None if it holds other white space."""
-        if OTHER_SPACE.search(word):
+        """Ids of a word with at most one space before it; None if it holds other white space.
+
+        Words share pieces: what stands before a comma or a full stop is most often known.
+        """
+        if not word.isprintable() and OTHER_SPACE.search(word):  # no other white space is printable
             return None
-        return b"".join([self._piece(p) for p in self.pattern.findall(word)])
+        memo = self.pieces
+        return b"".join([memo[p] for p in self.pattern.findall(word)])
 
     def encode(self, text: str) -> bytes:
         """Words that single spaces or line feeds part are cut alike whatever stands around them."""

@@ -95,6 +95,25 @@ def test_byte_bpe_is_what_the_library_gives(codec, reference):
         assert codec.decode(codec.encode(text)) == text.encode()
 
 
+def test_words_share_the_tables_of_their_pieces(codec, reference, monkeypatch):
+    built = []
+
+    class Counted(byte_bpe.PrefixTable):
+        def __init__(self, vocabulary, data=b""):
+            built.append(data)
+            super().__init__(vocabulary, data)
+
+    monkeypatch.setattr(byte_bpe, "PrefixTable", Counted)
+    text = "a zqxjkv, zqxjkv. zqxjkv! zqxjkv\nzqxjkv"
+    own = byte_bpe.TextCodec(codec.vocabulary, queries.PATTERN)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    assert sorted(x for x in built if b"zqx" in x) == [b" zqxjkv", b"zqxjkv"]
+
+
+def test_other_white_space_is_never_printable():
+    assert not [c for c in map(chr, range(0x110000)) if byte_bpe.OTHER_SPACE.search(c) and c.isprintable()]
+
+
 def test_prefix_table_appends_and_edits_exactly(codec):
     vocabulary, draw = codec.vocabulary, random.Random(3)
     for _ in range(60):
