@@ -16,10 +16,13 @@ table has no pieces; a document that is an exact multiple of the window has no r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import punctuation
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -32,47 +35,81 @@ from runlens.llm.common import staged
 from runlens.llm.memo import WordMemo
 from runlens.llm.worker import held, sliced, tidy
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4_000_000
 #: texts by which a tokenizer is tried: what spaces and line feeds part must stay apart
 GAPS = ("a b", " a", "a ", "a\nb", "ab  cd\n\nef", "don't 12\n3.5 x", "\n", "\u00e9 \u6f22\n\u5b57")
-#: whether A-Z are lower-cased, and whether a comma or full stop between a letter and a space is a token of its own
+#: whether A-Z are lower-cased, and whether ASCII punctuation between a letter and a space is parted from the letter
 CASES = ("Ab", "I\u0307X", "QUITE \u00c9A", "don'T")
-STOPS = ("ab, cd. ef", "l\u00e9, x. ", "it's, we'll. y", "Ab. c, d")
-STOP = r"(\pL)([.,]) "
+STOPS = ("ab, cd. ef", "l\u00e9, x. ", "it's, we'll. y", "Ab. c, d", "ab!! cd?'\" \u6f22.%%% z", "\u0130. \u0958! \u05e9\u05c1, x",
+         " ".join(f"ab{a}{b}" for a in ["", *punctuation] for b in punctuation) + " ")
+#: not after letters of which normal form or lower case can leave a mark at the end: the mark and what follows are one piece
+STOP = rf"([^\PL\x{{130}}\p{{Hebrew}}\p{{Devanagari}}\p{{Bengali}}\p{{Gurmukhi}}\p{{Oriya}}\p{{Tibetan}}])([{re.escape(punctuation)}]+) "
+#: letters of the Latin scripts, and words by which their spelling is tried
+LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha())
+SPELLED = ("ab", "STRASSE", "Stra\u00dfe", "\u00e9l\u00e8ve", "\u0141\u00f3d\u017a", "\u0130zmir", "\u017fo\u00aa")
 
 
 def words_of(texts: pa.Array, fold: bool, part: bool) -> pa.Array:
-    """Lists of words; with ``fold`` in lower case, with ``part`` without a comma or full stop at their end."""
+    """Lists of words; with ``fold`` in lower case, with ``part`` without punctuation at their end."""
     texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     texts = pc.ascii_lower(texts) if fold else texts
     texts = pc.replace_substring_regex(texts, STOP, r"\1 \2 ") if part else texts
     return pc.split_pattern(texts, " ")
 
 
+def spelling(model: Tokenizer) -> dict[int, str]:
+    """How the tokenizer writes letters of ``LETTERS`` for its model, a table for ``str.translate``.
+
+    Empty, unless a run of them stays in one piece, each written as if it stood alone: tried on all pairs of neighbours.
+    """
+    def written(text: str) -> list[str]:
+        text = model.normalizer.normalize_str(text) if model.normalizer else text
+        return [piece for piece, _ in model.pre_tokenizer.pre_tokenize_str(text)] if model.pre_tokenizer else [text]
+
+    table = {ord(c): pieces[0] for c in LETTERS if len(pieces := written(c)) == 1}
+    run = "".join(chr(a) + chr(b) for a in table for b in table)
+    ordinary = all(token.special for token in model.get_added_tokens_decoder().values())
+    return table if ordinary and written(run) == [run.translate(table)] else {}
+
+
 def word_ids(path: str) -> tuple[WordMemo, bool, bool]:
     """Memo word -> packed ids of the tokenizer at ``path``, and how words may be cut for it (``words_of``).
 
-    Fewer forms of a word are fewer words to encode; what a tokenizer does not do is not assumed of it, but tried
-    when it is loaded. The Python worker holds the memo for its next tasks.
+    Fewer forms of a word are fewer words to encode, and a word of letters alone, as most are, goes straight to the
+    tokenizer's model; what a tokenizer does not do is not assumed of it, but tried when it is loaded. The Python
+    worker holds the memo for its next tasks.
     """
     def make() -> tuple[WordMemo, bool, bool]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own hold memory each
         from tokenizers import Tokenizer
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenize, spelled = model.model.tokenize, spelling(model)
+        letters = re.compile(f"[{''.join(map(chr, spelled)) or LETTERS}]+").fullmatch
 
-        def compute(words: list[str]) -> list[bytes]:
+        def encode(words: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
 
-        def harmless(probes: tuple[str, ...], fold: bool, part: bool) -> bool:
+        def compute(words: list[str]) -> list[bytes]:
+            found = [array("I", [t.id for t in tokenize(w.translate(spelled))]).tobytes() if letters(w) else None
+                     for w in words]
+            others = iter(encode([w for w, ids in zip(words, found) if ids is None]))
+            return [next(others) if ids is None else ids for ids in found]
+
+        def harmless(probes: tuple[str, ...], fold: bool, part: bool, ids: Callable = compute) -> bool:
             cut = words_of(pa.array(probes), fold, part).to_pylist()
-            return all(b"".join(compute([w for w in words if w])) == compute([probe])[0] for probe, words in zip(probes, cut))
+            return all(b"".join(ids([w for w in words if w])) == encode([probe])[0] for probe, words in zip(probes, cut))
 
-        if not harmless(GAPS, False, False):
+        if not harmless(GAPS, False, False, encode):
             raise ValueError(f"{path} joins what spaces or line feeds part; its words cannot be encoded one by one")
-        return WordMemo(compute), harmless(CASES, True, False), harmless(STOPS, False, True)
+        if not spelled or not harmless(SPELLED, False, False):
+            compute = encode
+        return WordMemo(compute), harmless(CASES, True, False, encode), harmless(STOPS, False, True, encode)
     return held(f"words {path}", make)
 
 
@@ -85,10 +122,10 @@ def token_ids(texts: pa.Array, memo: WordMemo, fold: bool = False, part: bool =
     """
     words = words_of(texts, fold, part)
     coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    memo.fill([w for w in distinct if w])
-    found = [memo[w] if w else b"" for w in distinct]
-    lengths = np.array([len(f) // 4 for f in found], dtype=np.int64)
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist goes through a scalar each
+    memo.fill(distinct)
+    found = list(map(memo.__getitem__, distinct))
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
     ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
     code = coded.indices.to_numpy()
     ends = np.concatenate([[0], np.cumsum(lengths[code])])

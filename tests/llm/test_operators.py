@@ -10,11 +10,12 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from runlens.llm import (byte_bpe, exact_dedup, group_links, html_extract, license_scan, line_dedup, ngram_join, packing, queries,
                          suffix_array, suffix_dedup, toxicity, vector_search)
@@ -52,6 +53,34 @@ def test_packing_matches_the_tokenizer_and_wastes_little(docs, made_up_docs):
     assert used.sum() > 0.97 * 2048 * len(used)
 
 
+def test_words_of_letters_go_to_the_model_as_the_tokenizer_would_send_them():
+    model = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    table = packing.spelling(model)
+    assert {ord(c) for c in "azAZ\u00df\u00e9\u00c9\u0142"} <= set(table) and ord("\u0130") not in table
+    draw = random.Random(3)
+    words = ["".join(draw.choices([*map(chr, table)], k=draw.randint(1, 12))) for _ in range(3000)]
+    words += ["\u0130x", "e\u0301", "a1b", "don't", "\u6f22\u5b57", "x" * 400, ""]
+    memo, fold, part = packing.word_ids(queries.WORD_TOKENIZER)
+    assert fold and part
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in memo.compute(words)] == [
+        model.encode(w, add_special_tokens=False).ids for w in words]
+    model.add_tokens(["lantern"])  # found anywhere in a text, before the model
+    assert packing.spelling(model) == {}
+    model = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    model.pre_tokenizer = pre_tokenizers.Split(Regex("oo"), "isolated")  # parts words of letters
+    assert packing.spelling(model) == {}
+
+
+def test_punctuation_is_parted_only_where_the_tokenizer_parts_it():
+    texts = ["ab!! cd.%%% ab ab$$$ ef", "\u0130. x A\u0130!? y", "\u0958. z \u09dc, \ufb1d. q", "it's' 's. don't! o", "a.\nb, c. ", "", None]
+    model = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    ids, ends = packing.token_ids(pa.array(texts), *packing.word_ids(queries.WORD_TOKENIZER))
+    assert [part.tolist() for part in np.split(ids, ends[:-1])] == [
+        model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert packing.words_of(pa.array(texts[:1]), True, True).to_pylist() == [
+        ["ab", "!!", "cd", ".%%%", "ab", "ab", "$$$", "ef"]]  # three words and their stops, not five words
+
+
 def test_fullest_is_the_best_subset_sum():
     draw = random.Random(1)
     for _ in range(200):
